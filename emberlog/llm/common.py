@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +54,15 @@ def text_of(col: str = "text") -> Column:
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the columns an operator works on, so that others, whatever their names, can't clash."""
     return df.select(*(F.col(f"`{n}`") for n in names))
+
+
+def located(df: DataFrame) -> DataFrame:
+    """(row, file, pos): each row whole, in a struct so that its names can't clash, with the place it is stored at.
+
+    A df that isn't read straight from Parquet files is written to the shared folder first.
+    """
+    cols = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("pos")
+    try:
+        return df.select(*cols)
+    except AnalysisException:
+        return stage(df, "rows").select(*cols)
