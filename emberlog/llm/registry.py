@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import exact_dedup, simhash
+from emberlog.llm import exact_dedup, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_exact_dedup": exact_dedup.query, "op7_simhash": simhash.query}
+    return {"op2_exact_dedup": exact_dedup.query, "op7_simhash": simhash.query, "op9_toxicity": toxicity.query}
 
 
 def oracle_sql() -> dict[str, str]:
