@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.common import located, new_dir, table
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition sets aside some MB of disk
+}
 
 
 def sha256(text: Column) -> Column:
@@ -27,16 +30,15 @@ def sha256(text: Column) -> Column:
 
 
 @contextmanager
-def _setting(spark: SparkSession, key: str, value: str):
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
+def _settings(spark: SparkSession, wanted: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _feed(spark: SparkSession, store: str) -> DataFrame:
@@ -47,7 +49,7 @@ def _feed(spark: SparkSession, store: str) -> DataFrame:
         .groupBy("digest")
         .agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "file", "pos")).alias("keep"))
     )
-    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKS):
+    with _settings(spark, STATE):
         query = (
             seen.writeStream.outputMode("update")
             .option("checkpointLocation", f"{store}/checkpoint")
