@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import exact_dedup, simhash, toxicity
+from emberlog.llm import decontaminate, exact_dedup, mixing, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_exact_dedup": exact_dedup.query, "op7_simhash": simhash.query, "op9_toxicity": toxicity.query}
+    return {
+        "op2_exact_dedup": exact_dedup.query,
+        "op4_mixing": mixing.query,
+        "op5_decontaminate": decontaminate.query,
+        "op7_simhash": simhash.query,
+        "op9_toxicity": toxicity.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op2_exact_dedup": exact_dedup.ORACLE,
+        "op4_mixing": mixing.ORACLE,
+        "op5_decontaminate": decontaminate.ORACLE,
+    }
