@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import decontaminate, exact_dedup, mixing, simhash, toxicity
+from emberlog.llm import decontaminate, exact_dedup, mixing, secrets, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secrets": secrets.query,
         "op2_exact_dedup": exact_dedup.query,
         "op4_mixing": mixing.query,
         "op5_decontaminate": decontaminate.query,
