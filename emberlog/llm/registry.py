@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import decontaminate, exact_dedup, mixing, secrets, simhash, toxicity
+from emberlog.llm import decontaminate, exact_dedup, mixing, preferences, secrets, simhash, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,7 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": exact_dedup.query,
         "op4_mixing": mixing.query,
         "op5_decontaminate": decontaminate.query,
+        "op6_preferences": preferences.query,
         "op7_simhash": simhash.query,
+        "op8_token_counts": token_counts.query,
         "op9_toxicity": toxicity.query,
     }
 
@@ -25,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_exact_dedup": exact_dedup.ORACLE,
         "op4_mixing": mixing.ORACLE,
         "op5_decontaminate": decontaminate.ORACLE,
+        "op6_preferences": preferences.ORACLE,
     }
