@@ -6,25 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import decontaminate, exact_dedup, mixing, preferences, secrets, simhash, token_counts, toxicity
+from emberlog.llm import decontaminate, exact_dedup, html_text, mixing, preferences, secrets, simhash, token_counts, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": secrets.query,
         "op2_exact_dedup": exact_dedup.query,
+        "op3_warc": warc.query,
         "op4_mixing": mixing.query,
         "op5_decontaminate": decontaminate.query,
         "op6_preferences": preferences.query,
         "op7_simhash": simhash.query,
         "op8_token_counts": token_counts.query,
         "op9_toxicity": toxicity.query,
+        "op10_html_text": html_text.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": exact_dedup.ORACLE,
+        "op3_warc": warc.ORACLE,
         "op4_mixing": mixing.ORACLE,
         "op5_decontaminate": decontaminate.ORACLE,
         "op6_preferences": preferences.ORACLE,
