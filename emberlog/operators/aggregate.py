@@ -118,9 +118,9 @@ def fill_gaps(hist: DataFrame, step: timedelta | None = None, cap: int = 1000) -
     micros = F.unix_micros("bucket")
     if step is None:
         gap = hist.select((micros - F.lag(micros).over(Window.orderBy("bucket"))).alias("d"))  # a histogram: few rows
-        width = gap.agg(F.coalesce(F.min("d"), F.lit(1)).alias("w"))
+        width = gap.agg(F.coalesce(F.min("d"), F.lit(1)).cast("long").alias("w"))
     else:
-        width = hist.sparkSession.range(1).select(F.lit(int(step.total_seconds() * 1_000_000)).alias("w"))
+        width = hist.sparkSession.range(1).select(F.lit(int(step.total_seconds() * 1_000_000)).cast("long").alias("w"))
     ends = hist.agg(F.min(micros).alias("a"), F.max(micros).alias("b")).where("a is not null")
     spine = ends.join(F.broadcast(width)).select(F.explode(F.sequence("a", F.least("b", F.col("a") + F.col("w") * (cap - 1)), "w")).alias("m"))
     spine = spine.select(F.timestamp_micros("m").alias("bucket"))
