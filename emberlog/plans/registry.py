@@ -217,7 +217,7 @@ def _(s, d):
     return A.rare(events(s, d), ["attr.k"], 5)
 
 
-@register("g10_truncated", "SELECT source, count(*) AS count, true AS truncated FROM logs GROUP BY source ORDER BY count DESC, source LIMIT 20")
+@register("g10_truncated", "SELECT source, count(*) AS count, (SELECT count(DISTINCT source) FROM logs) > 20 AS truncated FROM logs GROUP BY source ORDER BY count DESC, source LIMIT 20")
 def _(s, d):
     return A.capped(A.stats(events(s, d), [("count",)], ["source"]), 20)
 
