@@ -1,7 +1,7 @@
 """Toxicity by subword-bag embeddings: n-gram vectors of the words of a window, averaged into a linear softmax.
 
 A word is a run of non-blank characters, lower-cased, stripped of punctuation at its ends; its vector is the mean
-of the vectors of itself and its character n-grams (hashed into buckets), so a misspelling that was never seen
+of the vectors of itself and its character n-grams (hashed into buckets while it is trained), so a misspelling that was never seen
 shares most of them. A text is read in windows of `WINDOW` words that overlap by half, all of it; a window's
 vector is the mean over its words, and the softmax of a linear layer gives its probability. A text scores as its
 most toxic window, since a toxic passage doesn't colour the average of a long text. Vectors and layer are trained
@@ -18,6 +18,7 @@ gives an empty result. Other columns are neither read nor changed.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -40,7 +41,7 @@ class Settings:
     by which it must be more frequent in toxic ones, to get a vector other than zero; its start is in proportion."""
 
     rows: int = 4000
-    buckets: int = 1 << 17
+    buckets: int = 1 << 21
     size: int = 8
     grams: tuple[int, int] = (3, 6)
     epochs: int = 400
@@ -56,12 +57,17 @@ def tokens(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def subwords(token: str, s: Settings) -> list[int]:
-    """Buckets of a token: of the whole word, and of its n-grams with < and > at the ends."""
+def grams(token: str, s: Settings) -> list[str]:
+    """The whole word and its n-grams, with < and > at the ends."""
     word = f"<{token.strip(EDGES) or token}>"
     lo, hi = s.grams
-    grams = [word[i : i + n] for n in range(lo, min(hi, len(word) - 1) + 1) for i in range(len(word) - n + 1)]
-    return [crc32(x.encode("utf-8", "surrogatepass")) % s.buckets for x in (word, *grams)]
+    return [word, *(word[i : i + n] for n in range(lo, min(hi, len(word) - 1) + 1) for i in range(len(word) - n + 1))]
+
+
+def n_grams(length: int, s: Settings) -> int:
+    """How many `grams` a word of that length, < and > included, has."""
+    lo, hi = s.grams
+    return 1 + sum(length - n + 1 for n in range(lo, min(hi, length - 1) + 1))
 
 
 def windows(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,25 +80,41 @@ def windows(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """of_bucket: a bucket's vector times the layer's weight (toxic less clean), all that scoring needs."""
+    """values: an n-gram's vector times the layer's weight (toxic less clean), all that scoring needs; others are zero.
+
+    They come from the training sample, and so are bounded by it.
+    """
 
-    of_bucket: np.ndarray
+    values: dict[str, float]
     bias: float
     settings: Settings
 
     def scorer(self):
-        memo: dict[str, float] = {}
+        """A function of a text; one automaton finds the n-grams of all its words."""
+        import ahocorasick
 
-        def word(token: str) -> float:
-            if len(memo) > 500_000:
-                memo.clear()
-            memo[token] = v = float(self.of_bucket[subwords(token, self.settings)].mean())
-            return v
+        found = ahocorasick.Automaton()
+        for gram, v in self.values.items():
+            found.add_word(gram, v)
+        if self.values:
+            found.make_automaton()
+        per = np.array([n_grams(n, self.settings) for n in range(256)], float)
 
         def score(text: str | None) -> float:
-            words = tokens(text)
-            each = np.fromiter((v if (v := memo.get(w)) is not None else word(w) for w in words), float, len(words))
-            total = np.concatenate(([0.0], np.cumsum(each)))
+            words = [f"<{w.strip(EDGES) or w}>" for w in tokens(text)]
+            total = np.zeros(len(words) + 1)
+            if self.values and words:
+                ends, values = [], []
+                for end, v in found.iter("".join(words)):
+                    ends.append(end)
+                    values.append(v)
+                sizes = np.fromiter(map(len, words), np.int64, len(words))
+                if ends:
+                    at = np.searchsorted(np.cumsum(sizes), ends, "right")
+                    long = sizes >= len(per)
+                    n = per[np.minimum(sizes, len(per) - 1)]
+                    n[long] = [n_grams(int(x), self.settings) for x in sizes[long]]
+                    total[1:] = np.cumsum(np.bincount(at, values, len(words)) / n)
             begins, ends = windows(len(words))
             top = float(((total[ends] - total[begins]) / np.maximum(ends - begins, 1)).max()) + self.bias
             return float(1 / (1 + np.exp(-np.clip(top, -500, 500))))
@@ -105,13 +127,15 @@ def train(texts: list[str | None], toxic: list[int], s: Settings = Settings()) -
     y = np.asarray(toxic, float)
     share = float(y.mean()) if len(y) else 0.0
     if share in (0.0, 1.0):
-        return Model(np.zeros(s.buckets), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), s)
+        return Model({}, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), s)
     ids: dict[str, int] = {}
     seqs = [np.fromiter((ids.setdefault(w, len(ids)) for w in tokens(t)), np.int32) for t in texts]
-    parts = [subwords(w, s) for w in ids]
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    flat = np.fromiter((b for p in parts for b in p), np.int32, int(sizes.sum()))
-    del parts
+    lengths, packed = array("i"), array("i")
+    for w in ids:
+        own = grams(w, s)
+        lengths.append(len(own))
+        packed.extend(crc32(x.encode("utf-8", "surrogatepass")) % s.buckets for x in own)
+    sizes, flat = np.frombuffer(lengths, np.int32).astype(np.int64), np.frombuffer(packed, np.int32)
     seen = np.zeros(s.buckets, np.int64)
     at = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     stream, base = np.concatenate(seqs) if seqs else np.empty(0, np.int32), np.concatenate(([0], np.cumsum([len(x) for x in seqs])))
@@ -158,9 +182,8 @@ def train(texts: list[str | None], toxic: list[int], s: Settings = Settings()) -
             m += 0.1 * (dx - m)
             v += 0.001 * (dx * dx - v)
             x -= s.rate * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-9)
-    of_bucket = np.zeros(s.buckets)
-    of_bucket[live] = vec @ layer
-    return Model(of_bucket, float(bias[0]), s)
+    value = vec @ layer
+    return Model({x: float(value[k]) for w in ids for x in grams(w, s) if (k := place[crc32(x.encode("utf-8", "surrogatepass")) % s.buckets]) >= 0}, float(bias[0]), s)
 
 
 def held_out(doc_id):
@@ -185,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs (doc_id, text and other columns) with score, text left out."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # Settings.buckets floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.drop("text").withColumn("score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
