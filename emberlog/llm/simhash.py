@@ -18,6 +18,13 @@ A key holds 24 to 34 bits. Rows of a key come sorted into a task that compares t
 passes on a forest that connects what is linked, never all pairs; a key of more than `block` fingerprints is
 dealt out as pairs of blocks, each its own group of bounded size, so a hot key is shared among tasks.
 Equal fingerprints are merged before any of this.
+
+`deduplicate`, for pipelines, wants near copies at a Jaccard similarity of 0.8 or more of five-word shingles. At
+that similarity four-word fingerprints differ in some eight bits, too many for keys of any use, so it links texts
+by `PRINTS` fingerprints of their sets of words, at the same four bits by the same keys, and verifies by shingles.
+
+Defined results. Rows that repeat each have their row; null doc_ids are left aside in component_id and sort first
+in `deduplicate`. An empty table gives an empty result. Extra columns pass through `deduplicate`.
 """
 
 from __future__ import annotations
@@ -30,11 +37,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberlog.llm.common import located, pick, stage, table
 from emberlog.llm.components import components
 
 WORDS_PER_SHINGLE, SEED, MAX_BITS = 4, 42, 4
+PRINTS, SHINGLE = 4, 5  # of deduplicate: fingerprints of a text, words of a shingle
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # shift and width
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 of the cyclic code, or its reciprocal
 
@@ -213,14 +222,106 @@ def decide(docs: DataFrame) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs without those rows of a class that come after its first by (doc_id, place in storage)."""
+def word_prints(text: str | None, memo: dict[str, int]) -> tuple[list[int], list[int]]:
+    """(PRINTS fingerprints of the set of words, sorted hashes of the distinct shingles of five words), as signed longs.
+
+    An edited word changes up to five shingles but one word, so sets of words keep near copies within a few bits.
+    """
+    words = (text or "").lower().split()
+    own = np.fromiter((memo[w] for w in dict.fromkeys(words)), np.uint64)
+    prints = []
+    for k in range(PRINTS):
+        h = (own ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(29)
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(h), 1 << 14):
+            ones += np.unpackbits(h[i : i + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        prints.append(int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big"))
+    flow = np.fromiter((memo[w] for w in words), np.uint64, len(words))
+    n = max(1, len(words) - SHINGLE + 1) if words else 0
+    rolled = np.zeros(n, np.uint64)
+    for i in range(min(SHINGLE, len(words))):
+        rolled = (rolled ^ flow[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        rolled ^= rolled >> np.uint64(29)
+    return np.array(prints, np.uint64).view(np.int64).tolist(), np.unique(rolled).view(np.int64).tolist()
+
+
+class _Words(dict):
+    """Hash of each word, kept for those met lately."""
+
+    def __missing__(self, word: str) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = h = xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+def _prints(rows: DataFrame, shingles: bool) -> DataFrame:
+    """rows (text and other columns) with prints, and the shingles if asked for; text is left out."""
+    name = "shingles" if shingles else "prints"
+    schema = T.StructType([*rows.drop("text").schema.fields, T.StructField(name, T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Words()
+        for b in batches:
+            made = pa.array([word_prints(x.as_py(), memo)[int(shingles)] for x in b.column("text")], pa.list_(pa.int64()))
+            names = [n for n in b.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), made], names=[*names, name])
+
+    return rows.mapInArrow(run, schema)
+
+
+def candidates(prints: DataFrame) -> DataFrame:
+    """(file, pos, doc_id, class) of rows that share a near fingerprint with others, of a frame with prints."""
+    spark = prints.sparkSession
+    each = prints.select(F.xxhash64("file", "pos").alias("node"), F.posexplode("prints").alias("k", "fp"))
+    edges = None
+    for k in range(PRINTS):
+        own = each.where(F.col("k") == k)
+        counted = stage(own.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "simhash-fps")
+        near = stage(links(counted.select("fp")), "simhash-links")
+        busy = near.select(F.explode(F.array("u", "v")).alias("fp")).unionByName(counted.where("n > 1").select("fp")).distinct()
+        name = lambda c, k=k: F.xxhash64(F.lit(k), F.col(c))
+        held = own.join(busy, "fp").select(F.col("node").alias("u"), name("fp").alias("v"))
+        part = held.unionByName(near.select(name("u").alias("u"), name("v").alias("v")))
+        edges = part if edges is None else edges.unionByName(part)
+    found = components(edges) if edges is not None else spark.createDataFrame([], "node long, component long")
+    return prints.select("file", "pos", "doc_id", F.xxhash64("file", "pos").alias("node")).join(found, "node").select("file", "pos", "doc_id", F.col("component").alias("class"))
+
+
+def duplicates(rows: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(file, pos) of located rows that repeat, to that Jaccard similarity of five-word shingles, a row that stays.
+
+    Candidates are classes of fingerprints linked at MAX_BITS or fewer bits, in any of PRINTS. In each class the first
+    row by (doc_id, place) stays; those similar to it go; of the rest the first stays, and so on until none is left.
+    So what goes is similar to a row that stays, and no pair is listed.
+    """
+    located_ = rows.select(F.col("row.doc_id").alias("doc_id"), "file", "pos", F.col("row.text").alias("text"))
+    prints = stage(_prints(located_, False), "simhash-prints")
+    member = stage(candidates(prints), "simhash-members")
+    held = located_.drop("doc_id").join(member.hint("shuffle_hash"), ["file", "pos"])
+    left = stage(_prints(held, True), "simhash-shingles")
+    gone: DataFrame | None = None
+    while not left.isEmpty():
+        own = F.struct("doc_id", "file", "pos")
+        lead = left.groupBy("class").agg(F.min(own).alias("at"))
+        lead = left.join(lead.select("class", "at.file", "at.pos"), ["class", "file", "pos"]).select("class", F.col("file").alias("f"), F.col("pos").alias("p"), F.col("shingles").alias("first"))
+        shared = F.size(F.array_intersect("shingles", "first"))
+        like = shared >= similarity * (F.size("shingles") + F.size("first") - shared)
+        told = stage(left.join(lead, "class").withColumns({"leads": (F.col("file") == F.col("f")) & (F.col("pos") == F.col("p")), "like": like}).drop("f", "p", "first"), "simhash-round")
+        out = told.where("like and not leads").select("file", "pos")
+        gone = out if gone is None else gone.unionByName(out)
+        left = told.where("not like and not leads").drop("leads", "like")
+    return gone if gone is not None else member.select("file", "pos").where(F.lit(False))
+
+
+def deduplicate(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """docs without near copies (see duplicates), with all their columns. Texts without a word are copies of each other only."""
     rows = located(docs)
-    fps = stage(fingerprints(rows.select(F.col("row.doc_id").alias("doc_id"), "file", "pos", F.col("row.text").alias("text"))), "simhash")
-    first = fps.groupBy("fp").agg(F.min(F.struct("doc_id", "file", "pos")).alias("first"))
-    by_fp = stage(classes(first), "simhash-classes")
-    stay = by_fp.groupBy("class").agg(F.min("first").alias("stay")).select("stay.file", "stay.pos")
-    return rows.join(stay.hint("shuffle_hash"), ["file", "pos"], "left_semi").select("row.*")
+    return rows.join(duplicates(rows, similarity).hint("shuffle_hash"), ["file", "pos"], "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
