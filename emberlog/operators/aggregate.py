@@ -116,13 +116,10 @@ def facets(df: DataFrame, fields: Sequence[str] = ("level", "service"), n: int =
 def fill_gaps(hist: DataFrame, step: timedelta | None = None, cap: int = 1000) -> DataFrame:
     """(bucket, count) without gaps, by the smallest distance of two buckets; at most `cap` points."""
     micros = F.unix_micros("bucket")
-    if step is None:
-        gap = hist.select((micros - F.lag(micros).over(Window.orderBy("bucket"))).alias("d"))  # a histogram: few rows
-        width = gap.agg(F.coalesce(F.min("d"), F.lit(1)).cast("long").alias("w"))
-    else:
-        width = hist.sparkSession.range(1).select(F.lit(int(step.total_seconds() * 1_000_000)).cast("long").alias("w"))
-    ends = hist.agg(F.min(micros).alias("a"), F.max(micros).alias("b")).where("a is not null")
-    spine = ends.join(F.broadcast(width)).select(F.explode(F.sequence("a", F.least("b", F.col("a") + F.col("w") * (cap - 1)), "w")).alias("m"))
+    gap = micros - F.lag(micros).over(Window.orderBy("bucket"))  # of a histogram: few rows
+    width = F.coalesce(F.min("d"), F.lit(1)) if step is None else F.lit(int(step.total_seconds() * 1_000_000))
+    ends = hist.select(micros.alias("m"), (gap if step is None else F.lit(1)).alias("d")).agg(F.min("m").alias("a"), F.max("m").alias("b"), width.cast("long").alias("w")).where("a is not null")
+    spine = ends.select(F.explode(F.sequence("a", F.least("b", F.col("a") + F.col("w") * (cap - 1)), "w")).alias("m"))
     spine = spine.select(F.timestamp_micros("m").alias("bucket"))
     return spine.join(hist, "bucket", "left").select("bucket", F.coalesce("count", F.lit(0)).alias("count")).orderBy("bucket")
 

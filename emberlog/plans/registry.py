@@ -602,3 +602,6 @@ def _(s, d):
 @register("l7_level_changes", "SELECT id, source, level, lag(level) OVER (PARTITION BY source ORDER BY ts, id) AS previous FROM logs")
 def _(s, d):
     return events(s, d).select("id", "source", "level", F.lag("level").over(Window.partitionBy("source").orderBy("ts", "id")).alias("previous"))
+
+
+from emberlog.plans import records  # noqa: E402, F401  registers its queries here
