@@ -25,6 +25,9 @@ STATE = {
 }
 
 
+SALTS = 32  # tasks that share the rows of one digest while their bytes are compared
+
+
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
@@ -77,8 +80,11 @@ def decide(docs: DataFrame, *, store: str | None = None, digest=sha256) -> DataF
         return keys.select("doc_id", "file", "pos", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     dup = _feed(spark, store).where("n > 1")
 
-    hits = rows.select(digest(text).alias("digest"), text.alias("t")).join(dup.select("digest").hint("shuffle_hash"), "digest")
-    clash = hits.groupBy("digest").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("digest")
+    salt = F.pmod("pos", F.lit(SALTS)).cast("int").alias("salt")
+    salted = dup.select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    hits = rows.select(digest(text).alias("digest"), salt, text.alias("t")).join(salted.hint("shuffle_hash"), ["digest", "salt"])
+    parts = hits.groupBy("digest", "salt").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    clash = parts.groupBy("digest").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("digest")
     found = keys.join(dup, "digest", "left")
     own = F.struct("doc_id", "file", "pos")
     if not clash.isEmpty():  # never with SHA-256: rows of one digest are told apart by their bytes
