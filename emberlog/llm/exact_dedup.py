@@ -67,15 +67,21 @@ def _feed(spark: SparkSession, store: str) -> DataFrame:
 def decide(docs: DataFrame, *, store: str | None = None, digest=sha256) -> DataFrame:
     """(doc_id, file, pos, keep_id, group_size, kept, text_sha256) for each row of docs.
 
-    store: folder of the state; given again with further rows, it goes on from there and decides for all rows
-    that it has seen. digest: Column to Column; any function gives right results, as hits are checked in full.
+    store: folder of the state; given again with further rows, it goes on from there and decides for all rows that
+    it has seen, whose texts it finds by their locators. digest: Column to Column; any function gives right
+    results, as hits are checked in full.
     """
-    spark = docs.sparkSession
+    return _decide(docs.sparkSession, located(docs), store, digest)
+
+
+def _decide(spark: SparkSession, rows: DataFrame, store: str | None = None, digest=sha256) -> DataFrame:
+    again = store is not None
     store = store or new_dir(spark, "dedup")
     text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
-    rows = located(docs)
     rows.select(F.col("row.doc_id").alias("doc_id"), "file", "pos", sha256(text).alias("sha"), digest(text).alias("digest")).write.mode("append").parquet(f"{store}/keys")
     keys = spark.read.parquet(f"{store}/keys")
+    if again and not keys.isEmpty():
+        rows = located(spark.read.parquet(*[r.file for r in keys.select("file").distinct().collect()]))  # a row per file
     if keys.isEmpty():
         return keys.select("doc_id", "file", "pos", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     dup = _feed(spark, store).where("n > 1")
@@ -96,10 +102,11 @@ def decide(docs: DataFrame, *, store: str | None = None, digest=sha256) -> DataF
     return found.select("doc_id", "file", "pos", keep["doc_id"].alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), ((keep["file"] == F.col("file")) & (keep["pos"] == F.col("pos"))).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
+def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    gone = decide(docs, **options).where("not kept").select("file", "pos")
-    return located(docs).join(gone.hint("shuffle_hash"), ["file", "pos"], "left_anti").select("row.*")
+    rows = located(docs)
+    gone = _decide(docs.sparkSession, rows).where("not kept").select("file", "pos")
+    return rows.join(gone.hint("shuffle_hash"), ["file", "pos"], "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
