@@ -17,7 +17,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import located, new_dir, table
+from emberlog.llm.common import located, new_dir, stage, table
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -84,7 +84,7 @@ def _decide(spark: SparkSession, rows: DataFrame, store: str | None = None, dige
         rows = located(spark.read.parquet(*[r.file for r in keys.select("file").distinct().collect()]))  # a row per file
     if keys.isEmpty():
         return keys.select("doc_id", "file", "pos", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
-    dup = _feed(spark, store).where("n > 1")
+    dup = stage(_feed(spark, store).where("n > 1"), "dedup-groups")  # so that joins with it can be split where a digest is hot
 
     salt = F.pmod("pos", F.lit(SALTS)).cast("int").alias("salt")
     salted = dup.select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
