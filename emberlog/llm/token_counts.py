@@ -121,6 +121,7 @@ def count(docs: DataFrame, tokenizer: str, cache: str | None = None, limit: int
     texts = rows.select("file", "pos", text.alias("text")).join(misses.hint("shuffle_hash"), ["file", "pos"]).select("content", "text")
     texts.mapInArrow(run, CACHE).write.mode("append").parquet(cache)
     stored = read_cache(spark, cache).where(F.col("tokenizer") == tag).dropDuplicates(["content"]).select("content", "n_tokens")
+    stored = stage(stored, "token-counts")  # so that the join with it can be split where a text is hot
     return keys.join(stored, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
