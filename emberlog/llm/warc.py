@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import located, new_dir, stage, table
+from emberlog.llm.common import new_dir, pick, stage, table, text_of
 
 LEAST, DATE = 100, "1970-01-01T00:00:00Z"
 SLOTS = 4096
@@ -120,30 +120,31 @@ def bounds(keys: DataFrame, target: int) -> list[int]:
 def write(pages: DataFrame, folder: str, *, shard: int | None = None, roll: int = 64 << 20, date: str = DATE) -> DataFrame:
     """Archives pages (page_id, url, html) in folder, whose manifest it returns.
 
-    shard: payload bytes of a shard, a 64th of all within 8 MB to 1 GB by default. roll: compressed bytes of a file.
+    shard: payload bytes of a shard, a 64th of all within 8 to 256 MB by default. roll: compressed bytes of a file.
     """
     spark = pages.sparkSession
-    html = F.coalesce(F.col("row.html").cast("string"), F.lit(""))
-    rows = located(pages)
-    keys = stage(rows.select(F.col("row.page_id").cast("long").alias("page_id"), "file", "pos", F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("n")), "warc-keys")
+    rows = pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), "url", text_of("html").alias("html"))
+    rows = rows.withColumns({"digest": F.sha2("html", 256), "n": F.octet_length("html").cast("long")})
+    keys = stage(rows.select("page_id", "digest", "n"), "warc-keys")
     groups = keys.where(F.col("n") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1 and first is not null").drop("rows")
+    groups = stage(groups, "warc-groups")  # so that the join with it can be split where a payload is hot
     total = keys.agg(F.sum("n")).first()[0] or 0
-    ends = spark.sparkContext.broadcast(np.array(bounds(keys, shard or min(max(total // 64, 8 << 20), 1 << 30)), np.int64))  # a number per shard
+    ends = spark.sparkContext.broadcast(np.array(bounds(keys, shard or min(max(total // 64, 8 << 20), 256 << 20)), np.int64))  # a number per shard
 
     @F.pandas_udf("long")
     def shard_of(page_id: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(ends.value, page_id.fillna(-(1 << 63)).to_numpy(np.int64), "left"))
 
-    refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    meta = keys.join(groups, "digest", "left").select("file", "pos", "page_id", "digest", "n", refers.alias("refers_to"), shard_of("page_id").alias("shard"))
-    body = rows.select("file", "pos", F.col("row.url").alias("url"), html.alias("html")).join(meta.hint("shuffle_hash"), ["file", "pos"])
-    body = body.select("shard", "page_id", "url", "digest", "n", "refers_to", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"))
-    dealt = body.repartition("shard").sortWithinPartitions("shard", "page_id", "digest", "url")
+    # a mark (without html) goes before the rows that are revisits, so that payloads move once and meet no join
+    marks = keys.join(groups, "digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
+    marks = marks.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "n", F.col("first").alias("refers_to"))
+    both = rows.withColumn("refers_to", F.lit(None).cast("long")).unionByName(marks).withColumn("shard", shard_of("page_id"))
+    dealt = both.repartition("shard").sortWithinPartitions("shard", "page_id", "digest", F.col("refers_to").desc_nulls_last(), "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _filesystem(folder)
         store.create_dir(f"{root}/_temporary", recursive=True)
-        out, now, made = None, None, []
+        out, now, mark, made = None, None, (), []
 
         def close() -> None:
             if out is not None:
@@ -152,13 +153,17 @@ def write(pages: DataFrame, folder: str, *, shard: int | None = None, roll: int
 
         for b in batches:
             for r in zip(*(b.column(c).to_pylist() for c in ("shard", "page_id", "url", "digest", "n", "refers_to", "html")), strict=True):
+                if r[5] is not None:
+                    mark = r[1], r[3], r[5]
+                    continue
+                refers_to = mark[2] if mark[:2] == (r[1], r[3]) else None
                 if out is None or now[0] != r[0] or out["bytes"] >= roll:
                     close()
                     now = (r[0], now[1] + 1 if now is not None and now[0] == r[0] else 0)
                     name = f"part-{now[0]:06d}-{now[1]:04d}.warc.gz"
                     temporary = f"_temporary/{name}.{uuid.uuid4().hex}"
                     out = {"name": name, "temporary": temporary, "stream": store.open_output_stream(f"{root}/{temporary}", compression=None), "records": 0, "bytes": 0, "sha": hashlib.sha256()}
-                member = gzip.compress(record(r[1], r[2], (r[6] or "").encode(), r[3], r[4], r[5], date), 6, mtime=0)
+                member = gzip.compress(record(r[1], r[2], r[6].encode(), r[3], r[4], refers_to, date), 6, mtime=0)
                 out["stream"].write(member)
                 out["sha"].update(member)
                 out["bytes"] += len(member)
