@@ -43,7 +43,8 @@ from emberlog.llm.common import located, pick, stage, table
 from emberlog.llm.components import components
 
 WORDS_PER_SHINGLE, SEED, MAX_BITS = 4, 42, 4
-PRINTS, SHINGLE = 4, 5  # of deduplicate: fingerprints of a text, words of a shingle
+PRINTS, SHINGLE, MINIMA = 4, 5, 8  # of deduplicate: fingerprints of a text, words of a shingle, minima of its shingles
+PLACE = 52  # bit of a key at which the number of the fingerprint begins
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # shift and width
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 of the cyclic code, or its reciprocal
 
@@ -153,7 +154,7 @@ def _solve(key: np.ndarray, part: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
     u = fp.view(np.uint64)
     starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
     sizes = np.diff(np.r_[starts, len(key)])
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    a, b, k = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     run = np.repeat(np.arange(len(starts)), sizes)
     small = sizes <= 8
     for off in range(1, 8):
@@ -162,12 +163,14 @@ def _solve(key: np.ndarray, part: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
         hit = i[np.bitwise_count(u[i] ^ u[i + off]) <= MAX_BITS]
         a.append(fp[hit])
         b.append(fp[hit + off])
+        k.append(key[hit])
     for s, n in zip(starts[~small], sizes[~small], strict=True):
         if pairs := forest(u[s : s + n]):
             i, j = np.array(pairs).T
             a.append(fp[s + i])
             b.append(fp[s + j])
-    got = pd.DataFrame({"u": np.concatenate(a), "v": np.concatenate(b)})
+            k.append(np.full(len(i), key[s]))
+    got = pd.DataFrame({"u": np.concatenate(a), "v": np.concatenate(b), "k": np.concatenate(k) >> PLACE})
     return got[got.u != got.v].drop_duplicates()
 
 
@@ -185,29 +188,31 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def links(fps: DataFrame, block: int = 1024) -> DataFrame:
-    """(u, v): a set of links between distinct fingerprints (column fp) with the same components as all links."""
+    """(u, v, k): a set of links between distinct fingerprints (columns fp and k, those of one k apart from others)
+    with the same components as all links."""
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fp = pdf["fp"].to_numpy()
+            fp, which = pdf["fp"].to_numpy(), pdf["k"].to_numpy()
             for i in range(0, len(fp), 4096):
-                r, k = keys(fp[i : i + 4096].view(np.uint64))
-                yield pd.DataFrame({"fp": fp[i : i + 4096][r], "key": k})
+                r, found = keys(fp[i : i + 4096].view(np.uint64))
+                yield pd.DataFrame({"fp": fp[i : i + 4096][r], "key": found | which[i : i + 4096][r] << PLACE})
 
     rows = stage(fps.mapInPandas(keyed, "fp long, key long"), "simhash-keys")
     hot = rows.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("n"))
+    hot = stage(hot, "simhash-hot")  # written down, so that the join with it can be split
     n = F.coalesce("n", F.lit(1))
     own = F.pmod(F.xxhash64("fp"), n).cast("int")
     other = F.explode(F.sequence(F.lit(0), n - 1))
     parted = rows.join(hot, "key", "left").select("key", "fp", n.alias("n"), own.alias("own"), other.alias("other"))
     part = F.when(F.col("n") == 1, F.lit(0)).otherwise(F.least("own", "other") * F.col("n") + F.greatest("own", "other"))
     dealt = parted.select("key", part.cast("long").alias("part"), "fp").repartition("key", "part").sortWithinPartitions("key", "part")
-    return dealt.mapInPandas(_links, "u long, v long").distinct()
+    return dealt.mapInPandas(_links, "u long, v long, k long").distinct()
 
 
 def classes(fps: DataFrame) -> DataFrame:
     """fps (fp and other columns) with `class`, equal for rows whose fingerprints are linked, directly or not."""
-    distinct = stage(fps.select("fp").distinct(), "simhash-fps")
+    distinct = stage(fps.select("fp", F.lit(0).cast("long").alias("k")).distinct(), "simhash-fps")
     found = components(links(distinct))
     return fps.join(found.select(F.col("node").alias("fp"), F.col("component").alias("class")), "fp", "left").withColumn("class", F.coalesce("class", "fp"))
 
@@ -276,46 +281,43 @@ def _prints(rows: DataFrame, shingles: bool) -> DataFrame:
 
 def candidates(prints: DataFrame) -> DataFrame:
     """(file, pos, doc_id, class) of rows that share a near fingerprint with others, of a frame with prints."""
-    spark = prints.sparkSession
-    each = prints.select(F.xxhash64("file", "pos").alias("node"), F.posexplode("prints").alias("k", "fp"))
-    edges = None
-    for k in range(PRINTS):
-        own = each.where(F.col("k") == k)
-        counted = stage(own.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "simhash-fps")
-        near = stage(links(counted.select("fp")), "simhash-links")
-        busy = near.select(F.explode(F.array("u", "v")).alias("fp")).unionByName(counted.where("n > 1").select("fp")).distinct()
-        name = lambda c, k=k: F.xxhash64(F.lit(k), F.col(c))
-        held = own.join(busy, "fp").select(F.col("node").alias("u"), name("fp").alias("v"))
-        part = held.unionByName(near.select(name("u").alias("u"), name("v").alias("v")))
-        edges = part if edges is None else edges.unionByName(part)
-    found = components(edges) if edges is not None else spark.createDataFrame([], "node long, component long")
-    return prints.select("file", "pos", "doc_id", F.xxhash64("file", "pos").alias("node")).join(found, "node").select("file", "pos", "doc_id", F.col("component").alias("class"))
+    each = prints.select(F.xxhash64("file", "pos").alias("node"), F.posexplode("prints").alias("k", "fp")).withColumn("k", F.col("k").cast("long"))
+    counted = stage(each.groupBy("k", "fp").agg(F.count(F.lit(1)).alias("n")), "simhash-fps")
+    near = stage(links(counted.select("k", "fp")), "simhash-links")
+    busy = stage(near.select("k", F.explode(F.array("u", "v")).alias("fp")).unionByName(counted.where("n > 1").select("k", "fp")).distinct(), "simhash-busy")
+    held = each.join(busy, ["k", "fp"]).select(F.col("node").alias("u"), F.xxhash64("k", "fp").alias("v"))
+    found = components(held.unionByName(near.select(F.xxhash64("k", "u").alias("u"), F.xxhash64("k", "v").alias("v"))))
+    return prints.select("file", "pos", "doc_id", F.xxhash64("file", "pos").alias("node")).join(found, "node").select("file", "pos", "doc_id", "node", F.col("component").alias("class"))
 
 
 def duplicates(rows: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(file, pos) of located rows that repeat, to that Jaccard similarity of five-word shingles, a row that stays.
+    """(file, pos) of located rows that belong to the group of another row, one that stays.
 
-    Candidates are classes of fingerprints linked at MAX_BITS or fewer bits, in any of PRINTS. In each class the first
-    row by (doc_id, place) stays; those similar to it go; of the rest the first stays, and so on until none is left.
-    So what goes is similar to a row that stays, and no pair is listed.
+    Candidates are classes of fingerprints linked at MAX_BITS or fewer bits, in any of PRINTS. Rows of a class that
+    share one of MINIMA minima of their shingles are held against the first such row, and linked to it if their
+    five-word shingles have that Jaccard similarity. Groups are what is linked, directly or not; the first row by
+    (doc_id, place) stays. A row has MINIMA links at most, so no pairs of a class are listed.
     """
     located_ = rows.select(F.col("row.doc_id").alias("doc_id"), "file", "pos", F.col("row.text").alias("text"))
-    prints = stage(_prints(located_, False), "simhash-prints")
-    member = stage(candidates(prints), "simhash-members")
+    member = stage(candidates(stage(_prints(located_, False), "simhash-prints")), "simhash-members")
     held = located_.drop("doc_id").join(member.hint("shuffle_hash"), ["file", "pos"])
-    left = stage(_prints(held, True), "simhash-shingles")
-    gone: DataFrame | None = None
-    while not left.isEmpty():
-        own = F.struct("doc_id", "file", "pos")
-        lead = left.groupBy("class").agg(F.min(own).alias("at"))
-        lead = left.join(lead.select("class", "at.file", "at.pos"), ["class", "file", "pos"]).select("class", F.col("file").alias("f"), F.col("pos").alias("p"), F.col("shingles").alias("first"))
-        shared = F.size(F.array_intersect("shingles", "first"))
-        like = shared >= similarity * (F.size("shingles") + F.size("first") - shared)
-        told = stage(left.join(lead, "class").withColumns({"leads": (F.col("file") == F.col("f")) & (F.col("pos") == F.col("p")), "like": like}).drop("f", "p", "first"), "simhash-round")
-        out = told.where("like and not leads").select("file", "pos")
-        gone = out if gone is None else gone.unionByName(out)
-        left = told.where("not like and not leads").drop("leads", "like")
-    return gone if gone is not None else member.select("file", "pos").where(F.lit(False))
+    told = stage(_prints(held, True), "simhash-shingles")
+    minima = F.array(*[F.array_min(F.transform("shingles", _mixed(k))) for k in range(MINIMA)])
+    keyed = told.select("node", "class", F.struct("doc_id", "file", "pos", "node").alias("own"), F.posexplode(minima).alias("k", "least")).withColumn("least", F.coalesce("least", F.lit(0)))
+    key = ["class", "k", "least"]
+    first = stage(keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("lead")).where("n > 1"), "simhash-leads")
+    pairs = keyed.join(first, key).select("node", F.col("lead.node").alias("lead")).where("node <> lead").distinct()
+    shingles = told.select("node", "shingles")
+    both = stage(pairs.join(shingles, "node"), "simhash-pairs").join(shingles.select(F.col("node").alias("lead"), F.col("shingles").alias("other")), "lead")
+    shared = F.size(F.array_intersect("shingles", "other"))
+    alike = both.where(shared >= similarity * (F.size("shingles") + F.size("other") - shared))
+    groups = told.select("doc_id", "file", "pos", "node").join(components(alike.select(F.col("node").alias("u"), F.col("lead").alias("v"))), "node")
+    stay = stage(groups.groupBy("component").agg(F.min(F.struct("doc_id", "file", "pos")).alias("stay")), "simhash-stay").select("stay.file", "stay.pos")
+    return groups.select("file", "pos").join(stay, ["file", "pos"], "left_anti")
+
+
+def _mixed(k: int):
+    return lambda x: F.xxhash64(F.lit(k), x)
 
 
 def deduplicate(docs: DataFrame, similarity: float = 0.8) -> DataFrame:

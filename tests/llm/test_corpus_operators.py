@@ -135,7 +135,7 @@ def test_simhash_hot_key(spark):
     while len(fps) < 300:
         x = list(fps)[int(r.integers(len(fps)))]
         fps.add(x ^ (1 << int(r.integers(20))) ^ (1 << int(r.integers(20))))
-    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    df = spark.createDataFrame([(x, 0) for x in fps], "fp long, k long")
     found = components.components(simhash.links(df, block=16)).collect()
     root = brute_classes(fps)
     assert {(r.node) for r in found} == {f for f in fps if sum(root[g] == root[f] for g in fps) > 1}
