@@ -152,11 +152,15 @@ def train(texts: list[str | None], toxic: list[int], s: Settings = Settings()) -
             in_toxic[own] += int(label)
     pooled = np.clip(seen / len(y), 1e-9, 1 - 1e-9)
     pull = (in_toxic / y.sum() - (seen - in_toxic) / (len(y) - y.sum())) / np.sqrt(pooled * (1 - pooled) * (1 / y.sum() + 1 / (len(y) - y.sum())))
-    live = np.flatnonzero((seen >= s.least) & (pull >= s.signal))
-    place = np.full(s.buckets, -1)
+    chosen = (seen >= s.least) & (pull >= s.signal)
+    live = np.flatnonzero(chosen)
+    del seen, in_toxic, pooled
+    place = np.full(s.buckets, -1, np.int32)
     place[live] = np.arange(len(live))
-    owner = np.repeat(np.arange(len(sizes)), sizes)[place[flat] >= 0]
-    flat = place[flat][place[flat] >= 0]
+    kept = chosen[flat]
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[kept]
+    flat = place[flat[kept]]
+    del kept, packed, lengths
 
     rng = np.random.default_rng(s.seed)
     layer, bias = rng.normal(0, 0.5, s.size), np.array([np.log(share / (1 - share))])
@@ -170,11 +174,11 @@ def train(texts: list[str | None], toxic: list[int], s: Settings = Settings()) -
         order = np.lexsort((z, doc))
         top = order[first[1:] - 1]
         extra = first[:-1] + (rng.random(len(seqs)) * np.diff(first)).astype(np.int64)
-        chosen, dy, dw = np.concatenate((top, extra[y == 0])), np.concatenate((y, y[y == 0])), np.concatenate((weight, 0.5 * weight[y == 0]))
-        g = dw * (1 / (1 + np.exp(-np.clip(z[chosen] + bias, -500, 500))) - dy) / len(y)
+        win, dy, dw = np.concatenate((top, extra[y == 0])), np.concatenate((y, y[y == 0])), np.concatenate((weight, 0.5 * weight[y == 0]))
+        g = dw * (1 / (1 + np.exp(-np.clip(z[win] + bias, -500, 500))) - dy) / len(y)
         delta = np.zeros(len(stream) + 1)
-        np.add.at(delta, begins[chosen], g / np.maximum(ends[chosen] - begins[chosen], 1))
-        np.add.at(delta, ends[chosen], -g / np.maximum(ends[chosen] - begins[chosen], 1))
+        np.add.at(delta, begins[win], g / np.maximum(ends[win] - begins[win], 1))
+        np.add.at(delta, ends[win], -g / np.maximum(ends[win] - begins[win], 1))
         by_word = np.bincount(stream, np.cumsum(delta)[:-1], len(ids)) / sizes
         by_bucket = np.bincount(flat, by_word[owner], len(live))
         grads = (by_bucket[:, None] * layer + s.decay * vec, by_bucket @ vec + s.decay * layer, np.array([g.sum()]))
