@@ -290,28 +290,95 @@ def candidates(prints: DataFrame) -> DataFrame:
     return prints.select("file", "pos", "doc_id", F.xxhash64("file", "pos").alias("node")).join(found, "node").select("file", "pos", "doc_id", "node", F.col("component").alias("class"))
 
 
+def _spread(flat: np.ndarray, sizes: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Index pairs that connect just the sets of one group that are alike, directly or not; flat: their members, set by set."""
+    value = np.unique(flat, return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    begins, mark = ends - sizes, np.zeros(len(flat), bool)
+    left, out = np.arange(len(sizes)), []
+    while len(left):
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            i = front.pop()
+            own = value[begins[i] : ends[i]]
+            mark[own] = True
+            upto = np.r_[0, np.cumsum(mark[value])]
+            mark[own] = False
+            shared = upto[ends[left]] - upto[begins[left]]
+            hit = shared >= similarity * (sizes[i] + sizes[left] - shared)
+            front += list(left[hit])
+            out += [(i, j) for j in left[hit]]
+            left = left[~hit]
+    return out
+
+
+def _verify(similarity: float):
+    """Tasks over (key, part, node, shingles) in order of (key, part): links of alike rows of a group, which is held whole."""
+
+    def solve(node: pa.ChunkedArray, shingles: pa.ChunkedArray) -> pa.RecordBatch:
+        sets = shingles.combine_chunks()
+        sets = pa.concat_arrays(sets.chunks) if isinstance(sets, pa.ChunkedArray) else sets
+        found = _spread(sets.flatten().to_numpy(zero_copy_only=False), sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), similarity)
+        own, (i, j) = node.to_numpy(), np.array(found, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(own[j])], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = t if carry is None else pa.concat_tables([carry, t])
+            key, part = t["key"].to_numpy(), t["part"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+            for x, y in zip(starts, starts[1:], strict=False):
+                yield solve(t["node"][x:y], t["shingles"][x:y])
+            carry = t.slice(starts[-1])
+        if carry is not None:
+            yield solve(carry["node"], carry["shingles"])
+
+    return run
+
+
+def alike(told: DataFrame, similarity: float = 0.8, block: int = 256) -> DataFrame:
+    """(u, v): links between nodes of told (node, class, shingles) with the same components as all pairs of a class that
+    share one of MINIMA minima of their shingles and are alike.
+
+    Equal sets are merged first, and groups with the same members taken once. A group of more than `block` sets is dealt
+    out as pairs of blocks, each its own group of bounded size.
+    """
+    minima = F.array(*[F.coalesce(F.array_min(F.transform("shingles", _mixed(k))), F.lit(0)) for k in range(MINIMA)])
+    light = stage(told.select("node", "class", F.struct(F.size("shingles"), F.xxhash64("shingles"), F.xxhash64(F.lit(1), "shingles")).alias("set"), minima.alias("minima")), "simhash-minima")
+    same = stage(light.groupBy("class", "set").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("rep")).where("n > 1").drop("n"), "simhash-same")
+    known = stage(light.join(same, ["class", "set"], "left").withColumn("rep", F.coalesce("rep", "node")).drop("set"), "simhash-sets")
+    group = ["class", "k", "least"]
+    keyed = known.where("node = rep").select("node", "class", F.posexplode("minima").alias("k", "least"))
+    members = F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")
+    held = keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *members).where("n > 1")
+    once = held.groupBy("class", "n", "x", "y").agg(F.min(F.struct("k", "least")).alias("g"))
+    once = stage(once.select("class", "g.k", "g.least", F.ceil(F.col("n") / block).cast("int").alias("n"), F.xxhash64("class", "g.k", "g.least").alias("key")), "simhash-groups")
+    own = F.pmod(F.xxhash64("node"), "n").cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    dealt = keyed.join(once, group).select("node", "key", "n", own.alias("own"), other.alias("other")).where("n = 1 or own <> other")
+    part = (F.least("own", "other") * F.col("n").cast("long") + F.greatest("own", "other")).alias("part")
+    dealt = stage(dealt.select("node", "key", part), "simhash-dealt")
+    rows = dealt.join(told.select("node", "shingles"), "node").select("key", "part", "node", "shingles")
+    found = rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_verify(similarity), "u long, v long")
+    return found.unionByName(known.where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v")))
+
+
 def duplicates(rows: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(file, pos) of located rows that belong to the group of another row, one that stays.
 
-    Candidates are classes of fingerprints linked at MAX_BITS or fewer bits, in any of PRINTS. Rows of a class that
-    share one of MINIMA minima of their shingles are held against the first such row, and linked to it if their
-    five-word shingles have that Jaccard similarity. Groups are what is linked, directly or not; the first row by
-    (doc_id, place) stays. A row has MINIMA links at most, so no pairs of a class are listed.
+    Candidates are classes of fingerprints linked at MAX_BITS or fewer bits, in any of PRINTS. All rows of a class that
+    share one of MINIMA minima of their shingles are compared, and linked if their five-word shingles have that Jaccard
+    similarity (see alike). Groups are what is linked, directly or not; the first row by (doc_id, place) stays.
     """
     located_ = rows.select(F.col("row.doc_id").alias("doc_id"), "file", "pos", F.col("row.text").alias("text"))
     member = stage(candidates(stage(_prints(located_, False), "simhash-prints")), "simhash-members")
     held = located_.drop("doc_id").join(member.hint("shuffle_hash"), ["file", "pos"])
     told = stage(_prints(held, True), "simhash-shingles")
-    minima = F.array(*[F.array_min(F.transform("shingles", _mixed(k))) for k in range(MINIMA)])
-    keyed = told.select("node", "class", F.struct("doc_id", "file", "pos", "node").alias("own"), F.posexplode(minima).alias("k", "least")).withColumn("least", F.coalesce("least", F.lit(0)))
-    key = ["class", "k", "least"]
-    first = stage(keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("lead")).where("n > 1"), "simhash-leads")
-    pairs = keyed.join(first, key).select("node", F.col("lead.node").alias("lead")).where("node <> lead").distinct()
-    shingles = told.select("node", "shingles")
-    both = stage(pairs.join(shingles, "node"), "simhash-pairs").join(shingles.select(F.col("node").alias("lead"), F.col("shingles").alias("other")), "lead")
-    shared = F.size(F.array_intersect("shingles", "other"))
-    alike = both.where(shared >= similarity * (F.size("shingles") + F.size("other") - shared))
-    groups = told.select("doc_id", "file", "pos", "node").join(components(alike.select(F.col("node").alias("u"), F.col("lead").alias("v"))), "node")
+    groups = told.select("doc_id", "file", "pos", "node").join(components(alike(told, similarity)), "node")
     stay = stage(groups.groupBy("component").agg(F.min(F.struct("doc_id", "file", "pos")).alias("stay")), "simhash-stay").select("stay.file", "stay.pos")
     return groups.select("file", "pos").join(stay, ["file", "pos"], "left_anti")
 

@@ -142,6 +142,51 @@ def test_simhash_hot_key(spark):
     assert len({r.component for r in found}) == len({root[r.node] for r in found})
 
 
+def jaccard(a, b, n=5):
+    x, y = ({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def edited(text, n, r):
+    w = text.split()
+    for k in range(n):
+        w[(k * len(w) // n) + r.randrange(5, len(w) // n - 5)] = f"new{r.randrange(10**9)}"
+    return " ".join(w)
+
+
+def test_simhash_edited_copies(spark):
+    """Copies that are alike only through their original, which isn't the first of them."""
+    r = random.Random(21)
+    original = prose(200, r)
+    texts = [edited(original, 4, r) for _ in range(50)]
+    assert all(jaccard(original, t) >= 0.8 for t in texts) and max(jaccard(texts[0], t) for t in texts[1:]) < 0.8
+    texts.insert(30, original)
+    df = docs_of(spark, [(k, t, "s") for k, t in enumerate([*texts, prose(200, r)])])
+    assert [x.doc_id for x in simhash.deduplicate(df).orderBy("doc_id").collect()] == [0, 51]
+
+
+def test_simhash_alike_in_blocks(spark):
+    """Large groups are dealt out as pairs of blocks, and equal sets are merged, with the same groups as brute force."""
+    r = random.Random(22)
+    sets = []
+    for base in range(4):
+        whole = [base * 1000 + k for k in range(100)]
+        sets += [sorted(set(whole) - set(r.sample(whole[10:], 12))) for _ in range(25)] + [whole] * 3
+    sets += [[], []]
+    told = spark.createDataFrame([(k, 1, s) for k, s in enumerate(sets)], "node long, class long, shingles array<long>")
+    root = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y)) and root[i] != root[j]:
+                root = [root[j] if q == root[i] else q for q in root]
+    want = {frozenset(k for k in range(len(sets)) if root[k] == q) for q in root}
+    for block in (256, 8):
+        groups = {}
+        for x in components.components(simhash.alike(told, block=block)).collect():
+            groups.setdefault(x.component, set()).add(x.node)
+        assert set(map(frozenset, groups.values())) == {g for g in want if len(g) > 1}
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(50)] + [(100, 100 + k) for k in range(1, 40)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
