@@ -9,7 +9,10 @@ the arcs that leave the patterns' supply, so shortest augmenting paths are found
 Targets. Sources in code-point order, null last, weigh 5, 2, 1, repeating; together they get `share` times all
 words; a target stops at `most` times its source's words and what is left over goes to the others by weight.
 
-Only a row per pattern reaches the driver; more than `max_patterns` of them are refused with an error.
+Targets are found on Spark. A pattern of one source that no pattern of more sources meets gives that source's
+target and stays on Spark, however many there are. Only patterns of two or more sources, and those of one that they
+meet, reach the driver for the flow, a row each; more than `max_shared` patterns of two or more are refused with an
+error, as are more than `max_patterns` of any kind where a caller gives that limit.
 
 Defined results. A null text has size 0, as has a blank one. A document without a source belongs to the source
 null. Null doc_ids sort first. Rows that repeat doc_id and size are taken or left together at the boundary. An
@@ -28,6 +31,7 @@ from pyspark.sql import types as T
 from emberlog.llm.common import stage, table, text_of
 
 WEIGHTS, SHARE, MOST, SEED, BUCKET = (5, 2, 1), 1.5, 2, "mix-1", 3
+FEW = 50_000  # patterns of a plan that is sent to all tasks; a larger one is joined by key
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -40,7 +44,7 @@ def order_of(doc_id: Column) -> Column:
 
 
 def targets(sizes: dict[str | None, int], share: float = SHARE, most: int = MOST) -> dict[str | None, float]:
-    """Target of each source: in proportion to its weight, but for those that stop at `most` times their size."""
+    """Target of each source: in proportion to its weight, but for those that stop at `most` times their size. For a few sources; see targets_of."""
     ordered = sorted((s for s in sizes if s is not None), key=lambda s: s.encode("utf-8", "surrogatepass")) + [None] * (None in sizes)
     weight = {s: WEIGHTS[i % len(WEIGHTS)] for i, s in enumerate(ordered)}
     total, full, heavy = share * sum(sizes.values()), 0, sum(weight.values())
@@ -53,6 +57,30 @@ def targets(sizes: dict[str | None, int], share: float = SHARE, most: int = MOST
     return {s: min(float(most * sizes[s]), level * weight[s]) for s in ordered}
 
 
+def targets_of(sizes: DataFrame, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """sizes (source, size; a row per source) with the target that `targets` gives, of any number of sources."""
+    order = F.col("source").asc_nulls_last()
+    placed = stage(sizes.repartitionByRange(order).sortWithinPartitions(order).withColumn("at", F.monotonically_increasing_id()), "mix-sources")
+    part = F.shiftright("at", 33).cast("int")
+    counts = {r.part: r.n for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per partition
+    if not counts:
+        return placed.select("source", "size", F.lit(0.0).alias("target"))
+    before = [0]
+    for k in range(max(counts)):
+        before.append(before[-1] + counts.get(k, 0))
+    place = F.element_at(F.array(*map(F.lit, before)), part + 1) + F.col("at").bitwiseAND((1 << 33) - 1)
+    weighed = stage(placed.select("source", "size", F.element_at(F.array(*map(F.lit, WEIGHTS)), (place % len(WEIGHTS) + 1).cast("int")).cast("long").alias("weight")), "mix-weights")
+    total, heavy = weighed.agg(F.sum("size"), F.sum("weight")).first()
+    total, level = share * total, share * total / heavy
+    while True:  # the level rises until no source stops below it that didn't before
+        under = F.lit(level) * F.col("weight") <= most * F.col("size")
+        full, heavy = weighed.agg(F.coalesce(F.sum(F.when(~under, most * F.col("size"))), F.lit(0)), F.sum(F.when(under, F.col("weight")))).first()
+        if not heavy or (total - full) / heavy <= level:
+            break
+        level = (total - full) / heavy
+    return weighed.select("source", "size", F.least((most * F.col("size")).cast("double"), F.lit(level) * F.col("weight")).alias("target"))
+
+
 def flow(supply: dict[str, int], members: dict[str, list[str | None]], demand: dict[str | None, int], tiers: int) -> dict[str, int]:
     """Words that each pattern gives: a minimum-cost maximum flow in which the k-th reading of a word costs k - 1."""
     sent: dict[tuple[str, str | None], int] = {(p, s): 0 for p in sorted(supply) for s in members[p]}
@@ -95,41 +123,51 @@ def flow(supply: dict[str, int], members: dict[str, list[str | None]], demand: d
     return used
 
 
-def plan(sized: DataFrame, *, share: float = SHARE, most: int = MOST, max_patterns: int = 4096) -> DataFrame:
-    """A row per pattern, at most max_patterns: key, source_size, target (of its first source), passes, cut.
+def _served(supply: DataFrame, wanted: DataFrame, most: int, max_shared: int) -> DataFrame:
+    """(key, given) of the patterns of two or more sources, and of those of one source that they meet, by the flow."""
+    spark = supply.sparkSession
+    many = supply.where(F.size("members") > 1)
+    rows = many.limit(max_shared + 1).collect()
+    if len(rows) > max_shared:
+        raise ValueError(f"more than {max_shared} membership patterns of two or more sources")
+    given: dict[str, int] = {}
+    if rows:
+        met = many.select(F.explode("members").alias("met")).distinct()
+        rows += supply.where(F.size("members") == 1).join(met, F.col("members")[0].eqNullSafe(F.col("met")), "left_semi").collect()
+        demand = {r.source: int(r.target) for r in wanted.join(met, F.col("source").eqNullSafe(F.col("met")), "left_semi").collect()}
+        given = flow({r.key: r.n for r in rows}, {r.key: r.members for r in rows}, demand, most)
+    return spark.createDataFrame(list(given.items()), "key string, given long")
+
+
+def plan(sized: DataFrame, *, share: float = SHARE, most: int = MOST, max_patterns: int | None = None, max_shared: int = 4096) -> DataFrame:
+    """A row per pattern: key, source_size, target (of its first source), passes, cut.
 
     sized: key (JSON of the sources), doc_id, size, h. A document is read `passes` times, and once more if
     (h, doc_id, size) isn't above the cut. The cut is found from sums by hash prefix, then within one prefix.
     """
-    spark = sized.sparkSession
-    rows = sized.groupBy("key").agg(F.sum("size").alias("n")).limit(max_patterns + 1).collect()
-    if len(rows) > max_patterns:
+    supply = stage(sized.groupBy("key").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).withColumn("members", F.from_json("key", "array<string>")), "mix-patterns")
+    if max_patterns is not None and supply.limit(max_patterns + 1).count() > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
-    supply = {r.key: int(r.n or 0) for r in rows}
-    members = {k: json.loads(k) for k in supply}
-    sizes: dict[str | None, int] = {}
-    for k, n in supply.items():
-        for s in members[k]:
-            sizes[s] = sizes.get(s, 0) + n
-    wanted = targets(sizes, share, most)
-    given = flow(supply, members, {s: int(t) for s, t in wanted.items()}, most)
-    passes = {k: given[k] // n if n else 0 for k, n in supply.items()}
-    rest = {k: given[k] - passes[k] * supply[k] for k in supply}
-
-    rests = spark.createDataFrame(list(rest.items()), "key string, rest long")
+    sizes = supply.select(F.explode("members").alias("source"), "n").groupBy("source").agg(F.sum("n").alias("size"))
+    wanted = stage(targets_of(sizes, share, most), "mix-targets")
+    served = _served(supply, wanted, most, max_shared)
+    own = supply.join(wanted, F.col("members")[0].eqNullSafe(F.col("source"))).join(served, "key", "left")
+    own = own.withColumn("given", F.coalesce("given", F.floor("target").cast("long")))
+    passes = F.when(F.col("n") > 0, F.expr("given div n")).otherwise(F.lit(0)).cast("long")
+    own = own.withColumn("passes", passes).select("key", F.col("size").alias("source_size"), "target", "passes", (F.col("given") - F.col("passes") * F.col("n")).alias("rest"))
+    own = stage(own, "mix-passes")
+
     prefix = F.substring("h", 1, BUCKET).alias("prefix")
     upto = F.sum("n").over(Window.partitionBy("key").orderBy("prefix"))
     sums = sized.groupBy("key", prefix).agg(F.sum("size").alias("n")).withColumn("upto", upto)
-    cuts = sums.join(F.broadcast(rests), "key").where("upto - n <= rest and rest < upto").select("key", "prefix", (F.col("rest") - F.col("upto") + F.col("n")).alias("rest"))
-    inner = sized.withColumn("prefix", prefix).join(F.broadcast(cuts), ["key", "prefix"])
+    cuts = sums.join(own.select("key", "rest"), "key").where("upto - n <= rest and rest < upto").select("key", "prefix", (F.col("rest") - F.col("upto") + F.col("n")).alias("rest"))
+    cuts = stage(cuts, "mix-cuts")
+    inner = sized.withColumn("prefix", prefix).join(cuts, ["key", "prefix"])
     past = F.sum("size").over(Window.partitionBy("key").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    last = inner.withColumn("past", past).where("2 * past + size <= 2 * rest").groupBy("key").agg(F.max(F.struct("h", "doc_id", "size")).alias("cut"))
-    cut = {r.key: (r.prefix, None, None) for r in cuts.collect()} | {r.key: tuple(r.cut) for r in last.collect()}  # a row per pattern at most
-    schema = T.StructType([
-        T.StructField("key", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("passes", T.LongType()),
-        T.StructField("cut", T.StructType([T.StructField("h", T.StringType()), T.StructField("doc_id", sized.schema["doc_id"].dataType), T.StructField("size", T.LongType())])),
-    ])
-    return spark.createDataFrame([(k, sizes[members[k][0]], wanted[members[k][0]], passes[k], cut.get(k)) for k in sorted(supply)], schema)
+    last = inner.withColumn("past", past).where("2 * past + size <= 2 * rest").groupBy("key").agg(F.max(F.struct("h", "doc_id", "size")).alias("last"))
+    none = F.struct(F.col("prefix").alias("h"), F.lit(None).cast(sized.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("long").alias("size"))
+    cut = F.coalesce("last", F.when(F.col("prefix").isNotNull(), none)).alias("cut")
+    return stage(own.join(cuts.select("key", "prefix"), "key", "left").join(last, "key", "left").select("key", "source_size", "target", "passes", cut), "mix-plan")
 
 
 def _key(sources: Column | None) -> Column:
@@ -140,7 +178,8 @@ def _key(sources: Column | None) -> Column:
 def _taken(df: DataFrame, made: DataFrame) -> DataFrame:
     """df with the plan's columns and copies."""
     more = F.coalesce(F.struct("h", "doc_id", "size") <= F.struct("cut.h", "cut.doc_id", "cut.size"), F.lit(False))
-    return df.join(F.broadcast(made), "key").withColumn("copies", F.col("passes") + F.when(F.col("cut").isNotNull() & more, 1).otherwise(0))
+    few = made.limit(FEW + 1).count() <= FEW
+    return df.join(F.broadcast(made) if few else made, "key").withColumn("copies", F.col("passes") + F.when(F.col("cut").isNotNull() & more, 1).otherwise(0))
 
 
 def decide(docs: DataFrame, sources: Column | None = None, **options) -> DataFrame:

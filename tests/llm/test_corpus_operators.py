@@ -240,6 +240,48 @@ def test_mixing(spark):
         mixing.decide(df, max_patterns=2).count()
 
 
+def test_mixing_many_sources(spark, monkeypatch):
+    """More sources than any limit of patterns, with the same targets and selection as brute force."""
+    r = random.Random(31)
+    rows = [(k, " ".join("w" * r.randint(0, 30)), f"host{r.randrange(20_000)}" if k % 3 else "busy") for k in range(9000)] + [(9001, "a b", None), (9002, "", "none")]
+    size, of = {}, {}
+    for i, t, s in rows:
+        size[s] = size.get(s, 0) + len(t.split())
+        of.setdefault(s, []).append((hashlib.md5(f"mix-1:{i}".encode()).hexdigest(), i, len(t.split())))
+    assert len(size) > 4096
+    wanted, want = mixing.targets(size), {}
+    for s, held in of.items():
+        passes, rest = divmod(int(wanted[s]), size[s]) if size[s] else (0, 0)
+        past = 0
+        for _, i, n in sorted(held):
+            want[i] = (size[s], pytest.approx(wanted[s]), n * (passes + (2 * past + n <= 2 * rest)))
+            past += n
+    for few in (50_000, 10):
+        monkeypatch.setattr(mixing, "FEW", few)
+        got = {x.doc_id: (x.source_size, x.target, x.taken) for x in mixing.decide(docs_of(spark, rows)).collect()}
+        assert got == want
+
+
+def test_mixing_shared_patterns(spark):
+    """Patterns of two sources go through the flow with the sources they meet; what the others give is as in one flow of all."""
+    rows = [(k, prose(10 + k % 7), "-".join([["a"], ["a", "b"], ["b"], ["c"], ["d"], ["d", "e"]][k % 6])) for k in range(120)]
+    df = docs_of(spark, rows)
+    parted = F.split("source", "-")
+    supply = {}
+    for _, t, s in rows:
+        supply[s] = supply.get(s, 0) + len(t.split())
+    sizes = {x: sum(n for s, n in supply.items() if x in s.split("-")) for x in "abcde"}
+    given = mixing.flow(supply, {s: s.split("-") for s in supply}, {x: int(t) for x, t in mixing.targets(sizes).items()}, 2)
+    source = {i: s for i, _, s in rows}
+    taken = dict.fromkeys(supply, 0)
+    for x in mixing.decide(df, parted).collect():
+        taken[source[x.doc_id]] += x.taken
+        assert x.source_size == sizes[source[x.doc_id].split("-")[0]]
+    assert all(abs(taken[s] - given[s]) <= 16 for s in supply)
+    with pytest.raises(ValueError):
+        mixing.decide(df, parted, max_shared=1).count()
+
+
 def test_flow():
     """Overlapping sources: patterns with two sources serve the one in need, and second readings come last."""
     members = {"x": ["a"], "y": ["a", "b"], "z": ["b"]}
