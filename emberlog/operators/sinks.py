@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions.scalars import csv_safe
-from emberlog.operators.paging import latest_by_id, ordered
+from emberlog.operators.paging import latest_by_id, order_of, ordered
 
 
 def write_logs(df: DataFrame, path: str, batch_id: str) -> None:
@@ -61,12 +61,36 @@ def export_ndjson(df: DataFrame, path: str, order: str = "newest") -> None:
 
 
 def export_json(df: DataFrame, order: str = "newest") -> DataFrame:
-    """One row with a JSON array of a small result in order; large ones want export_ndjson."""
+    """One row with a JSON array of a small result in order; large ones want export_json_array or export_ndjson."""
     rows = F.array_sort(F.collect_list(F.struct("ts", "id", F.to_json(F.struct("*")).alias("j"))))
     rows = F.reverse(rows) if order == "newest" else rows
     return df.agg(F.concat(F.lit("["), F.array_join(F.transform(rows, lambda r: r["j"]), ","), F.lit("]")).alias("value"))
 
 
+def export_json_array(df: DataFrame, path: str, order: str = "newest") -> None:
+    """A JSON array of any size as text files in order of name: the first line opens it, later ones begin with a comma, the last file closes it."""
+    spark = df.sparkSession
+    hadoop, held_at = spark._jvm.org.apache.hadoop.fs, f"{path}.held"
+    df.select("ts", "id", F.to_json(F.struct("*")).alias("j"), F.monotonically_increasing_id().alias("n")).write.mode("overwrite").parquet(held_at)
+    held = spark.read.parquet(held_at)
+    by = [*order_of(order), F.col("n")]
+    first = held.orderBy(*by).select("n").first()
+    start = F.when(F.col("n") == F.lit(first.n if first else 0), "[").otherwise(",")
+    held.orderBy(*by).select(F.concat(start, "j").alias("value")).write.mode("overwrite").text(path)
+    close = hadoop.Path(f"{path}/part-z-close.txt")
+    fs = close.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(hadoop.Path(held_at), True)
+    out = fs.create(close)
+    out.writeBytes("]\n" if first else "[]\n")
+    out.close()
+
+
+def read_json_array_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The records of export_json_array."""
+    lines = spark.read.text(path).where(~F.col("value").isin("]", "[]"))
+    return lines.select(F.from_json(F.substr("value", F.lit(2)), schema).alias("r")).select("r.*")
+
+
 def as_csv(df: DataFrame) -> DataFrame:
     """The columns of a CSV export, as text and safe for spreadsheets."""
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -285,6 +286,27 @@ def test_sinks(spark, make_logs, tmp_path):
     assert spark.read.json(str(tmp_path / "rejects")).count() == 5
 
 
+def test_export_json_array(spark, make_logs, tmp_path):
+    """All rows in one array over several files, in order, however many there are."""
+    df = make_logs([(f"{k:04}", k // 3, "s", "a", "error", 'x,"\n]' if k % 2 else "m", None) for k in range(1200)])
+    for order, rows in (("newest", df.repartition(3)), ("oldest", df), ("newest", df.limit(0))):
+        K.export_json_array(rows, str(tmp_path / "array"), order)
+        text = "".join(p.read_text() for p in sorted((tmp_path / "array").glob("part-*")))
+        assert [r["id"] for r in json.loads(text)] == [r.id for r in K.ordered(rows, order).collect()]
+        assert K.read_json_array_lines(spark, str(tmp_path / "array"), "id string, message string").count() == rows.count()
+
+
+def test_k3_exports_all(spark, monkeypatch):
+    """The query's array has all errors, not just the rows that it shows."""
+    from emberlog.plans.registry import QUERIES
+
+    paths, export = [], K.export_json_array
+    monkeypatch.setattr(K, "export_json_array", lambda df, path, *a: (paths.append(path), export(df, path, *a)))
+    assert QUERIES["k3_export_json"](spark, "/root/testdata/sf0.01").count() == 500
+    errors = spark.read.parquet("/root/testdata/sf0.01/events.parquet").where("event_type = 'error'").count()
+    assert errors > 500 and spark.read.text(paths[0]).where("value <> ']'").count() == errors
+
+
 def test_plans(spark):
     """Filters reach the scan and only needed columns are read."""
     from emberlog.schema import events
