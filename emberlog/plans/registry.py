@@ -545,7 +545,7 @@ def shared(s: SparkSession) -> str:
 def _stream(s: SparkSession, d: str) -> tuple[DataFrame, str]:
     """The logs of events as a stream of files, and a folder for its output."""
     work = f"{shared(s)}/stream-{uuid.uuid4().hex}"
-    events(s, d).select(*LOGS.fieldNames()).write.parquet(f"{work}/in")
+    W.write_in_order(events(s, d).select(*LOGS.fieldNames()), f"{work}/in")
     return W.read_logs_stream(s, f"{work}/in"), work
 
 

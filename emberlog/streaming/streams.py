@@ -22,6 +22,21 @@ def read_logs_stream(spark: SparkSession, path: str, per_batch: int = 1000) -> D
     return spark.readStream.schema(LOGS).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
+def write_in_order(df: DataFrame, path: str, files: int | None = None) -> None:
+    """Stored logs for read_logs_stream, each file later than the one before it, so that no batch brings rows that an earlier one's watermark has passed.
+
+    Batches take files by time of change, which is therefore set in the files' order.
+    """
+    spark = df.sparkSession
+    (df.repartitionByRange(files, "ts") if files else df.repartitionByRange("ts")).sortWithinPartitions("ts").write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().toString() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))  # a name per file
+    now = max((fs.getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(n)).getModificationTime() for n in names), default=0)
+    for k, name in enumerate(names):
+        fs.setTimes(spark._jvm.org.apache.hadoop.fs.Path(name), now - 1000 * (len(names) - k), -1)
+
+
 def tail_files(spark: SparkSession, folder: str, *, per_batch: int = 1000) -> DataFrame:
     """Lines (value, file) of files as they are closed; a file that grows in place isn't read again."""
     return spark.readStream.option("maxFilesPerTrigger", per_batch).text(folder).select("value", F.col("_metadata.file_path").alias("file"))
