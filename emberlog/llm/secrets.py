@@ -5,14 +5,16 @@ access key id; `hex`, a hexadecimal run. The battery takes the runs of 16 or mor
 span covers, infers each one's encoding (hexadecimal, base 32 or base 64; decimals and plain lower-case or
 capitalised words are ordinary text) and tests three null hypotheses of structure:
   alphabet   the coincidences among its symbols, the chi-squared statistic in another form, are as many as in
-             ordinary text of that alphabet (`Encoding.kappa`);
-  runs       the runs of symbols above and below the alphabet's middle are off by 60 % or more;
-  serial     the correlation of neighbouring symbols is 0.6 or more.
-A token is random only if all three are rejected, so its p-value is the largest of the three. Benjamini and
-Hochberg's procedure then holds the rate of false discoveries at `RATE` in each band of lengths by itself, over
-all tokens of the corpus, because short tokens have little power and would else borrow it from long ones. It
-runs on counts by band and step of log p, a few hundred rows, that alone reach the driver. What it accepts has
-the kind `random`.
+             ordinary text of that alphabet (`Encoding.kappa`) and in ordinary tokens;
+  runs       the runs of symbols above and below the alphabet's middle are as far off as in ordinary tokens;
+  serial     the correlation of neighbouring symbols is as strong as in ordinary tokens.
+The tests have the mean and deviation of the corpus's own ordinary tokens of that band of lengths and encoding;
+where these are fewer than `LEAST` the first goes by kappa and the others say nothing (p = 1). Fisher's method combines the three p-values, so
+that none of them bounds the result; a token whose runs are off or whose correlation is `STRUCTURED` or more is
+never random, however even its symbols (an alphabet in order). Benjamini and Hochberg's procedure then holds the
+rate of false discoveries at `RATE` in each band of lengths by itself, over all tokens of the corpus, because short
+tokens have little power and would else borrow it from long ones. It runs on counts by band and step of log p, a few
+hundred rows, that alone reach the driver. What it accepts has the kind `random`.
 
 Everything is Spark columns. The documents are read once and not shuffled.
 
@@ -36,6 +38,7 @@ TOKEN = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 KINDS = ("assign", "access", "hex", "random")
 BANDS = (24, 32, 48, 96)  # lengths at which the next band begins
 RATE, STEPS, TOP = 0.05, 20, 400  # steps of a tenth power of p; the last step
+LEAST, STRUCTURED = 30, 0.6
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -48,6 +51,7 @@ class Encoding(NamedTuple):
 HEX16 = Encoding(r"^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.125)
 BASE32 = Encoding(r"^[A-Z2-7]+$", "abcdefghijklmnopqrstuvwxyz234567", 0.06)
 BASE64 = Encoding(r".", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.06)
+ENCODINGS = (HEX16, BASE32, BASE64)
 ORDINARY = r"^(?:[0-9]+|[A-Z_/+=-]+|(?:[A-Z]?[a-z]++[-_/+=]?)++)$"
 
 
@@ -91,8 +95,8 @@ def _below(z: Column) -> Column:
     return _let(z, both)
 
 
-def _p(raw: Column, e: Encoding) -> Column:
-    """The battery's p-value of a token read in the encoding e."""
+def _stats(raw: Column, e: Encoding) -> Column:
+    """struct<code, even, off, serial> of a token read in the encoding e; even: deviation of its coincidences from `kappa`."""
     m = len(e.alphabet)
     mid = (m - 1) / 2
 
@@ -101,7 +105,7 @@ def _p(raw: Column, e: Encoding) -> Column:
         counts = F.transform(F.split(F.lit(e.alphabet), ""), lambda c: n - F.length(F.replace(s, c, F.lit(""))))
         coincide = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * (c - 1) / 2)
         pairs = n * (n - 1) / 2
-        alphabet = _below((coincide + 0.5 - pairs * e.kappa) / F.sqrt(pairs * e.kappa * (1 - e.kappa)))
+        even = (coincide + 0.5 - pairs * e.kappa) / F.sqrt(pairs * e.kappa * (1 - e.kappa))
 
         def runs(halves: Column) -> Column:
             low = n - F.length(F.replace(halves, F.lit("L")))
@@ -115,7 +119,7 @@ def _p(raw: Column, e: Encoding) -> Column:
             return F.struct(d.alias("last"), (a["x"] + d).alias("x"), (a["xx"] + d * d).alias("xx"), (a["xy"] + F.coalesce(a["last"] * d, F.lit(0.0))).alias("xy"))
 
         serial = F.abs(F.aggregate(values, start, add, lambda a: F.coalesce(F.try_divide(a["xy"] - a["x"] * a["x"] / n, a["xx"] - a["x"] * a["x"] / n), F.lit(1.0))))
-        return F.greatest(alphabet, _below((off - 0.6) * F.sqrt(n)), _below((serial - 0.6) * F.sqrt(n)))
+        return F.struct(F.lit(ENCODINGS.index(e)).alias("code"), even.alias("even"), F.coalesce(off, F.lit(1.0)).alias("off"), serial.alias("serial"))
 
     return _let(F.rtrim(F.translate(raw, "-_", "+/"), F.lit("=")) if e is BASE64 else F.lower(raw), of)
 
@@ -133,12 +137,49 @@ def scan(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     base = F.array_sort(F.concat(_spans(_found(text, ASSIGN, 2), 0, 12), _spans(_found(text, ACCESS), 1, 18), _spans(_found(text, HEX), 2, 16)))
     df = docs.select(F.col("doc_id"), text_of().alias("text")).select("doc_id", base.alias("base"), _found(text, TOKEN).alias("found"))
-    free = F.filter("found", lambda x: ~F.rlike(x["hit"], F.lit(ORDINARY)) & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    p = lambda h: F.when(F.rlike(h, F.lit(HEX16.pattern)), _p(h, HEX16)).when(F.rlike(h, F.lit(BASE32.pattern)), _p(h, BASE32)).otherwise(_p(h, BASE64))
-    tokens = F.transform(free, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _band(F.length(x["hit"])).alias("band"), _step(p(x["hit"])).alias("step")))
+    free = F.filter("found", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    stats = lambda h: F.when(F.rlike(h, F.lit(HEX16.pattern)), _stats(h, HEX16)).when(F.rlike(h, F.lit(BASE32.pattern)), _stats(h, BASE32)).otherwise(_stats(h, BASE64))
+    tokens = F.transform(free, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _band(F.length(x["hit"])).alias("band"), F.rlike(x["hit"], F.lit(ORDINARY)).alias("ordinary"), stats(x["hit"]).alias("s")))
     return df.select("doc_id", "base", tokens.alias("tokens"))
 
 
+def nulls(scanned: DataFrame) -> Column:
+    """By band and encoding struct<off, off_dev, serial, serial_dev> of the corpus's ordinary tokens; null where too few."""
+    t = scanned.select(F.explode("tokens").alias("t")).where("t.ordinary").groupBy("t.band", "t.s.code")
+    value = {"even": F.least("t.s.even", F.lit(3.0)), "off": F.col("t.s.off"), "serial": F.col("t.s.serial")}  # a run of one symbol tells nothing of the others
+    of = [f(x).alias(n + c) for c, x in value.items() for f, n in ((F.avg, "m_"), (F.stddev, "d_"))]
+    rows = {(r.band, r.code): r for r in t.agg(F.count(F.lit(1)).alias("n"), *of).where(F.col("n") >= LEAST).collect()}  # 15 rows at most
+
+    def cell(r) -> Column:
+        if r is None or not (r.d_off > 0 and r.d_serial > 0):
+            found = {"m_even": 0.0, "d_even": 1.0} | dict.fromkeys(("m_off", "d_off", "m_serial", "d_serial"))
+        else:
+            found = r.asDict() | {"m_even": min(0.0, r.m_even), "d_even": max(1.0, r.d_even)}
+        return F.struct(*(F.lit(found[n + c]).cast("double").alias(n + c) for c in value for n in ("m_", "d_")))
+
+    return F.array(*(cell(rows.get((b, c))) for b in range(len(BANDS) + 1) for c in range(len(ENCODINGS))))
+
+
+def judged(scanned: DataFrame) -> DataFrame:
+    """(doc_id, base, tokens) with the band and the step of the combined p of each token that isn't ordinary."""
+    known = nulls(scanned)
+
+    def step(t: Column) -> Column:
+        def combined(v: Column) -> Column:
+            def evidence(c: str) -> Column:
+                p = _below((t["s"][c] - v[f"m_{c}"]) / v[f"d_{c}"])
+                return F.when(v[f"d_{c}"].isNull(), 0.0).otherwise(-F.ln(F.greatest(p, F.lit(1e-30))))
+
+            # half of Fisher's statistic; its chi-squared law has six degrees of freedom
+            return _let(evidence("even") + evidence("off") + evidence("serial"), lambda y: F.exp(-y) * (1 + y + y * y / 2))
+
+        p = _let(F.element_at(known, t["band"] * len(ENCODINGS) + t["s"]["code"] + 1), combined)
+        return _step(F.when((t["s"]["off"] < STRUCTURED) & (t["s"]["serial"] < STRUCTURED), p).otherwise(1.0))
+
+    tokens = F.transform(F.filter("tokens", lambda t: ~t["ordinary"]), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["band"].alias("band"), step(t).alias("step")))
+    return scanned.select("doc_id", "base", tokens.alias("tokens"))
+
+
 def cutoffs(scanned: DataFrame, rate: float = RATE) -> list[int]:
     """By band the least step of p that is accepted (TOP + 1: none), by Benjamini and Hochberg over all tokens."""
     counts = scanned.select(F.explode("tokens").alias("t")).groupBy("t.band", "t.step").count().collect()  # a few hundred rows
@@ -165,7 +206,7 @@ def _is_kind(k: int):
 
 def decide(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans) for each row of docs."""
-    scanned = stage(scan(docs), "secrets")
+    scanned = stage(judged(stage(scan(docs), "secrets-stats")), "secrets")
     least = F.array(*map(F.lit, cutoffs(scanned, rate)))
     random = F.transform(F.filter("tokens", lambda t: t["step"] >= F.element_at(least, t["band"] + 1)), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end"))).cast(SPANS)
     n = [F.size(F.filter("base", _is_kind(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]

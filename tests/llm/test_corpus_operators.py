@@ -220,6 +220,30 @@ def test_secrets(spark):
     assert secrets.decide(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("length", "share", "recall"), [(48, 0.01, 0.5), (64, 0.001, 0.95)])
+def test_secrets_recall(spark, length, share, recall):
+    """Random tokens that are a small share of a band are found, and hardly any slug or path with digits."""
+    r = random.Random(length)
+    n = 20_000
+
+    def slug():
+        out = ""
+        while len(out) < length:
+            out += "".join(r.choices("etaoinshrdlucmfwypvbgkjqxz", (127, 91, 82, 75, 70, 67, 63, 61, 60, 43, 40, 28, 28, 24, 22, 24, 20, 19, 10, 15, 20, 8, 2, 1, 2, 1), k=r.randint(3, 9))) + r.choice("-_/")
+        return out[: length - 3]
+
+    few = int(n * share)
+    texts = ["".join(r.choice(secrets.BASE64.alphabet) for _ in range(length)) for _ in range(few)]
+    texts += [slug() + f"{r.randrange(1000):03}" for _ in range(n - few)] + [slug() + "end" for _ in range(500)]
+    alphabet = secrets.BASE64.alphabet[26:] + secrets.BASE64.alphabet[:26]
+    texts.append(alphabet[:length])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = [x.doc_id for x in secrets.decide(df).where("n_random > 0").select("doc_id").collect()]
+    hits = sum(i < few for i in found)
+    print("recall", length, share, hits, few, "false", len(found) - hits)
+    assert hits >= recall * few and len(found) - hits <= max(2, 0.1 * len(found)) and len(texts) - 1 not in found
+
+
 def test_mixing(spark):
     rows = EDGES + [(100 + k, prose(20 + k), ["a", "b", "c", None][k % 4]) for k in range(200)]
     df = docs_of(spark, rows)
