@@ -1,34 +1,43 @@
-"""Benchmark decontamination: short items are searched in long documents by size-partitioned MinHash containment.
-
-Words are runs of letters and digits, lower-cased; shingles are five words. Items are partitioned by size: class c
-holds those of up to 2**c distinct shingles. For each class the shingles of a document are cut into blocks of
-2**c, and any item that stands in the document lies within two neighbouring blocks, whose Jaccard similarity to
-it then can't be small however long the document is: at least 0.18 for a containment of 0.8. `PERMUTATIONS`
-minima are compared one by one, so an item is missed with a chance below 0.82**64, 3 in a million. Minima of
-coarse blocks come from those of fine ones. What shares a minimum is verified by exact containment of its
-shingles, as words, in the whole document.
-
-Items of fewer than five words make one shingle of their own length, looked up exactly. The benchmark is taken in
-blocks of `block` items, whose index is sent to all tasks, one pass over the documents for each; documents are
-not shuffled.
-
-Defined results. Null and empty texts hold nothing; an item without a word is found nowhere. Repeated documents
-and items each have their own rows. Empty tables give an empty result. Extra columns pass through `remove`.
+"""Benchmark decontamination: short items are searched in long documents by size-partitioned containment MinHash.
+
+Words are runs of letters and digits, lower-cased; shingles are five words, or all of an item's where it has fewer.
+Items are partitioned by size: class c holds those of up to 2**c distinct shingles, and its sketches are the
+`sketch_size(c)` smallest hashes of an item's shingles. Only the short side is sketched (containment MinHash): a
+minimum of the item is looked up among all shingles of a document, so a match doesn't fade with the document's
+length. An item of n shingles that a document holds to `THRESHOLD` lacks n - need of them at most, and the sketch
+of its class is longer than that; so at least `least` = sketch less lacking of its minima are in the document,
+wherever they stand, whole or in pieces. Nothing is missed, at any size: the bound is counted, not probable.
+Larger classes ask for more minima (`witnesses`), so that phrases which many texts share don't make candidates.
+Candidates are verified by exact containment of their shingles, as words.
+
+One pass over the documents, whatever the size of the benchmark. Tasks get a Bloom filter of the items' shingles
+(`BITS` bits for each, 32 MB at most; beyond that it only lets more through) and pass on, for each document, the
+distinct shingles that it lets through: few, and no text. Documents with the same such shingles, copies for
+instance, are merged before they meet the sketches in a join, so that a passage in a third of all documents is
+looked up once.
+
+Defined results. Null and empty texts hold nothing; an item without a word is found nowhere. Null doc_ids and
+item_ids are kept as they are. Repeated documents and items each have their own rows, also where they share an id.
+Empty tables give an empty result. Extra columns pass through `remove`.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from emberlog.llm.common import pick, table
+from emberlog.llm.common import located, pick, stage, table
 
-SHINGLE, THRESHOLD, PERMUTATIONS, FINEST, SEED = 5, 0.8, 64, 3, 11
+SHINGLE, THRESHOLD = 5, 0.8
+BITS, PROBES, LEAST_BITS, MOST_BITS = 64, 4, 1 << 22, 1 << 28
+FEW = 200_000  # rows of (file, pos) that are broadcast
 WORDS = re.compile(r"[^\W_]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)  # odd: the golden ratio of 64 bits
 
@@ -49,131 +58,154 @@ class _Hashes(dict):
         return h
 
 
-def shingles(found: list[str], n: int = SHINGLE) -> set[tuple[str, ...]]:
-    return set(zip(*(found[i:] for i in range(n)), strict=False))
-
-
-def _hashed(found: list[str], memo: _Hashes) -> np.ndarray:
-    """A 64-bit hash of each shingle, in order."""
-    if len(found) < SHINGLE:
-        return np.empty(0, np.uint64)
+def _hashed(found: list[str], memo: _Hashes, longest: int = SHINGLE) -> list[np.ndarray]:
+    """For n from 1 to `longest` a 64-bit hash of each run of n words, in order."""
     w = np.fromiter(map(memo.__getitem__, found), np.uint64, len(found))
-    out, n = np.zeros(len(w) - SHINGLE + 1, np.uint64), len(w) - SHINGLE + 1
-    for i in range(SHINGLE):
-        out = (out ^ w[i : i + n]) * MIX
-        out ^= out >> np.uint64(29)
+    out, x = [], np.zeros(len(w), np.uint64)
+    for n in range(1, longest + 1):
+        x = (x[: max(0, len(w) - n + 1)] ^ w[n - 1 :]) * MIX
+        x ^= x >> np.uint64(29)
+        out.append(x)
     return out
 
 
-class Index:
-    """A block of items: their shingles, and by size class and permutation their minima."""
-
-    def __init__(self, items: list[tuple[int, str | None]]):
-        rng = np.random.default_rng(SEED)
-        self.a = rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
-        self.b = rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)[:, None]
-        self.items, self.short, by_class, memo = [], {}, {}, _Hashes()
-        for item_id, text in items:
-            found = words(text)
-            if 0 < len(found) < SHINGLE:
-                self.short.setdefault(len(found), {}).setdefault(tuple(found), []).append(item_id)
-            elif found:
-                own = shingles(found)
-                c = max(FINEST, (len(own) - 1).bit_length())
-                by_class.setdefault(c, []).append((len(self.items), self.minima(_hashed(found, memo), np.array([0]))[:, 0]))
-                self.items.append((item_id, own))
-        self.classes = {}
-        for c, rows in sorted(by_class.items()):
-            keys = np.stack([m for _, m in rows], axis=1)
-            owners = np.array([i for i, _ in rows])
-            order = np.argsort(keys, axis=1)
-            seen = np.zeros((PERMUTATIONS, 1 << 16), bool)
-            for k in range(PERMUTATIONS):
-                seen[k, keys[k] >> np.uint64(48)] = True
-            self.classes[c] = (np.take_along_axis(keys, order, axis=1), owners[order], seen)
-
-    def minima(self, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        return np.minimum.reduceat(x[None, :] * self.a + self.b, starts, axis=1)
-
-    def candidates(self, x: np.ndarray) -> set[int]:
-        out: set[int] = set()
-        if not len(x) or not self.classes:
-            return out
-        fine = 1 << min(self.classes)
-        step = max(fine, (1 << 14) // fine * fine)
-        mins = np.concatenate([self.minima(x[i : i + step], np.arange(0, len(x[i : i + step]), fine)) for i in range(0, len(x), step)], axis=1)
-        at = min(self.classes)
-        rows = np.arange(PERMUTATIONS)[:, None]
-        for c, (keys, owners, seen) in self.classes.items():
-            if c > at:
-                mins, at = np.minimum.reduceat(mins, np.arange(0, mins.shape[1], 1 << (c - at)), axis=1), c
-            two = np.minimum(mins[:, :-1], mins[:, 1:]) if mins.shape[1] > 1 else mins
-            for k, j in zip(*np.nonzero(seen[rows, two >> np.uint64(48)]), strict=True):
-                lo, hi = np.searchsorted(keys[k], two[k, j], "left"), np.searchsorted(keys[k], two[k, j], "right")
-                out.update(owners[k, lo:hi].tolist())
-        return out
-
-    def search(self, text: str | None, memo: _Hashes) -> list[tuple[int, int, int]]:
-        """(item_id, shingles found, shingles of the item) of each item that the text holds to THRESHOLD at least."""
-        found = words(text)
-        out = [(i, 1, 1) for n, known in self.short.items() for s in shingles(found, n) if s in known for i in known[s]]
-        near = self.candidates(_hashed(found, memo))
-        if near:
-            own = shingles(found)
-            for k in sorted(near):
-                item_id, wanted = self.items[k]
-                held = len(wanted & own)
-                if held >= THRESHOLD * len(wanted):
-                    out.append((item_id, held, len(wanted)))
-        return out
-
-
-def _blocks(items: DataFrame, block: int) -> Iterator[list[tuple[int, str | None]]]:
-    """The items, `block` at a time."""
-    part: list[tuple[int, str | None]] = []
-    for r in pick(items, "item_id", "text").toLocalIterator():
-        part.append((r.item_id, r.text))
-        if len(part) == block:
-            yield part
-            part = []
-    if part:
-        yield part
-
-
-def find(docs: DataFrame, items: DataFrame, block: int = 10_000) -> DataFrame:
-    """(doc_id, item_id, shared, item_shingles, containment) for each item that a document holds."""
-    spark = docs.sparkSession
-    schema = "doc_id long, item_id long, shared long, item_shingles long, containment double"
-
-    def passing(part):
-        index = spark.sparkContext.broadcast(Index(part))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            memo = _Hashes()
-            for b in batches:
-                rows = [(d.as_py(), i, h, n, h / n) for d, t in zip(b.column("doc_id"), b.column("text"), strict=True) for i, h, n in index.value.search(t.as_py(), memo)]
-                cols = zip(*rows, strict=True) if rows else [[]] * 5
-                types = [pa.int64()] * 4 + [pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "item_id", "shared", "item_shingles", "containment"])
-
-        return pick(docs, "doc_id", "text").mapInArrow(run, schema)
-
-    parts = [passing(p) for p in _blocks(items, block)]
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
-
-
-def remove(docs: DataFrame, items: DataFrame, block: int = 10_000) -> DataFrame:
-    """The rows of docs that hold no item, with all their columns."""
-    for part in _blocks(items, block):
-        index = docs.sparkSession.sparkContext.broadcast(Index(part))
+def need(n: int) -> int:
+    """The fewest shingles, of an item's n, that make a containment of THRESHOLD."""
+    return math.ceil(THRESHOLD * n)
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            memo = _Hashes()
-            for b in batches:
-                yield b.filter(pa.array([not index.value.search(t.as_py(), memo) for t in b.column("text")], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+def witnesses(c: int) -> int:
+    """Minima of its sketch that a document which holds an item of class c must hold."""
+    return max(1, min(8, (1 << c) // 8))
+
+
+def sketch_size(c: int) -> int:
+    """One more than the shingles that may be lacking from an item of class c, and more so for larger ones."""
+    return (1 << c) - need(1 << c) + witnesses(c)
+
+
+def described(text: str | None, memo: _Hashes) -> tuple[list[str], list[int], int, int, int] | None:
+    """(shingles in order of their hashes, the hashes, words of a shingle, length of the sketch, least) of an item."""
+    found = words(text)
+    if not found:
+        return None
+    n = min(SHINGLE, len(found))
+    by_hash = dict(zip(_hashed(found, memo, n)[-1].tolist(), zip(*(found[i:] for i in range(n)), strict=False), strict=True))
+    own = {" ".join(x): h for h, x in by_hash.items()}
+    order = sorted(own, key=own.__getitem__)
+    c = (len(order) - 1).bit_length()
+    size = min(sketch_size(c), len(order))
+    return order, [own[s] for s in order], n, size, size - (len(order) - need(len(order)))
+
+
+def described_items(items: DataFrame) -> DataFrame:
+    """(item_id, shingles, hashes, n, size, least) of each item with a word."""
+    item_id = items.schema["item_id"]
+    schema = T.StructType([item_id, *T.StructType.fromDDL("shingles array<string>, hashes array<long>, n int, size int, least int").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Hashes()
+        types = [pa.list_(pa.string()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32()]
+        for b in batches:
+            made = [described(t.as_py(), memo) for t in b.column("text")]
+            some = pa.array([m is not None for m in made], pa.bool_())
+            cols = list(zip(*(m for m in made if m is not None), strict=True)) or [[]] * 5
+            signed = [[h - (1 << 64) if h >> 63 else h for h in x] for x in cols[1]]
+            arrays = [pa.array(x, t) for x, t in zip([cols[0], signed, *cols[2:]], types, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("item_id").filter(some), *arrays], names=[f.name for f in schema.fields])
+
+    return pick(items, "item_id", "text").mapInArrow(run, schema)
+
+
+class Filter:
+    """A Bloom filter of hashes; words: its bits, 64 a word."""
+
+    def __init__(self, bits: int, words_: np.ndarray, lengths: list[int]):
+        self.width, self.words, self.lengths = np.uint64(64 - (bits.bit_length() - 1)), words_, lengths
+
+    def hits(self, x: np.ndarray) -> np.ndarray:
+        """Places of x that may be members."""
+        at = np.arange(len(x))
+        for k in range(PROBES):
+            p = (x[at] * np.uint64(MULTIPLIERS[k])) >> self.width
+            at = at[(self.words[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)]
+        return at
+
+    def found(self, text: str | None, memo: _Hashes) -> list[str]:
+        """The distinct shingles of the text that may be items', sorted."""
+        held = words(text)
+        if not held or not self.lengths:
+            return []
+        runs = _hashed(held, memo, max(self.lengths))
+        return sorted({" ".join(held[i : i + n]) for n in self.lengths for i in self.hits(runs[n - 1]).tolist()})
+
+
+#: Odd multipliers of the filter's probes.
+MULTIPLIERS = [(0x9E3779B97F4A7C15 * (2 * k + 1)) & ((1 << 64) - 1) for k in range(PROBES)]
+
+
+def bloom(made: DataFrame, most: int = MOST_BITS) -> Filter:
+    """The filter of all shingles of described items. What reaches the driver is its set words, most / 64 rows at most."""
+    total = made.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    bits = min(max(LEAST_BITS, 1 << (BITS * total).bit_length()), 1 << max(6, most.bit_length() - 1))
+    shift = 64 - (bits.bit_length() - 1)
+
+    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("hashes").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            p = np.unique(np.concatenate([(x * np.uint64(m)) >> np.uint64(shift) for m in MULTIPLIERS]))
+            yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int64))], names=["p"])
+
+    set_ = made.select("hashes").mapInArrow(positions, "p long").groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("m")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[set_["w"].to_numpy()] = set_["m"].to_numpy().view(np.uint64)
+    return Filter(bits, out, sorted(r.n for r in made.select("n").distinct().collect()))  # SHINGLE rows at most
+
+
+def _met(rows: DataFrame, items: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """rows (text and other columns) that may hold an item, with `set`, text left out; and what each set holds: (set, item_id, shared, item_shingles)."""
+    spark = rows.sparkSession
+    made = stage(described_items(items), "items")
+    shared = spark.sparkContext.broadcast(bloom(made, most))
+    schema = T.StructType([*rows.drop("text").schema.fields, T.StructField("found", T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, known = _Hashes(), shared.value
+        for b in batches:
+            found = [known.found(t.as_py(), memo) for t in b.column("text")]
+            some = pa.array([bool(x) for x in found], pa.bool_())
+            names = [n for n in b.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(b.column(n).filter(some) for n in names), pa.array([x for x in found if x], pa.list_(pa.string()))], names=[*names, "found"])
+
+    hits = stage(rows.mapInArrow(run, schema).withColumn("set", F.sha2(F.array_join("found", "\n"), 256)), "found")
+    sets = stage(hits.groupBy("set").agg(F.min("found").alias("found")), "found-sets")
+    items_ = made.select("item_id", "shingles", "size", "least", F.sha2(F.array_join("shingles", "\n"), 256).alias("item"))
+    kinds = stage(items_.groupBy("item").agg(F.min(F.struct("shingles", "size", "least")).alias("x"), F.count(F.lit(1)).alias("rows")).select("item", "x.*"), "item-kinds")
+    minima = kinds.select("item", "least", F.explode(F.slice("shingles", F.lit(1), F.col("size"))).alias("s"))
+    near = sets.select("set", F.explode("found").alias("s")).join(minima, "s").groupBy("set", "item").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("least")).where("n >= least")
+    near = stage(near.select("set", "item"), "candidates")
+    held = near.join(sets, "set").join(kinds.select("item", "shingles"), "item")
+    held = held.select("set", "item", F.size(F.array_intersect("found", "shingles")).cast("long").alias("shared"), F.size("shingles").cast("long").alias("item_shingles"))
+    sure = stage(held.where(F.col("shared") >= F.lit(THRESHOLD) * F.col("item_shingles")), "contained")
+    return hits.drop("found"), sure.join(items_.select("item", "item_id"), "item").drop("item")
+
+
+def find(docs: DataFrame, items: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """(doc_id, item_id, shared, item_shingles, containment) for each item that a document holds.
+
+    most_bits: bound of the filter that is sent to the tasks, rounded down to a power of two; a small one finds the same.
+    """
+    hits, held = _met(pick(docs, "doc_id", "text"), items, most_bits)
+    return hits.join(held, "set").select("doc_id", "item_id", "shared", "item_shingles", (F.col("shared") / F.col("item_shingles")).alias("containment"))
+
+
+def remove(docs: DataFrame, items: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """The rows of docs that hold no item, with all their columns."""
+    rows = located(docs)
+    hits, held = _met(rows.select("file", "pos", F.col("row.text").alias("text")), items, most_bits)
+    gone = stage(hits.join(held.select("set").distinct(), "set").select("file", "pos"), "contaminated")
+    few = gone.limit(FEW + 1).count() <= FEW
+    return rows.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), ["file", "pos"], "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -453,3 +453,33 @@ def test_html_held_out():
     pages = html_text.labelled_pages(80, seed=77)
     wrong = sum(a != b for page, labels in pages for a, b in zip(model.labels(page), labels, strict=True))
     assert wrong <= 0.01 * sum(len(labels) for _, labels in pages)
+
+
+def test_decontaminate_misses_nothing(spark):
+    """Items of every size, whole, in scattered pieces and just at the threshold, in long documents."""
+    r = random.Random(41)
+    sizes = [n for n in range(5, 12) for _ in range(20)] + [13, 17, 20, 21, 33, 47, 64, 65, 90, 129, 150, 200] * 2
+    items = [(k, prose(n, r)) for k, n in enumerate(sizes)] + [(900, prose(3, r)), (901, prose(1, r)), (None, prose(40, r)), (902, items_text := prose(30, r)), (902, items_text)]
+    texts, want = [], set()
+    for k, (i, t) in enumerate(items):
+        w = t.split()
+        n = max(1, len(w) - 4)
+        whole = prose(r.randint(0, 800), r) + " " + t + " " + prose(r.randint(0, 800), r)
+        part = " ".join(w[: 5 + n - n // 5 - 1]) + " " + prose(300, r)  # all but a fifth, rounded down, of its shingles
+        cut, pieces = sorted(r.sample(range(1, len(w)), min(3, len(w) // 40))) if len(w) > 40 else [], []
+        for a, b in zip([0, *cut], [*cut, len(w)], strict=True):
+            pieces.append(" ".join(w[max(0, a - 4) : b]))  # pieces overlap by four words, so that no shingle is lost
+        scattered = f" {prose(200, r)} ".join(r.sample(pieces, len(pieces)))
+        texts += [whole, part, scattered]
+        want |= {(3 * k, i), (3 * k + 1, i), (3 * k + 2, i)}
+    df = docs_of(spark, [(k, t, "s") for k, t in enumerate(texts)] + [(None, texts[0], "s")])
+    rows = decontaminate.find(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(x.doc_id, x.item_id) for x in rows}
+    assert want <= got and (None, 0) in got
+    assert sum(x.item_id == 902 and x.doc_id == 3 * (len(items) - 1) for x in rows) == 2
+    for x in rows:
+        if x.item_id is not None and x.doc_id is not None and (x.doc_id, x.item_id) not in want:
+            w, y = texts[x.doc_id].split(), dict(items)[x.item_id].split()
+            n = min(5, len(y))
+            own = {tuple(y[k : k + n]) for k in range(len(y) - n + 1)}
+            assert len(own & {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}) >= 0.8 * len(own)
