@@ -483,3 +483,26 @@ def test_decontaminate_misses_nothing(spark):
             n = min(5, len(y))
             own = {tuple(y[k : k + n]) for k in range(len(y) - n + 1)}
             assert len(own & {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}) >= 0.8 * len(own)
+
+
+def test_marked(spark, tmp_path, monkeypatch):
+    """Rows by place, over several files and more places than a map holds, by maps and by a join."""
+    spark.range(70_000).selectExpr("id as doc_id", "'x' as text", "'y' as `map`").repartition(2).write.parquet(str(tmp_path / "t"))
+    rows = common.located(spark.read.parquet(str(tmp_path / "t"))).select("file", "pos", "row")
+    chosen = rows.where("row.doc_id % 3 = 0").select("file", "pos")
+    for most in (8192, 1):
+        monkeypatch.setattr(common, "MOST_MAPS", most)
+        for keep in (True, False):
+            got = common.marked(rows, chosen, keep).select("row.*")
+            assert got.columns == ["doc_id", "text", "map"]
+            assert sorted(r.doc_id for r in got.collect()) == [k for k in range(70_000) if (k % 3 == 0) == keep]
+    assert common.marked(rows, chosen.limit(0), False).count() == 70_000 and common.marked(rows, chosen.limit(0)).count() == 0
+
+
+def test_exact_dedup_started_again(spark, tmp_path):
+    """The same rows given again to a store, as after a run that was lost, count once."""
+    path, store = str(tmp_path / "docs"), str(tmp_path / "store")
+    docs_of(spark, [(1, "a", "s"), (2, "a", "s"), (3, "b", "s")]).write.parquet(path)
+    for _ in range(2):
+        rows = exact_dedup.decide(spark.read.parquet(path), store=store).collect()
+        assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in rows) == [(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True)]
