@@ -33,11 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlog.llm.common import located, pick, stage, table
+from emberlog.llm.common import located, marked, pick, stage, table
 
 SHINGLE, THRESHOLD = 5, 0.8
 BITS, PROBES, LEAST_BITS, MOST_BITS = 64, 4, 1 << 22, 1 << 28
-FEW = 200_000  # rows of (file, pos) that are broadcast
 WORDS = re.compile(r"[^\W_]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)  # odd: the golden ratio of 64 bits
 
@@ -203,9 +202,7 @@ def remove(docs: DataFrame, items: DataFrame, most_bits: int = MOST_BITS) -> Dat
     """The rows of docs that hold no item, with all their columns."""
     rows = located(docs)
     hits, held = _met(rows.select("file", "pos", F.col("row.text").alias("text")), items, most_bits)
-    gone = stage(hits.join(held.select("set").distinct(), "set").select("file", "pos"), "contaminated")
-    few = gone.limit(FEW + 1).count() <= FEW
-    return rows.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), ["file", "pos"], "left_anti").select("row.*")
+    return marked(rows, hits.join(held.select("set").distinct(), "set").select("file", "pos"), keep=False).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
