@@ -6,6 +6,9 @@ again and again; RocksDB keeps it on disk, its snapshots lie in the shared folde
 before is a hit: the whole bytes of its rows are compared, and rows that share a digest but not their bytes
 are grouped by their bytes instead.
 
+A run that was lost can be started again with the same rows and store: keys are written once, under a name that
+follows from the places of the rows, so that no row is counted twice.
+
 Defined results. Null texts count as empty. Null doc_ids are the smallest. Of rows that repeat both doc_id and
 text, the one stored last stays. An empty table gives an empty result. Extra columns pass through `deduplicate`.
 """
@@ -17,7 +20,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import located, new_dir, stage, table
+from emberlog.llm.common import located, marked, new_dir, stage, table
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -46,9 +49,9 @@ def _settings(spark: SparkSession, wanted: dict[str, str]):
 
 def _feed(spark: SparkSession, store: str) -> DataFrame:
     """Runs the rows that are new in the store's keys through its state; returns the state, a row per digest."""
-    schema = spark.read.parquet(f"{store}/keys").schema
+    schema = spark.read.parquet(f"{store}/keys/*").schema
     seen = (
-        spark.readStream.schema(schema).parquet(f"{store}/keys")
+        spark.readStream.schema(schema).parquet(f"{store}/keys/*")
         .groupBy("digest")
         .agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "file", "pos")).alias("keep"))
     )
@@ -64,6 +67,16 @@ def _feed(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.option("basePath", f"{store}/state").parquet(f"{store}/state/*").groupBy("digest").agg(F.max(F.struct("n", "keep")).alias("s")).select("digest", "s.n", "s.keep")
 
 
+def _write_keys(keys: DataFrame, store: str) -> None:
+    """Writes the keys of these rows, unless they were written before, under a name that follows from the rows' places."""
+    spark = keys.sparkSession
+    n, a, b = keys.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("file", "pos")), F.bit_xor(F.xxhash64(F.lit(1), "file", "pos"))).first()
+    path = f"{store}/keys/{n}-{(a or 0) & (1 << 64) - 1:016x}{(b or 0) & (1 << 64) - 1:016x}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        keys.write.mode("overwrite").parquet(path)
+
+
 def decide(docs: DataFrame, *, store: str | None = None, digest=sha256) -> DataFrame:
     """(doc_id, file, pos, keep_id, group_size, kept, text_sha256) for each row of docs.
 
@@ -78,23 +91,24 @@ def _decide(spark: SparkSession, rows: DataFrame, store: str | None = None, dige
     again = store is not None
     store = store or new_dir(spark, "dedup")
     text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
-    rows.select(F.col("row.doc_id").alias("doc_id"), "file", "pos", sha256(text).alias("sha"), digest(text).alias("digest")).write.mode("append").parquet(f"{store}/keys")
-    keys = spark.read.parquet(f"{store}/keys")
+    _write_keys(rows.select(F.col("row.doc_id").alias("doc_id"), "file", "pos", sha256(text).alias("sha"), digest(text).alias("digest")), store)
+    keys = spark.read.parquet(f"{store}/keys/*")
     if again and not keys.isEmpty():
         rows = located(spark.read.parquet(*[r.file for r in keys.select("file").distinct().collect()]))  # a row per file
     if keys.isEmpty():
         return keys.select("doc_id", "file", "pos", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     dup = stage(_feed(spark, store).where("n > 1"), "dedup-groups")  # so that joins with it can be split where a digest is hot
+    found = stage(keys.join(dup, "digest", "left"), "dedup-found")
 
+    # texts move only where their digest was met again
+    hits = marked(rows.select("file", "pos", F.col("row.doc_id").alias("doc_id"), text.alias("t")), found.where("n > 1").select("file", "pos"))
+    hits = hits.withColumn("digest", digest(F.col("t")))
     salt = F.pmod("pos", F.lit(SALTS)).cast("int").alias("salt")
-    salted = dup.select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    hits = rows.select(digest(text).alias("digest"), salt, text.alias("t")).join(salted.hint("shuffle_hash"), ["digest", "salt"])
-    parts = hits.groupBy("digest", "salt").agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    clash = parts.groupBy("digest").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("digest")
-    found = keys.join(dup, "digest", "left")
+    parts = hits.groupBy("digest", salt).agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    clash = stage(parts.groupBy("digest").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("digest"), "dedup-clash")
     own = F.struct("doc_id", "file", "pos")
     if not clash.isEmpty():  # never with SHA-256: rows of one digest are told apart by their bytes
-        exact = rows.select(F.col("row.doc_id").alias("doc_id"), "file", "pos", digest(text).alias("digest"), text.alias("t")).join(clash, "digest", "left_semi")
+        exact = hits.join(clash, "digest", "left_semi")
         groups = exact.groupBy("digest", "t").agg(F.count(F.lit(1)).alias("n2"), F.max(F.struct("doc_id", "file", "pos")).alias("keep2"))
         exact = exact.join(groups, ["digest", "t"]).select("file", "pos", "n2", "keep2")
         found = found.join(exact, ["file", "pos"], "left").withColumns({"n": F.coalesce("n2", "n"), "keep": F.coalesce("keep2", "keep")})
@@ -105,8 +119,7 @@ def _decide(spark: SparkSession, rows: DataFrame, store: str | None = None, dige
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     rows = located(docs)
-    gone = _decide(docs.sparkSession, rows).where("not kept").select("file", "pos")
-    return rows.join(gone.hint("shuffle_hash"), ["file", "pos"], "left_anti").select("row.*")
+    return marked(rows, _decide(docs.sparkSession, rows).where("not kept").select("file", "pos"), keep=False).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
