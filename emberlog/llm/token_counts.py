@@ -2,8 +2,8 @@
 
 The cache is a table of (digest of the content, digest of the tokenizer, token count). Documents are joined to it
 by digest; only distinct contents that it lacks are encoded, once each, and their counts are appended to it, so a
-later run over the same or a grown corpus encodes just what is new. The tokenizer's digest covers its whole file,
-so another version never meets old counts.
+later run over the same or a grown corpus encodes just what is new. The tokenizer's digest covers its whole file
+and the version of the library, so another version never meets old counts.
 
 Encoding. Counts are those of the library for the file: `tokenizers` (.json) or `sentencepiece` (.model), without
 begin, end or added special tokens, truncation or padding; special strings inside texts as the library's default
@@ -25,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import located, new_dir, stage, table
+from emberlog.llm.common import located, marked, new_dir, stage, table
 
 TOKENIZER, LIMIT, MEMO = "byte_bpe_50k.json", 512, 400_000
 CACHE = "content string, tokenizer string, n_tokens long"
@@ -87,8 +87,12 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
 
 
 def version(path: str) -> str:
+    """A digest of the tokenizer's file and of the version of the library that reads it."""
+    from importlib.metadata import version as of
+
+    library = "sentencepiece" if path.endswith(".model") else "tokenizers"
     with open(path, "rb") as f:
-        return hashlib.sha256(f.read()).hexdigest()
+        return hashlib.sha256(f.read() + f"\n{library} {of(library)}".encode()).hexdigest()
 
 
 def read_cache(spark: SparkSession, cache: str) -> DataFrame:
@@ -110,16 +114,20 @@ def count(docs: DataFrame, tokenizer: str, cache: str | None = None, limit: int
     keys = stage(rows.select(F.col("row.doc_id").alias("doc_id"), "file", "pos", F.sha2(text, 256).alias("content"), F.octet_length(text).cast("long").alias("n_bytes")), "token-keys")
     known = read_cache(spark, cache).where(F.col("tokenizer") == tag).dropDuplicates(["content"]).select("content", "n_tokens")
     one_each = keys.groupBy("content").agg(F.min(F.struct("file", "pos")).alias("at"))
-    misses = one_each.join(known, "content", "left_anti").select("content", "at.file", "at.pos")
+    misses = stage(one_each.join(known, "content", "left_anti").select("content", "at.file", "at.pos"), "token-misses")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counter(tokenizer)
         for b in batches:
+            if not b.num_rows:
+                continue
             n = [counts([t.as_py()])[0] for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("content"), pa.array([tag] * b.num_rows, pa.string()), pa.array(n, pa.int64())], names=["content", "tokenizer", "n_tokens"])
 
-    texts = rows.select("file", "pos", text.alias("text")).join(misses.hint("shuffle_hash"), ["file", "pos"]).select("content", "text")
-    texts.mapInArrow(run, CACHE).write.mode("append").parquet(cache)
+    if not misses.isEmpty():
+        # texts stay where they are read: the places of the misses go to them
+        texts = marked(rows.select("file", "pos", text.alias("text")), misses.select("file", "pos")).select(F.sha2("text", 256).alias("content"), "text")
+        texts.mapInArrow(run, CACHE).write.mode("append").parquet(cache)
     stored = read_cache(spark, cache).where(F.col("tokenizer") == tag).dropDuplicates(["content"]).select("content", "n_tokens")
     stored = stage(stored, "token-counts")  # so that the join with it can be split where a text is hot
     return keys.join(stored, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
