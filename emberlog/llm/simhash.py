@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlog.llm.common import located, pick, stage, table
+from emberlog.llm.common import located, marked, pick, stage, table
 from emberlog.llm.components import components
 
 WORDS_PER_SHINGLE, SEED, MAX_BITS = 4, 42, 4
@@ -376,7 +376,7 @@ def duplicates(rows: DataFrame, similarity: float = 0.8) -> DataFrame:
     """
     located_ = rows.select(F.col("row.doc_id").alias("doc_id"), "file", "pos", F.col("row.text").alias("text"))
     member = stage(candidates(stage(_prints(located_, False), "simhash-prints")), "simhash-members")
-    held = located_.drop("doc_id").join(member.hint("shuffle_hash"), ["file", "pos"])
+    held = marked(located_.drop("doc_id"), member.select("file", "pos")).join(member.hint("shuffle_hash"), ["file", "pos"])
     told = stage(_prints(held, True), "simhash-shingles")
     groups = told.select("doc_id", "file", "pos", "node").join(components(alike(told, similarity)), "node")
     stay = stage(groups.groupBy("component").agg(F.min(F.struct("doc_id", "file", "pos")).alias("stay")), "simhash-stay").select("stay.file", "stay.pos")
@@ -390,7 +390,7 @@ def _mixed(k: int):
 def deduplicate(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """docs without near copies (see duplicates), with all their columns. Texts without a word are copies of each other only."""
     rows = located(docs)
-    return rows.join(duplicates(rows, similarity).hint("shuffle_hash"), ["file", "pos"], "left_anti").select("row.*")
+    return marked(rows, duplicates(rows, similarity), keep=False).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
