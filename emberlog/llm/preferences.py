@@ -5,14 +5,16 @@ rendered once as the prompt; what follows in either is its completion. A turn re
 `<|role|>\\n` text `<|end|>\\n`. A completion's mask lists the spans (code points, end exclusive) that carry loss:
 the texts of its assistant turns with their end marks; prompt, headers and other roles carry none.
 
-`pairs` makes pairs of whole conversations: chosen is the conversation up to its last assistant turn, rejected
-the same with that turn's answer stale, that is replaced by the conversation's first assistant text or, where
-that is the same text, by an echo of the turn before it.
+`pairs` makes pairs of whole conversations: chosen is the conversation up to its last assistant turn; rejected
+branches off at one of its assistant turns, number conv_id modulo their count: that answer is stale, replaced by
+the conversation's first assistant text or, where that is the same text, by an echo of the turn before it, and the
+conversation ends there. So prompts have any length, and chosen completions one turn or many.
 
 Defined results. Null texts render as empty, null roles as `unknown`; turns are ordered by turn, nulls first,
-then role and text; repeated turns are kept. Conversations without an assistant turn make no pair. A pair with
-one side missing has an empty completion there. Equal sides give empty completions. Empty tables give an empty
-result. Extra columns aren't read.
+then role and text; repeated turns are kept. Turns with a null conv_id belong to no conversation, and conversations
+without an assistant turn make no pair. A pair with one side missing has an empty completion there. Equal sides give
+empty completions. A conversation is rendered by one task, however long. Empty tables give an empty result. Extra
+columns aren't read.
 """
 
 from __future__ import annotations
@@ -28,15 +30,18 @@ END = "<|end|>\n"
 def pairs(turns: DataFrame) -> DataFrame:
     """(pair_id, side, turn, role, text) from (conv_id, turn, role, text); pair_id is conv_id."""
     role, text = F.coalesce(F.col("role"), F.lit("unknown")), F.coalesce(F.col("text"), F.lit(""))
-    rows = pick(turns, "conv_id", "turn", "role", "text").select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    rows = pick(turns, "conv_id", "turn", "role", "text").where(F.col("conv_id").isNotNull()).select("conv_id", "turn", role.alias("role"), text.alias("text"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    mine = F.when(F.col("role") == "assistant", F.col("k"))
-    rows = rows.withColumn("k", F.row_number().over(order)).withColumn("before", F.lag("text").over(order))
-    rows = rows.withColumn("last", F.max(mine).over(whole)).withColumn("first_text", F.first(F.when(F.col("role") == "assistant", F.col("text")), ignorenulls=True).over(whole)).where("k <= last")
+    said = F.col("role") == "assistant"
+    rows = rows.withColumns({"k": F.row_number().over(order), "before": F.lag("text").over(order), "nth": F.sum(said.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)), "said": said})
+    rows = rows.withColumns({"n": F.max("nth").over(whole), "last": F.max(F.when(F.col("said"), F.col("k"))).over(whole), "first_text": F.first(F.when(F.col("said"), F.col("text")), ignorenulls=True).over(whole)}).where("k <= last")
+    rows = rows.withColumn("branch", F.max(F.when(F.col("said") & (F.col("nth") == F.pmod("conv_id", "n") + 1), F.col("k"))).over(whole))
     stale = F.when(F.col("first_text") != F.col("text"), F.col("first_text")).otherwise(F.coalesce("before", F.lit("")))
-    sides = F.explode(F.array(F.struct(F.lit("chosen").alias("side"), F.col("text").alias("said")), F.struct(F.lit("rejected").alias("side"), F.when(F.col("k") == F.col("last"), stale).otherwise(F.col("text")).alias("said"))))
-    return rows.select("conv_id", "k", "role", sides.alias("s")).select(F.col("conv_id").alias("pair_id"), "s.side", F.col("k").alias("turn"), "role", F.col("s.said").alias("text"))
+    other = F.when(F.col("k") == F.col("branch"), stale).when(F.col("k") < F.col("branch"), F.col("text"))
+    sides = F.array(F.struct(F.lit("chosen").alias("side"), F.col("text").alias("says")), F.struct(F.lit("rejected").alias("side"), other.alias("says")))
+    rows = rows.select("conv_id", "k", "role", F.explode(F.filter(sides, lambda x: x["says"].isNotNull())).alias("s"))
+    return rows.select(F.col("conv_id").alias("pair_id"), "s.side", F.col("k").alias("turn"), "role", F.col("s.says").alias("text"))
 
 
 def _render(turns: Column) -> Column:
@@ -77,27 +82,40 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH t AS (
-  SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, turn FROM conversations
+  SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL
 ), k AS (
   SELECT *, row_number() OVER o AS k, lag(text) OVER o AS before FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
 ), a AS (
-  SELECT *, max(CASE WHEN role = 'assistant' THEN k END) OVER (PARTITION BY conv_id) AS last,
-         first(CASE WHEN role = 'assistant' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first_text
-  FROM k
+  SELECT conv_id, k, before, text, row_number() OVER o AS nth, count(*) OVER (PARTITION BY conv_id) AS n,
+         max(k) OVER (PARTITION BY conv_id) AS last, first_value(text) OVER o AS first_text
+  FROM k WHERE role = 'assistant' WINDOW o AS (PARTITION BY conv_id ORDER BY k)
 ), b AS (
-  SELECT conv_id, k, role, text, last,
-         CASE WHEN k < last THEN text WHEN first_text <> text THEN first_text ELSE coalesce(before, '') END AS other
-  FROM a WHERE k <= last
-), m AS (  -- only the last turn may differ
-  SELECT *, last - (CASE WHEN bool_or(text <> other) OVER (PARTITION BY conv_id) THEN 1 ELSE 0 END) AS n FROM b
-), x AS (
-  SELECT *, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS said, '<|' || role || '|>' || chr(10) || other || '<|end|>' || chr(10) AS unsaid FROM m
+  SELECT conv_id, k AS branch, last, CASE WHEN first_text <> text THEN first_text ELSE coalesce(before, '') END AS stale
+  FROM a WHERE nth = (conv_id % n + n) % n + 1
+), c AS (
+  SELECT conv_id, k, role, text FROM k JOIN b USING (conv_id) WHERE k <= last
+), r AS (
+  SELECT conv_id, k, role, CASE WHEN k = branch THEN stale ELSE text END AS text FROM k JOIN b USING (conv_id) WHERE k <= branch
+), differs AS (
+  SELECT conv_id, min(k) - 1 AS n
+  FROM c FULL JOIN r USING (conv_id, k)
+  WHERE c.role IS NULL OR r.role IS NULL OR c.role <> r.role OR c.text <> r.text GROUP BY conv_id
+), p AS (
+  SELECT conv_id, coalesce(n, last) AS n FROM b LEFT JOIN differs USING (conv_id)
+), s AS (
+  SELECT 'c' AS side, * FROM c UNION ALL SELECT 'r', * FROM r
+), said AS (
+  SELECT side, conv_id, k, role, text, n, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS turn,
+         coalesce(sum(CASE WHEN k > n THEN length(role) + length(text) + 13 ELSE 0 END) OVER (PARTITION BY side, conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
+  FROM s JOIN p USING (conv_id)
+), m AS (
+  SELECT *, (begins + length(role) + 5)::BIGINT::VARCHAR || ':' || (begins + length(role) + length(text) + 13)::BIGINT::VARCHAR AS mask FROM said
 )
 SELECT conv_id AS pair_id, any_value(n)::BIGINT AS n_prompt,
-       coalesce(string_agg(CASE WHEN k <= n THEN said END, '' ORDER BY k), '') AS prompt,
-       coalesce(string_agg(CASE WHEN k > n THEN said END, '' ORDER BY k), '') AS chosen,
-       coalesce(string_agg(CASE WHEN k > n THEN (length(role) + 5)::VARCHAR || ':' || (length(role) + 5 + length(text) + 8)::VARCHAR END, ',' ORDER BY k), '') AS chosen_mask,
-       coalesce(string_agg(CASE WHEN k > n THEN unsaid END, '' ORDER BY k), '') AS rejected,
-       coalesce(string_agg(CASE WHEN k > n THEN (length(role) + 5)::VARCHAR || ':' || (length(role) + 5 + length(other) + 8)::VARCHAR END, ',' ORDER BY k), '') AS rejected_mask
-FROM x GROUP BY conv_id
+       coalesce(string_agg(CASE WHEN side = 'c' AND k <= n THEN turn END, '' ORDER BY k), '') AS prompt,
+       coalesce(string_agg(CASE WHEN side = 'c' AND k > n THEN turn END, '' ORDER BY k), '') AS chosen,
+       coalesce(string_agg(CASE WHEN side = 'c' AND k > n AND role = 'assistant' THEN mask END, ',' ORDER BY k), '') AS chosen_mask,
+       coalesce(string_agg(CASE WHEN side = 'r' AND k > n THEN turn END, '' ORDER BY k), '') AS rejected,
+       coalesce(string_agg(CASE WHEN side = 'r' AND k > n AND role = 'assistant' THEN mask END, ',' ORDER BY k), '') AS rejected_mask
+FROM m GROUP BY conv_id
 """

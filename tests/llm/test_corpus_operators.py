@@ -506,3 +506,95 @@ def test_exact_dedup_started_again(spark, tmp_path):
     for _ in range(2):
         rows = exact_dedup.decide(spark.read.parquet(path), store=store).collect()
         assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in rows) == [(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True)]
+
+
+BIG = 2**53 + 1  # no float64 holds it
+
+
+def test_long_ids(spark, tmp_path):
+    """Ids that no float holds, beside nulls in one batch, stay what they are."""
+    ids = [BIG, None, BIG + 2, 2**60 + 1]
+    docs = docs_of(spark, [(i, f"text {k}", "s") for k, i in enumerate(ids)]).coalesce(1)
+    labels = spark.createDataFrame([(BIG, 1, 1), (BIG + 2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id for r in toxicity.decide(docs, labels).collect()} == set(ids)
+    pages = spark.createDataFrame([(i, "u", f"<p>{k}</p>") for k, i in enumerate(ids)], "page_id long, url string, html string").coalesce(1)
+    assert {r.page_id for r in html_text.extract(pages).collect()} == set(ids)
+    warc.write(pages, str(tmp_path / "w"))
+    assert {r.page_id for r in warc.read(spark, str(tmp_path / "w")).collect()} == set(ids)
+
+
+def test_toxicity_sample(spark):
+    """The sample depends on nothing but the rows: of texts that share an id the smallest is learnt from, and long texts end it."""
+    r = random.Random(6)
+    rows = [(k % 60, ("grumblat " if k % 60 < 20 else "") + prose(20, r), "s") for k in range(180)]
+    labels = spark.createDataFrame([(k, 1, int(k < 20)) for k in range(60)], "doc_id long, quality int, toxic int")
+    models = []
+    for part in (1, 5):
+        shuffled = rows[:] if part == 1 else r.sample(rows, len(rows))
+        models.append(toxicity.fit(docs_of(spark, shuffled).repartition(part), labels))
+    assert models[0].values == models[1].values and models[0].bias == models[1].bias
+    assert toxicity.fit(docs_of(spark, rows), labels, toxicity.Settings(size_mb=0)).values == {}
+
+
+def test_warc_shards(spark, tmp_path):
+    """Shards are even: ids by ranges, those of a repeated or missing id by digest; the same rows make the same bytes."""
+    rows = [(k, f"http://a/{k} é", f"page {k} " * 20) for k in range(300)] + [(None, None, f"null {k} " * 20) for k in range(300)] + [(7, "u", f"seven {k} " * 20) for k in range(300)]
+    schema, total = "page_id long, url string, html string", sum(len(h) for *_, h in rows)
+    names = []
+    for k, part in enumerate((1, 7)):
+        manifest = warc.write(spark.createDataFrame(rows, schema).repartition(part), str(tmp_path / f"w{k}"), shard=total // 12).collect()
+        per = {}
+        for r in manifest:
+            per[r.shard] = per.get(r.shard, 0) + r.records
+        assert len(per) >= 11 and max(per.values()) <= 150
+        names.append({r.name: r.sha256 for r in manifest})
+    assert names[0] == names[1]
+    got = [(r.page_id, r.url, r.payload) for r in warc.read(spark, str(tmp_path / "w0")).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, rows))
+    heads = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w0").glob("part-*.warc.gz"))
+    assert heads.count(b"\r\nWARC-Target-URI: ") == len(rows)
+
+
+def brute_pair(turns):
+    """(n_prompt, prompt, chosen, chosen_mask, rejected, rejected_mask) of lists of (role, text)."""
+
+    def whole(part):
+        out, spans = "", []
+        for role, text in part:
+            head = f"<|{role}|>\n"
+            if role == "assistant":
+                spans.append(f"{len(out) + len(head)}:{len(out) + len(head) + len(text) + 8}")
+            out += head + text + "<|end|>\n"
+        return out, ",".join(spans)
+
+    c, r = turns
+    n = next((k for k, (x, y) in enumerate(zip(c, r, strict=False)) if x != y), min(len(c), len(r)))
+    return n, whole(c[:n])[0], *whole(c[n:]), *whole(r[n:])
+
+
+def test_preferences_brute(spark):
+    """Branches at every place, long conversations and texts, null ids, and sides of any kind, against brute force."""
+    r = random.Random(61)
+    rows, want = [(None, k, "assistant", "lost") for k in range(5)], {}
+    for conv in [*range(-3, 40), BIG]:
+        talk = [("user" if k % 2 == 0 else "assistant", prose(r.randint(0, 9), r)) for k in range(r.choice([1, 2, 3, 4, 7, 60]))]
+        if conv == 5:
+            talk = [("assistant", LONG), ("assistant", LONG + "x"), ("user", "")]
+        rows += [(conv, k, role, text) for k, (role, text) in enumerate(talk)]
+        at = [k for k, (role, _) in enumerate(talk) if role == "assistant"]
+        if at:
+            k = at[conv % len(at)]
+            stale = talk[at[0]][1] if talk[at[0]][1] != talk[k][1] else talk[k - 1][1] if k else ""
+            want[conv] = brute_pair((talk[: at[-1] + 1], [*talk[:k], ("assistant", stale)]))
+    made = preferences.pairs(spark.createDataFrame(rows, TURNS))
+    got = {x.pair_id: (x.n_prompt, x.prompt, x.chosen, x.chosen_mask, x.rejected, x.rejected_mask) for x in preferences.format_pairs(made).collect()}
+    assert got == want and len({x[0] for x in want.values()}) > 5
+    free, want = [], {}
+    for pair in range(30):
+        base = [("user", prose(3, r)) for _ in range(r.randint(0, 5))]
+        sides = [base + [(r.choice(["user", "assistant"]), prose(r.randint(0, 2), r)) for _ in range(r.randint(0, 4))] for _ in range(2)]
+        free += [(pair, side, k, role, text) for side, part in zip(("chosen", "rejected"), sides, strict=True) for k, (role, text) in enumerate(part)]
+        if any(sides):
+            want[pair] = brute_pair(sides)
+    made = spark.createDataFrame(free, "pair_id long, side string, turn long, role string, text string")
+    assert {x.pair_id: (x.n_prompt, x.prompt, x.chosen, x.chosen_mask, x.rejected, x.rejected_mask) for x in preferences.format_pairs(made).collect()} == want
