@@ -2,7 +2,8 @@
 
 Payload digests are grouped first: of records with equal payloads of `LEAST` bytes or more, that with the smallest
 page_id is a response and the others revisit it, without a body. Shards are ranges of page_id, found from exact
-sums of payload bytes over slots of the key range, so their bounds depend on nothing but the data. Within a shard
+sums of payload bytes over slots of the key range, so their bounds depend on nothing but the data; the rows of a
+page_id that is larger than a shard, and those without one, are dealt out over shards of their own by digest. Each shard is one task. Within a shard
 records are sorted, each becomes a gzip member with headers and digests made anew, and a file rolls once its
 compressed size reaches `roll`. Record ids follow from page_id and digest and dates are a parameter: the same
 pages always give the same bytes.
@@ -11,9 +12,10 @@ A task writes under temporary names and hands on a row of the manifest for each
 Spark accepted are renamed to final names; the manifest is written last, and a reader takes just the files it
 names. What a lost executor leaves is a temporary file that nothing names. Renames may be repeated.
 
-Defined results. Null payloads count as empty. A null page_id or url leaves its header out and reads back as null;
+Defined results. Null payloads count as empty. A null page_id leaves its header out and reads back as null, as does
+a null url, whose target is then a name of the record; a url with white space is escaped and kept beside it;
 rows with null page_ids are never revisits of each other but of a page with an id. Rows that repeat page_id and
-payload are all responses if theirs is the smallest page_id. An empty table gives no file and an empty result.
+payload are all responses if theirs is the smallest page_id, and lie in one shard. An empty table gives no file and an empty result.
 Extra columns aren't read.
 """
 
@@ -25,10 +27,12 @@ import hashlib
 import io
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,10 +53,11 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, si
     """One WARC record; refers_to: page_id of the response that it revisits, None for a response."""
     revisit = refers_to is not None
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() + (b"" if revisit else payload)
-    safe = None if url is None else base64.urlsafe_b64encode(url.encode()).decode() if any(ord(c) < 33 for c in url) else url
+    target = record_id(page_id, digest)[1:-1] if url is None else quote(url, safe="".join(chr(c) for c in range(33, 127)))
+    kept = [] if url is None or target == url else [f"X-Target-Base64: {base64.urlsafe_b64encode(url.encode()).decode()}"]
     head = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {date}",
-        *([] if url is None else [f"{'WARC-Target-URI' if safe == url else 'X-Target-Base64'}: {safe}"]),
+        f"WARC-Target-URI: {target}", *kept, *(["X-Target-Missing: true"] if url is None else []),
         "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
         *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"] if revisit else []),
         *([] if page_id is None else [f"X-Page-Id: {page_id}"]), f"X-Payload-Length: {size}", f"Content-Length: {len(block)}",
@@ -77,7 +82,7 @@ def parse(stream) -> Iterator[tuple]:
         payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
         if payload is not None and hashlib.sha256(payload).hexdigest() != digest:
             raise ValueError(f"payload digest of {head['WARC-Record-ID']}")
-        url = head.get("WARC-Target-URI") if "X-Target-Base64" not in head else base64.urlsafe_b64decode(head["X-Target-Base64"]).decode()
+        url = base64.urlsafe_b64decode(head["X-Target-Base64"]).decode() if "X-Target-Base64" in head else None if "X-Target-Missing" in head else head["WARC-Target-URI"]
         whole = lambda k: int(head[k]) if k in head else None
         yield whole("X-Page-Id"), url, whole("X-Payload-Length"), digest, kind, whole("X-Refers-To-Page"), None if payload is None else payload.decode()
 
@@ -129,17 +134,30 @@ def write(pages: DataFrame, folder: str, *, shard: int | None = None, roll: int
     groups = keys.where(F.col("n") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1 and first is not null").drop("rows")
     groups = stage(groups, "warc-groups")  # so that the join with it can be split where a payload is hot
     total = keys.agg(F.sum("n")).first()[0] or 0
-    ends = spark.sparkContext.broadcast(np.array(bounds(keys, shard or min(max(total // 64, 8 << 20), 256 << 20)), np.int64))  # a number per shard
-
-    @F.pandas_udf("long")
-    def shard_of(page_id: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(ends.value, page_id.fillna(-(1 << 63)).to_numpy(np.int64), "left"))
+    target = shard or min(max(total // 64, 8 << 20), 256 << 20)
+    ends = spark.sparkContext.broadcast(np.array(bounds(keys, target), np.int64))  # a number per shard
+    ranges = len(ends.value) + 1
+    heavy = keys.groupBy("page_id").agg(F.sum("n").alias("n")).where(F.col("page_id").isNull() | (F.col("n") > target)).orderBy(F.col("page_id").asc_nulls_first()).collect()  # total / target rows at most, and one
+    own, count = {}, ranges  # page_id -> (first shard, shards) of those dealt out by digest
+    for r in heavy:
+        own[r.page_id] = (count, n := max(1, -(-int(r.n) // target)))
+        count += n
+    dealt_out = spark.sparkContext.broadcast(own)
+
+    @F.arrow_udf("long")
+    def shard_of(page_id: pa.Array, digest: pa.Array) -> pa.Array:
+        at = np.searchsorted(ends.value, page_id.fill_null(0).to_numpy(zero_copy_only=False), "left")
+        for k, (first, n) in dealt_out.value.items():
+            mine = page_id.is_null() if k is None else pc.equal(page_id, pa.scalar(k, pa.int64())).fill_null(False)
+            for i in np.flatnonzero(mine.to_numpy(zero_copy_only=False)):
+                at[i] = first + int(digest[int(i)].as_py()[:8], 16) % n
+        return pa.array(at, pa.int64())
 
     # a mark (without html) goes before the rows that are revisits, so that payloads move once and meet no join
     marks = keys.join(groups, "digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
     marks = marks.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "n", F.col("first").alias("refers_to"))
-    both = rows.withColumn("refers_to", F.lit(None).cast("long")).unionByName(marks).withColumn("shard", shard_of("page_id"))
-    dealt = both.repartition("shard").sortWithinPartitions("shard", "page_id", "digest", F.col("refers_to").desc_nulls_last(), "url")
+    both = rows.withColumn("refers_to", F.lit(None).cast("long")).unionByName(marks).withColumn("shard", shard_of("page_id", "digest"))
+    dealt = both.repartitionById(count, F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "digest", F.col("refers_to").desc_nulls_last(), "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _filesystem(folder)
