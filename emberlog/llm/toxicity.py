@@ -8,10 +8,11 @@ most toxic window, since a toxic passage doesn't colour the average of a long te
 together, in numpy, by Adam on the log loss of texts.
 
 The sample that it is trained on is bounded: `Settings.rows` labelled rows, half of them toxic at most, taken in
-the order of a hash of doc_id. Everything else sees every row.
+the order of a hash of doc_id until they hold `Settings.size_mb` MB of text. Everything else sees every row.
 
 Defined results. Null and empty texts, and those without a word, score as a window of nothing (the layer's bias).
-Repeated rows score alike. Labels that are null, or disagree on one doc_id, are left out. With no toxic or no
+Repeated rows score alike, and rows with a null doc_id have scores but aren't learnt from. Of several texts with
+one doc_id the smallest by code points is learnt from. Labels that are null, or disagree on one doc_id, are left out. With no toxic or no
 clean row to learn from, every score is the share of toxic rows among those seen (0 without any). An empty table
 gives an empty result. Other columns are neither read nor changed.
 """
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import pick, table
+from emberlog.llm.common import pick, stage, table
 
 WINDOW, THRESHOLD = 256, 0.3
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‚‘’…–—¿¡|"
@@ -37,10 +38,11 @@ EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‚‘’…–—¿¡|"
 
 @dataclass(frozen=True)
 class Settings:
-    """rows: bound of the training sample. least, signal: texts of it that a bucket must occur in, and the deviations
+    """rows, size_mb: bounds of the training sample. least, signal: texts of it that a bucket must occur in, and the deviations
     by which it must be more frequent in toxic ones, to get a vector other than zero; its start is in proportion."""
 
     rows: int = 4000
+    size_mb: int = 64
     buckets: int = 1 << 21
     size: int = 8
     grams: tuple[int, int] = (3, 6)
@@ -206,8 +208,16 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     if chosen.empty:
         return train([], [], s)
     wanted = docs.sparkSession.createDataFrame(chosen.astype("int64"), "doc_id long, y long")
-    sample = pick(docs, "doc_id", "text").join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")  # Settings.rows rows at most
-    return train(sample.text.tolist(), sample.y.tolist(), s)
+    sample = pick(docs, "doc_id", "text").join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # Settings.rows rows at most
+    sample = stage(sample.select(F.xxhash64("doc_id").alias("h"), "doc_id", "y", "text"), "toxicity-sample")
+    sizes = sample.select("h", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy("h", "doc_id").toPandas()
+    fits = sizes[sizes.n.cumsum() <= s.size_mb << 20]
+    if fits.empty:
+        return train([], [], s)
+    last = fits.iloc[-1]
+    h, doc_id = int(last.h), int(last.doc_id)
+    rows = sample.where((F.col("h") < h) | (F.col("h") == h) & (F.col("doc_id") <= doc_id)).toArrow().sort_by("doc_id")
+    return train(rows["text"].to_pylist(), rows["y"].to_pylist(), s)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -215,12 +225,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.drop("text").withColumn("score", F.lit(0.0)).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value.scorer()
-        for pdf in batches:
-            yield pdf.drop(columns="text").assign(score=[of(t) for t in pdf["text"]])
+        for b in batches:
+            names = [n for n in b.schema.names if n != "text"]
+            found = pa.array([of(t.as_py()) for t in b.column("text")], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), found], names=[*names, "score"])
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def decide(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
