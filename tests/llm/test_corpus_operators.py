@@ -598,3 +598,83 @@ def test_preferences_brute(spark):
             want[pair] = brute_pair(sides)
     made = spark.createDataFrame(free, "pair_id long, side string, turn long, role string, text string")
     assert {x.pair_id: (x.n_prompt, x.prompt, x.chosen, x.chosen_mask, x.rejected, x.rejected_mask) for x in preferences.format_pairs(made).collect()} == want
+
+
+#: Pages written by hand, in layouts that no generator makes; (html, the text of the article).
+P1, P2, P3 = "The council met on Tuesday evening to talk about the new bridge, which has been planned for eleven years.", "Members disagreed about the cost, but not about the place: it will cross the river north of the old mill.", "A vote is due in March."
+BY_HAND = [
+    (f'<html><body><div class="xyz"><h1>The bridge</h1><p>{P1}</p><p>{P2}</p></div></body></html>', ["The bridge", P1, P2]),
+    (
+        f'<body><div id="w1"><div id="w2"><a href="/">Start</a> <a href="/a">Town</a> <a href="/b">Sport</a></div><div id="w3"><div id="w4"><h1>The bridge</h1><p>{P1}</p><p>{P2}</p><p>{P3}</p></div><div id="w5"><h3>Most read</h3><a href="/1">Rain expected all week</a><br><a href="/2">Market moves to the square</a></div></div><div id="w6">Copyright 2024 The Paper | <a href="/i">Imprint</a></div></div></body>',
+        ["The bridge", P1, P2, P3],
+    ),
+    (f'<body><article><h1>The bridge</h1><p>{P1}</p><p>{P2}</p><div id="disqus_thread"><p>Nice.</p><p>I was there too.</p></div></article></body>', ["The bridge", P1, P2]),
+    (
+        f'<body><table><tr><td colspan=2><a href="/">Home</a> | <a href="/x">Links</a> | <a href="/y">Guestbook</a></td></tr><tr><td><a href="/1">One</a><br><a href="/2">Two</a></td><td><h1>The bridge</h1><p>{P1}<p>{P2}<p>{P3}</td></tr><tr><td colspan=2><small>Last change: May 1999</small></td></tr></table></body>',
+        ["The bridge", P1, P2, P3],
+    ),
+    (
+        f'<body><header><div class="logo">Notes of a walker</div><nav><a href="/">Posts</a><a href="/me">About</a></nav></header><main><h2>The bridge</h2><p>{P1}</p><ul><li>It is long.</li><li>It is high.</li></ul><p>{P2}</p><blockquote>{P3}</blockquote></main><section id="replies"><h3>3 replies</h3><ol><li><b>ann</b><p>Great to read.</p></li><li><b>bob</b><p>When is it built?</p></li><li><b>cy</b><p>Never, I fear.</p></li></ol></section><footer><p>© Notes of a walker</p></footer></body>',
+        ["The bridge", P1, "It is long.", "It is high.", P2, P3],
+    ),
+    (
+        f'<body><div class="gdpr-banner"><p>We value your privacy.</p><button>OK</button></div><div class="page"><div class="hero"><h1>The bridge</h1></div><div class="txt"><div>{P1}</div><div>{P2}</div><div>{P3}</div></div></div><div class="subscribe"><form><p>Get our letter</p><input></form></div><div class="foot"><ul><li><a href="/c">Contact</a></li><li><a href="/t">Terms</a></li></ul></div></body>',
+        ["The bridge", P1, P2, P3],
+    ),
+    (f"<body><nav><ul><li><a href='/'>A</a><li><a href='/b'>B</a></ul></nav><p>{P1}<p>{P2}<p>{P3}<hr><address>Written by the clerk</address></body>", [P1, P2, P3]),
+    ('<body><nav><ul><li><a href="/">Home</a></li><li><a href="/s">Shop</a></li></ul></nav><footer>&copy; Shop</footer></body>', []),
+]
+
+
+def test_html_by_hand():
+    """Words of the article found, and words found that are the article's, over pages written by hand."""
+    model, hit, found, wanted = html_text.default_model(), 0, 0, 0
+    for html, want in BY_HAND:
+        got = model.text(html)
+        a, b = got.split(), " ".join(want).split()
+        both = sum(min(a.count(w), b.count(w)) for w in set(a))
+        hit, found, wanted = hit + both, found + len(a), wanted + len(b)
+        print(len(b), len(a), both, repr(got[:300]) if got != "\n\n".join(want) else "equal")
+    print("recall", hit / wanted, "precision", hit / found)
+    assert hit >= 0.95 * wanted and hit >= 0.95 * found
+    assert model.text(BY_HAND[0][0]) == "\n\n".join(BY_HAND[0][1]) and model.text(BY_HAND[2][0]) == "\n\n".join(BY_HAND[2][1])
+
+
+def test_html_varied():
+    """Layouts with random or missing names, made with another seed than those it learnt from."""
+    model = html_text.default_model()
+    pages = html_text.varied_pages(120, seed=99)
+    wrong = sum(a != b for page, labels in pages for a, b in zip(model.labels(page), labels, strict=True))
+    assert wrong <= 0.03 * sum(len(labels) for _, labels in pages)
+
+
+def test_html_deep_nesting():
+    """Blocks that are never closed, however many, cost time in proportion."""
+    import time
+
+    began = time.perf_counter()
+    page = "".join(f'<div class="c{k}"><ul><li>word {k}' for k in range(20_000))
+    assert len(html_text.blocks(page)) == 20_000
+    model = html_text.default_model()
+    for html in (page, "<div>" * 40_000 + "x" + "</div>" * 40_000, "<p><b>x" * 40_000, "<li>y" * 40_000 + "</ul>" * 40_000):
+        model.text(html)
+    assert time.perf_counter() - began < 60
+
+
+def test_html_brute(spark):
+    """Viterbi's labelling is the best of all, by trying each; the query's rows are those of the parts."""
+    import itertools
+
+    model = html_text.default_model()
+    page = html_text.blocks(f"<body><nav><a href='/'>Home</a></nav><div><h1>T</h1><p>{P1}</p></div><div><p>{P3}</p></div><ul><li><a href='/'>x</a></li></ul><footer>&copy; y</footer></body>", model.names)
+    s = model.scores(page)
+    value = lambda ys: sum(s[k] for k, y in enumerate(ys) if y) + sum(model.moves[a, b] for a, b in itertools.pairwise(ys))
+    best = max(itertools.product((0, 1), repeat=len(page)), key=value)
+    assert len(page) >= 6 and value(tuple(model.labels(page))) == pytest.approx(value(best))
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract(rows).collect()}
+    articles = {}
+    for r in rows.collect():
+        inner = re.search(r"<article>(.*)</article>", r.html or "", re.S)
+        articles[r.page_id] = "\n\n".join(b.text for b in html_text.blocks(inner[1] if inner else ""))
+    assert sum(got[k] == t for k, t in articles.items()) >= 0.98 * len(articles)
