@@ -3,22 +3,27 @@
 Base kinds (leftmost, non-overlapping, per kind): `assign`, a named value of 12 characters or more; `access`, an
 access key id; `hex`, a hexadecimal run. The battery takes the runs of 16 or more base-64 characters that no base
 span covers, infers each one's encoding (hexadecimal, base 32 or base 64; decimals and plain lower-case or
-capitalised words are ordinary text) and tests three null hypotheses of structure:
-  alphabet   the coincidences among its symbols, the chi-squared statistic in another form, are as many as in
-             ordinary text of that alphabet (`Encoding.kappa`) and in ordinary tokens;
-  runs       the runs of symbols above and below the alphabet's middle are as far off as in ordinary tokens;
-  serial     the correlation of neighbouring symbols is as strong as in ordinary tokens.
-The tests have the mean and deviation of the corpus's own ordinary tokens of that band of lengths and encoding;
-where these are fewer than `LEAST` the first goes by kappa and the others say nothing (p = 1). Fisher's method combines the three p-values, so
-that none of them bounds the result; a token whose runs are off or whose correlation is `STRUCTURED` or more is
-never random, however even its symbols (an alphabet in order). Benjamini and Hochberg's procedure then holds the
-rate of false discoveries at `RATE` in each band of lengths by itself, over all tokens of the corpus, because short
-tokens have little power and would else borrow it from long ones. It runs on counts by band and step of log p, a few
-hundred rows, that alone reach the driver. What it accepts has the kind `random`.
+capitalised words are ordinary text) and counts its symbols. Of n symbols out of m, x pairs agree, which gives
+chi-squared against a uniform alphabet as (2x + n)m/n - n. Two hypotheses are tested by it and two more statistics:
+  ordinary   the symbols are drawn one by one as ordinary text draws them, whose chances add up to
+             `Encoding.kappa` when squared and to `Encoding.cubes` when cubed. Then x has the mean P kappa, of P
+             pairs, and the variance P(kappa - kappa^2) + n(n-1)(n-2)(cubes - kappa^2); p is the chance of so few
+             of a gamma law of these moments, by Wilson and Hilferty's root. Where the corpus has `LEAST` ordinary tokens or more of that band of lengths and encoding and
+             these agree less, or vary more, their mean and deviation are taken instead;
+  random     the symbols are uniform. Chi-squared too large (by Wilson and Hilferty's root), the runs above and
+             below the alphabet's middle too few or many (Wald and Wolfowitz's moments), or neighbours correlated
+             (Moran's moments of the first serial correlation) speak against it; three times the least of these
+             p-values below `FIT` rejects it, so that at most a share of FIT of random tokens is lost so.
+A token is found if it isn't ordinary and may be random: its p is that of `ordinary`, and 1 where `random` is
+rejected, which keeps it a valid p-value. Benjamini and Hochberg's procedure then holds the rate of false
+discoveries at `RATE` in each band of lengths by itself, over all tokens of the corpus, because short tokens have
+little power and would else borrow it from long ones. It runs on counts by band and step of log p, a few thousand
+rows at most, that alone reach the driver. What it accepts has the kind `random`.
 
 Everything is Spark columns. The documents are read once and not shuffled.
 
-Defined results. Null and empty texts have no span. Positions count code points. Repeated rows each have their
+Defined results. Null and empty texts have no span; texts may have any length and number of spans. Null doc_ids are
+kept. Positions count code points. Repeated rows each have their
 own result. An empty table gives an empty result. Extra columns aren't read.
 """
 
@@ -37,8 +42,9 @@ HEX = r"[0-9a-f]{16,}"  # the runs of [0-9a-f]+ that are long enough
 TOKEN = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 KINDS = ("assign", "access", "hex", "random")
 BANDS = (24, 32, 48, 96)  # lengths at which the next band begins
-RATE, STEPS, TOP = 0.05, 20, 400  # steps of a tenth power of p; the last step
-LEAST, STRUCTURED = 30, 0.6
+RATE, STEPS, TOP = 0.05, 50, 1000  # steps of a 50th power of ten of p; the last step
+LEAST, FIT = 30, 0.01
+BLOCK = 256  # matches of a text that are placed together
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -46,11 +52,13 @@ class Encoding(NamedTuple):
     pattern: str
     alphabet: str
     kappa: float  # chance that two symbols of ordinary text agree
+    cubes: float  # chance that three do
 
 
-HEX16 = Encoding(r"^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.125)
-BASE32 = Encoding(r"^[A-Z2-7]+$", "abcdefghijklmnopqrstuvwxyz234567", 0.06)
-BASE64 = Encoding(r".", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.06)
+#: Ordinary text: the letters of English prose, and one symbol in twenty one of a dozen others.
+HEX16 = Encoding(r"^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.125, 0.02)
+BASE32 = Encoding(r"^[A-Z2-7]+$", "abcdefghijklmnopqrstuvwxyz234567", 0.0591, 0.00456)
+BASE64 = Encoding(r".", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.0591, 0.00456)
 ENCODINGS = (HEX16, BASE32, BASE64)
 ORDINARY = r"^(?:[0-9]+|[A-Z_/+=-]+|(?:[A-Z]?[a-z]++[-_/+=]?)++)$"
 
@@ -67,8 +75,19 @@ def _found(text: Column, pattern: str, group: int = 0) -> Column:
         end = begin + F.length(x["whole"])
         return F.when(x["whole"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("out")))
 
-    folded = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
-    return F.when(F.regexp_like(text, F.lit(pattern)), folded).otherwise(none)
+    def parts(whole: Column) -> Column:
+        """BLOCK pieces at a time, so that appending doesn't copy all that a long text has already."""
+        slices = F.transform(F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / BLOCK).cast("int")), lambda k: F.slice(whole, k * BLOCK + 1, F.lit(BLOCK)))
+        each = F.transform(slices, lambda x: F.aggregate(x, F.struct(F.lit(0).alias("at"), none.alias("out")), add))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int,hit:string>>>").alias("out"))
+
+        def join(acc: Column, x: Column) -> Column:
+            moved = F.transform(x["out"], lambda y: F.struct((y["start"] + acc["at"]).alias("start"), (y["end"] + acc["at"]).alias("end"), y["hit"].alias("hit")))
+            return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+        return F.flatten(F.aggregate(each, start, join, lambda acc: acc["out"]))
+
+    return F.when(F.regexp_like(text, F.lit(pattern)), _let(pieces, parts)).otherwise(none)
 
 
 def _spans(found: Column, kind: int, least: int) -> Column:
@@ -96,30 +115,43 @@ def _below(z: Column) -> Column:
 
 
 def _stats(raw: Column, e: Encoding) -> Column:
-    """struct<code, even, off, serial> of a token read in the encoding e; even: deviation of its coincidences from `kappa`."""
+    """struct<code, even, fit> of a token read in the encoding e: the deviation of its agreeing pairs from those of
+    ordinary text, and the p-value of the hypothesis that it is random."""
     m = len(e.alphabet)
-    mid = (m - 1) / 2
+    mid, df = (m - 1) / 2, m - 1
 
     def of(s: Column) -> Column:
         n = F.length(s).cast("double")
         counts = F.transform(F.split(F.lit(e.alphabet), ""), lambda c: n - F.length(F.replace(s, c, F.lit(""))))
-        coincide = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * (c - 1) / 2)
-        pairs = n * (n - 1) / 2
-        even = (coincide + 0.5 - pairs * e.kappa) / F.sqrt(pairs * e.kappa * (1 - e.kappa))
-
-        def runs(halves: Column) -> Column:
-            low = n - F.length(F.replace(halves, F.lit("L")))
-            return F.abs(F.length(F.regexp_replace(halves, "L+|H+", "x")) / (2 * low * (n - low) / n + 1) - 1)
-
-        off = _let(F.translate(s, e.alphabet, "L" * (m // 2) + "H" * (m - m // 2)), runs)
+        agree = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * (c - 1) / 2)
         values = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.position(F.substr(s, i, F.lit(1)), F.lit(e.alphabet)) - 1 - mid)
-        start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("x"), F.lit(0.0).alias("xx"), F.lit(0.0).alias("xy"))
+        start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("x"), F.lit(0.0).alias("xx"), F.lit(0.0).alias("xy"), F.lit(None).cast("double").alias("first"))
 
         def add(a: Column, d: Column) -> Column:
-            return F.struct(d.alias("last"), (a["x"] + d).alias("x"), (a["xx"] + d * d).alias("xx"), (a["xy"] + F.coalesce(a["last"] * d, F.lit(0.0))).alias("xy"))
+            return F.struct(d.alias("last"), (a["x"] + d).alias("x"), (a["xx"] + d * d).alias("xx"), (a["xy"] + F.coalesce(a["last"] * d, F.lit(0.0))).alias("xy"), F.coalesce(a["first"], d).alias("first"))
 
-        serial = F.abs(F.aggregate(values, start, add, lambda a: F.coalesce(F.try_divide(a["xy"] - a["x"] * a["x"] / n, a["xx"] - a["x"] * a["x"] / n), F.lit(1.0))))
-        return F.struct(F.lit(ENCODINGS.index(e)).alias("code"), even.alias("even"), F.coalesce(off, F.lit(1.0)).alias("off"), serial.alias("serial"))
+        halves = F.translate(s, e.alphabet, "L" * (m // 2) + "H" * (m - m // 2))
+        low = n - F.length(F.replace(halves, F.lit("L")))
+        runs = F.length(F.regexp_replace(halves, "L+|H+", "x")).cast("double")
+        found = F.struct(n.alias("n"), agree.alias("agree"), low.alias("low"), runs.alias("runs"), F.aggregate(values, start, add).alias("v"))
+        return _let(found, judged_)
+
+    def judged_(t: Column) -> Column:
+        n, x, v = t["n"], t["agree"], t["v"]
+        pairs = n * (n - 1) / 2
+        usual = pairs * e.kappa
+        root = (pairs * (e.kappa - e.kappa**2) + n * (n - 1) * (n - 2) * (e.cubes - e.kappa**2)) / (9 * usual * usual)
+        even = (F.cbrt((x + 1) / usual) - (1 - root)) / F.sqrt(root)
+        chi = (2 * x + n) * m / n - n
+        wilson = (F.cbrt(chi / df) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5
+        mean = 2 * t["low"] * (n - t["low"]) / n + 1
+        wald = F.try_divide(F.greatest(F.abs(t["runs"] - mean) - 0.5, F.lit(0.0)), F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(0.0))))
+        # sum over neighbours of the products of deviations from the mean, over the sum of squared deviations
+        average = v["x"] / n
+        serial = F.try_divide(v["xy"] - average * (2 * v["x"] - v["first"] - v["last"]) + (n - 1) * average * average, v["xx"] - n * average * average)
+        moran = F.abs(serial + 1 / n) * n * F.sqrt(n - 1) / (n - 2)
+        least = F.least(_below(-wilson), 2 * _below(-F.coalesce(wald, F.lit(40.0))), 2 * _below(-F.coalesce(moran, F.lit(40.0))))
+        return F.struct(F.lit(ENCODINGS.index(e)).alias("code"), even.alias("even"), F.least(3 * least, F.lit(1.0)).alias("fit"))
 
     return _let(F.rtrim(F.translate(raw, "-_", "+/"), F.lit("=")) if e is BASE64 else F.lower(raw), of)
 
@@ -137,44 +169,41 @@ def scan(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     base = F.array_sort(F.concat(_spans(_found(text, ASSIGN, 2), 0, 12), _spans(_found(text, ACCESS), 1, 18), _spans(_found(text, HEX), 2, 16)))
     df = docs.select(F.col("doc_id"), text_of().alias("text")).select("doc_id", base.alias("base"), _found(text, TOKEN).alias("found"))
-    free = F.filter("found", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+
+    def block(own: Column) -> Column:
+        return F.struct(F.element_at(own, 1)["start"].alias("start"), F.array_max(F.transform(own, lambda b: b["end"])).alias("end"), own.alias("own"))
+
+    def meets(x: Column, b: Column) -> Column:
+        return (b["start"] < x["end"]) & (x["start"] < b["end"])
+
+    # base spans BLOCK at a time, so that a token is held against few of a long text's spans
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("base") - 1) / BLOCK).cast("int")), lambda k: _let(F.slice("base", k * BLOCK + 1, F.lit(BLOCK)), block))
+    outside = _let(blocks, lambda bs: F.filter("found", lambda x: ~F.exists(bs, lambda b: meets(x, b) & F.exists(b["own"], lambda o: meets(x, o)))))
+    free = F.when(F.size("base") == 0, F.col("found")).otherwise(outside)
     stats = lambda h: F.when(F.rlike(h, F.lit(HEX16.pattern)), _stats(h, HEX16)).when(F.rlike(h, F.lit(BASE32.pattern)), _stats(h, BASE32)).otherwise(_stats(h, BASE64))
     tokens = F.transform(free, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _band(F.length(x["hit"])).alias("band"), F.rlike(x["hit"], F.lit(ORDINARY)).alias("ordinary"), stats(x["hit"]).alias("s")))
     return df.select("doc_id", "base", tokens.alias("tokens"))
 
 
 def nulls(scanned: DataFrame) -> Column:
-    """By band and encoding struct<off, off_dev, serial, serial_dev> of the corpus's ordinary tokens; null where too few."""
+    """By band and encoding struct<mean, dev> of `even`: those of the corpus's ordinary tokens where they are stricter than the hypothesis's 0 and 1."""
     t = scanned.select(F.explode("tokens").alias("t")).where("t.ordinary").groupBy("t.band", "t.s.code")
-    value = {"even": F.least("t.s.even", F.lit(3.0)), "off": F.col("t.s.off"), "serial": F.col("t.s.serial")}  # a run of one symbol tells nothing of the others
-    of = [f(x).alias(n + c) for c, x in value.items() for f, n in ((F.avg, "m_"), (F.stddev, "d_"))]
-    rows = {(r.band, r.code): r for r in t.agg(F.count(F.lit(1)).alias("n"), *of).where(F.col("n") >= LEAST).collect()}  # 15 rows at most
+    even = F.least("t.s.even", F.lit(3.0))  # a run of one symbol tells nothing of the others
+    rows = {(r.band, r.code): r for r in t.agg(F.count(F.lit(1)).alias("n"), F.avg(even).alias("mean"), F.stddev(even).alias("dev")).where(F.col("n") >= LEAST).collect()}  # 15 rows at most
 
     def cell(r) -> Column:
-        if r is None or not (r.d_off > 0 and r.d_serial > 0):
-            found = {"m_even": 0.0, "d_even": 1.0} | dict.fromkeys(("m_off", "d_off", "m_serial", "d_serial"))
-        else:
-            found = r.asDict() | {"m_even": min(0.0, r.m_even), "d_even": max(1.0, r.d_even)}
-        return F.struct(*(F.lit(found[n + c]).cast("double").alias(n + c) for c in value for n in ("m_", "d_")))
+        return F.struct(F.lit(min(0.0, r.mean) if r else 0.0).alias("mean"), F.lit(max(1.0, r.dev) if r else 1.0).alias("dev"))
 
     return F.array(*(cell(rows.get((b, c))) for b in range(len(BANDS) + 1) for c in range(len(ENCODINGS))))
 
 
 def judged(scanned: DataFrame) -> DataFrame:
-    """(doc_id, base, tokens) with the band and the step of the combined p of each token that isn't ordinary."""
+    """(doc_id, base, tokens) with the band and the step of the p of each token that isn't ordinary."""
     known = nulls(scanned)
 
     def step(t: Column) -> Column:
-        def combined(v: Column) -> Column:
-            def evidence(c: str) -> Column:
-                p = _below((t["s"][c] - v[f"m_{c}"]) / v[f"d_{c}"])
-                return F.when(v[f"d_{c}"].isNull(), 0.0).otherwise(-F.ln(F.greatest(p, F.lit(1e-30))))
-
-            # half of Fisher's statistic; its chi-squared law has six degrees of freedom
-            return _let(evidence("even") + evidence("off") + evidence("serial"), lambda y: F.exp(-y) * (1 + y + y * y / 2))
-
-        p = _let(F.element_at(known, t["band"] * len(ENCODINGS) + t["s"]["code"] + 1), combined)
-        return _step(F.when((t["s"]["off"] < STRUCTURED) & (t["s"]["serial"] < STRUCTURED), p).otherwise(1.0))
+        p = _let(F.element_at(known, t["band"] * len(ENCODINGS) + t["s"]["code"] + 1), lambda v: _below((t["s"]["even"] - v["mean"]) / v["dev"]))
+        return _step(F.when(t["s"]["fit"] >= FIT, p).otherwise(1.0))
 
     tokens = F.transform(F.filter("tokens", lambda t: ~t["ordinary"]), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["band"].alias("band"), step(t).alias("step")))
     return scanned.select("doc_id", "base", tokens.alias("tokens"))
