@@ -51,7 +51,7 @@ class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h

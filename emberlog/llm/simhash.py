@@ -227,14 +227,18 @@ def decide(docs: DataFrame) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def word_prints(text: str | None, memo: dict[str, int]) -> tuple[list[int], list[int]]:
-    """(PRINTS fingerprints of the set of words, sorted hashes of the distinct shingles of five words), as signed longs.
+def word_hashes(text: str | None, memo: dict[str, int]) -> np.ndarray:
+    """A 64-bit hash of each word, in order."""
+    words = (text or "").lower().split()
+    return np.fromiter((memo[w] for w in words), np.uint64, len(words))
+
+
+def word_prints(flow: np.ndarray) -> np.ndarray:
+    """PRINTS fingerprints, as signed longs, of the set of words of `word_hashes`.
 
     An edited word changes up to five shingles but one word, so sets of words keep near copies within a few bits.
     """
-    words = (text or "").lower().split()
-    own = np.fromiter((memo[w] for w in dict.fromkeys(words)), np.uint64)
-    prints = []
+    own, prints = np.unique(flow), np.zeros(PRINTS, np.uint64)
     for k in range(PRINTS):
         h = (own ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
@@ -242,14 +246,18 @@ def word_prints(text: str | None, memo: dict[str, int]) -> tuple[list[int], list
         ones = np.zeros(64, np.int64)
         for i in range(0, len(h), 1 << 14):
             ones += np.unpackbits(h[i : i + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        prints.append(int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big"))
-    flow = np.fromiter((memo[w] for w in words), np.uint64, len(words))
-    n = max(1, len(words) - SHINGLE + 1) if words else 0
+        prints[k] = int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+    return prints.view(np.int64)
+
+
+def word_shingles(flow: np.ndarray) -> np.ndarray:
+    """Hashes of the distinct shingles of five words, in order, as signed longs; fewer words make one shingle."""
+    n = max(1, len(flow) - SHINGLE + 1) if len(flow) else 0
     rolled = np.zeros(n, np.uint64)
-    for i in range(min(SHINGLE, len(words))):
+    for i in range(min(SHINGLE, len(flow))):
         rolled = (rolled ^ flow[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
         rolled ^= rolled >> np.uint64(29)
-    return np.array(prints, np.uint64).view(np.int64).tolist(), np.unique(rolled).view(np.int64).tolist()
+    return np.unique(rolled).view(np.int64)
 
 
 class _Words(dict):
@@ -258,23 +266,29 @@ class _Words(dict):
     def __missing__(self, word: str) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
 
 
 def _prints(rows: DataFrame, shingles: bool) -> DataFrame:
-    """rows (text and other columns) with prints, and the shingles if asked for; text is left out."""
-    name = "shingles" if shingles else "prints"
+    """rows (text and other columns) with prints, or the shingles if asked for; text is left out."""
+    name, of = ("shingles", word_shingles) if shingles else ("prints", word_prints)
     schema = T.StructType([*rows.drop("text").schema.fields, T.StructField(name, T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Words()
         for b in batches:
-            made = pa.array([word_prints(x.as_py(), memo)[int(shingles)] for x in b.column("text")], pa.list_(pa.int64()))
-            names = [n for n in b.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), made], names=[*names, name])
+            names, text = [n for n in b.schema.names if n != "text"], b.column("text")
+            at = 0
+            while at < b.num_rows:  # rows of some 64 MB of numbers at a time
+                made, size, begin = [], 0, at
+                while at < b.num_rows and size < 1 << 23:
+                    made.append(of(word_hashes(text[at].as_py(), memo)))
+                    size, at = size + len(made[-1]), at + 1
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, made)]), pa.int32()), pa.array(np.concatenate(made)))
+                yield pa.RecordBatch.from_arrays([*(b.column(n).slice(begin, at - begin) for n in names), lists], names=[*names, name])
 
     return rows.mapInArrow(run, schema)
 
