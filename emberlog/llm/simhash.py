@@ -191,14 +191,14 @@ def links(fps: DataFrame, block: int = 1024) -> DataFrame:
     """(u, v, k): a set of links between distinct fingerprints (columns fp and k, those of one k apart from others)
     with the same components as all links."""
 
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fp, which = pdf["fp"].to_numpy(), pdf["k"].to_numpy()
-            for i in range(0, len(fp), 4096):
-                r, found = keys(fp[i : i + 4096].view(np.uint64))
-                yield pd.DataFrame({"fp": fp[i : i + 4096][r], "key": found | which[i : i + 4096][r] << PLACE})
-
-    rows = stage(fps.mapInPandas(keyed, "fp long, key long"), "simhash-keys")
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp, which = b.column("fp").to_numpy(zero_copy_only=False), b.column("k").to_numpy(zero_copy_only=False)
+            for i in range(0, len(fp), 2048):
+                r, found = keys(fp[i : i + 2048].view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(fp[i : i + 2048][r]), pa.array(found | which[i : i + 2048][r] << PLACE)], names=["fp", "key"])
+
+    rows = stage(fps.mapInArrow(keyed, "fp long, key long"), "simhash-keys")
     hot = rows.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("n"))
     hot = stage(hot, "simhash-hot")  # written down, so that the join with it can be split
     n = F.coalesce("n", F.lit(1))
@@ -282,9 +282,9 @@ def _prints(rows: DataFrame, shingles: bool) -> DataFrame:
         for b in batches:
             names, text = [n for n in b.schema.names if n != "text"], b.column("text")
             at = 0
-            while at < b.num_rows:  # rows of some 64 MB of numbers at a time
+            while at < b.num_rows:  # rows of some 8 MB of numbers at a time
                 made, size, begin = [], 0, at
-                while at < b.num_rows and size < 1 << 23:
+                while at < b.num_rows and size < 1 << 20:
                     made.append(of(word_hashes(text[at].as_py(), memo)))
                     size, at = size + len(made[-1]), at + 1
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, made)]), pa.int32()), pa.array(np.concatenate(made)))
