@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_DEPTH = 20
@@ -94,11 +94,43 @@ def numbered(pattern: str) -> tuple[str, dict[str, int]]:
     return out, names
 
 
+SEPARATOR = "\x01"
+
+
+def matched(col: Column, pattern: str) -> tuple[Column, dict[str, int]]:
+    """(an array, the place in it of each named group's text); of a text that doesn't match the array has one element.
+
+    The expression runs once: a match of the whole text, from its first match on, is replaced by its groups with
+    separators, which are split. A text that holds the separator itself is read group by group.
+    """
+    java, names = numbered(pattern)
+    before = "" if java.startswith("^") and "|" not in java else r"(?s:.*?)"
+    joined = F.regexp_replace(col, rf"^{before}(?:{java})(?s:.*)\z", SEPARATOR + SEPARATOR.join(f"${k}" for k in names.values()))
+    by_group = F.array(F.lit(""), *[F.regexp_extract(col, java, k) for k in names.values()]) if names else F.array(F.lit(""), F.lit(""))
+    slow = F.when(F.rlike(col, F.lit(java)), by_group).otherwise(F.array(col))
+    return F.when(F.contains(col, F.lit(SEPARATOR)), slow).otherwise(F.split(joined, SEPARATOR)), {n: i for i, n in enumerate(names, 1)}
+
+
+def is_match(parts: Column) -> Column:
+    return F.coalesce(F.size(parts) > 1, F.lit(False))
+
+
+def capture(parts: Column, place: int) -> Column:
+    """A group's text of `matched`, empty where the group is missing."""
+    return F.coalesce(F.get(parts, F.lit(place)), F.lit(""))
+
+
 def captures(col: Column, pattern: str) -> tuple[Column, dict[str, Column]]:
     """(whether it matches, text of each named group, empty where the group is missing)."""
-    java, names = numbered(pattern)
-    return F.coalesce(F.rlike(col, F.lit(java)), F.lit(False)), {n: F.regexp_extract(col, java, k) for n, k in names.items()}
+    parts, names = matched(col, pattern)
+    return is_match(parts), {n: capture(parts, k) for n, k in names.items()}
 
 
 def grok(col: Column, pattern: str) -> dict[str, Column]:
     return captures(col, expand(pattern))[1]
+
+
+def with_captures(df: DataFrame, col: str, pattern: str) -> DataFrame:
+    """df with a column for each named group of a grok pattern."""
+    parts, names = matched(F.col(col), expand(pattern))
+    return df.withColumn("_parts", parts).withColumns({n: capture(F.col("_parts"), k) for n, k in names.items()}).drop("_parts")

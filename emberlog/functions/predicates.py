@@ -51,23 +51,31 @@ def check_regex(pattern: str) -> str:
     return pattern
 
 
-def _equals(field: str, value: str) -> Column:
-    if field == "level":
-        value = value.lower()
+def pred(field: str, op: str, value: str | float | Sequence[str] | None = None) -> Column:
+    """A condition on a field: op is one of = != > >= < <= like exists in regex. An attribute is read once."""
     key = key_of(field)
-    if key is not None and value.lower() in ("true", "false"):
-        v = S.attr(key)
-        return S.present(v) & (S.is_bool(v) | (F.schema_of_variant(v) == "STRING")) & (F.lower(v.cast("string")) == value.lower())
-    return text_of(field) == value
+    if key is None:
+        return _condition(field, F.col(FIELDS[field]), None, op, value)
+    if op == "exists":
+        return S.bound(S.attr(key), S.present)
+    text = lambda v: S.bound(v.cast("string"), lambda t: S.attr_text(v, t))
+    return S.bound(S.attr(key), lambda v: S.bound(text(v), lambda t: _condition(field, t, v, op, value)))
 
 
-def pred(field: str, op: str, value: str | float | Sequence[str] | None = None) -> Column:
-    """A condition on a field: op is one of = != > >= < <= like exists in regex."""
-    text, key = text_of(field), key_of(field)
+def _condition(field: str, text: Column, v: Column | None, op: str, value) -> Column:
+    """text: the field's text; v: the variant, of an attribute."""
+
+    def equals(wanted: str) -> Column:
+        if field == "level":
+            wanted = wanted.lower()
+        if v is not None and wanted.lower() in ("true", "false"):
+            return S.present(v) & (S.is_bool(v) | (F.schema_of_variant(v) == "STRING")) & (F.lower(v.cast("string")) == wanted.lower())
+        return text == wanted
+
     if op == "=":
-        return F.coalesce(_equals(field, str(value)), F.lit(False))
+        return F.coalesce(equals(str(value)), F.lit(False))
     if op == "!=":
-        return text.isNull() | ~F.coalesce(_equals(field, str(value)), F.lit(False))
+        return text.isNull() | ~F.coalesce(equals(str(value)), F.lit(False))
     if op in COMPARE:
         literal = str(value)
         numeric = S.NUMBER.match(literal) is not None
@@ -75,9 +83,9 @@ def pred(field: str, op: str, value: str | float | Sequence[str] | None = None)
     if op == "like":
         return F.coalesce(F.lower(text).like(S.like_pattern(str(value).lower())), F.lit(False))
     if op == "exists":
-        return S.present(S.attr(key)) if key is not None else F.coalesce(text != "", F.lit(False))
+        return F.coalesce(text != "", F.lit(False))
     if op == "in":
-        values = [str(v).lower() if field == "level" else str(v) for v in value or ()]
+        values = [str(x).lower() if field == "level" else str(x) for x in value or ()]
         return F.coalesce(text.isin(*values), F.lit(False)) if values else F.lit(False)
     if op == "regex":
         return F.coalesce(F.rlike(text, F.lit(check_regex(str(value)))), F.lit(False))
@@ -106,8 +114,7 @@ def search(df: DataFrame, filters: Iterable[tuple | Column] = (), terms: Iterabl
     conditions = [f if isinstance(f, Column) else pred(*f) for f in filters]
     terms = list(terms)
     if terms:
-        text = F.col("text_norm") if "text_norm" in df.columns else X.text_norm()
-        conditions += [X.term(text, t) for t in terms]
+        conditions.append(X.all_terms(F.col("text_norm"), terms) if "text_norm" in df.columns else X.holds(X.searchable(), terms))
     df = within(df, start, end)
     return df.where(reduce(operator.and_, conditions)) if conditions else df
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUMBER = re.compile(r"[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\Z")
@@ -92,6 +93,16 @@ def event_id(ts: Column, *seed: Column) -> Column:
     return F.concat(crockford(head), crockford(tail))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once: for values that a filter would else compute for each mention."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that later filters don't take apart: a generator's output, which no condition is pushed below."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def attr(key: str) -> Column:
     return F.col("attributes")[key]
 
@@ -105,9 +116,12 @@ def is_bool(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v) == "BOOLEAN", F.lit(False))
 
 
-def attr_text(v: Column) -> Column:
-    """The text of a variant: 1 or 0 of a boolean, null of JSON null, JSON of nested values, numbers without a trailing .0."""
-    text = v.cast("string")
+def attr_text(v: Column, text: Column | None = None) -> Column:
+    """The text of a variant: 1 or 0 of a boolean, null of JSON null, JSON of nested values, numbers without a trailing .0.
+
+    text: v as a string, where a caller has that already.
+    """
+    text = v.cast("string") if text is None else text
     truth = text.isin("true", "false") & is_bool(v)  # the type, dear to find out, only where it matters
     return F.when(truth, F.when(text == "true", "1").otherwise("0")).when(text.endswith(".0"), F.regexp_replace(text, r"^(-?\d+)\.0$", "$1")).otherwise(text)
 
@@ -134,6 +148,14 @@ def set_key(attributes: Column, key: str, v: Column) -> Column:
     return F.map_concat(rest, F.create_map(F.lit(key), v))
 
 
+def set_texts(attributes: Column, texts: dict[str, Column]) -> Column:
+    """attributes with the values of `texts` that aren't empty, each as `of_text` has it."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), t.alias("t")) for k, t in texts.items()])
+    fresh = F.map_from_entries(F.transform(F.filter(pairs, lambda p: p["t"] != ""), lambda p: F.struct(p["k"], of_text(p["t"]))))
+    own = F.coalesce(attributes, F.create_map().cast("map<string,variant>"))
+    return bound(fresh, lambda m: F.map_concat(F.map_filter(own, lambda k, _: ~F.map_contains_key(m, k)), m))
+
+
 def drop_keys(attributes: Column, *keys: str) -> Column:
     return F.map_filter(attributes, lambda k, _: ~k.isin(*keys))
 

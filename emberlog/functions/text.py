@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import operator
 import re
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.functions import scalars as S
 from emberlog.functions.scalars import attr_text
 
 NO_TOKEN = r"[^\p{L}\p{Nd}]+"
@@ -44,6 +47,23 @@ def term(text: Column, wanted: str) -> Column:
     return F.contains(text, F.lit(" " + " ".join(found))) if found else F.lit(False)
 
 
+def all_terms(text: Column, terms: Iterable[str]) -> Column:
+    """Whether normal text holds every term."""
+    return reduce(operator.and_, [term(text, t) for t in terms], F.lit(True))
+
+
+def holds(text: Column, terms: Iterable[str]) -> Column:
+    """Whether a text holds every term. Text is made normal once, and only where it holds the letters of all tokens."""
+    terms = list(terms)
+    letters = sorted({t for wanted in terms for t in split_tokens(wanted)})
+
+    def once(s: Column) -> Column:
+        quick = S.bound(F.lower(s), lambda low: reduce(operator.and_, [F.contains(low, F.lit(t)) for t in letters], F.lit(True)))
+        return quick & S.bound(normal(s), lambda t: all_terms(t, terms))
+
+    return S.bound(text, once)
+
+
 def build_index(df: DataFrame, text: Column | None = None) -> DataFrame:
     """(token, id): each token of a row once."""
     source = text if text is not None else searchable()

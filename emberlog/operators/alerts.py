@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 from functools import reduce
+from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.functions.predicates import name_of, search, text_of
-from emberlog.operators.aggregate import measure
+from emberlog.functions.predicates import name_of, real_of, search, text_of
 from emberlog.operators.paging import first_of
 
 OPS = {"gt": operator.gt, "gte": operator.ge, "lt": operator.lt, "lte": operator.le, "eq": operator.eq, "ne": operator.ne}
@@ -63,26 +63,83 @@ def group_label(labels: Column) -> Column:
     return F.array_join(F.array_sort(pairs), " ")
 
 
+FAN = 16  # panes that make one of the next level
+
+
+def _node(level: int):
+    return lambda n: F.struct(F.lit(level).alias("level"), n.alias("node"))
+
+
+def _nodes(lo: Column, hi: Column, levels: int) -> Column:
+    """Panes (level, node) of FAN**level panes each that part those from lo to hi, both included, into few."""
+    out, a, b = [], lo, hi + 1
+    for level in range(levels):
+        up, down = F.ceil(a / F.lit(FAN)).cast("long") * FAN, F.floor(b / F.lit(FAN)).cast("long") * FAN
+        whole = (up >= down) if level < levels - 1 else F.lit(True)
+        span = lambda x, y: F.when(x < y, F.sequence(x, y - 1)).otherwise(F.array().cast("array<bigint>"))
+        own = F.when(whole, span(a, b)).otherwise(F.concat(span(a, up), span(down, b)))
+        out.append(F.transform(own, _node(level)))
+        a, b = F.when(whole, F.lit(0)).otherwise(up / FAN).cast("long"), F.when(whole, F.lit(0)).otherwise(down / FAN).cast("long")
+    return F.flatten(F.array(*out))
+
+
+def _partial(m: tuple) -> tuple[list[Column], list[Column], Column]:
+    """(what a pane holds of a measure, how panes are merged, the value of what is merged); columns n, x."""
+    func, field = m[0], m[1] if len(m) > 1 else None
+    if func != "count" and field is None:
+        raise ValueError(f"{func} needs a field")
+    if func == "count":
+        return [F.count(F.lit(1)).alias("n")], [F.sum("n").alias("n")], F.col("n")
+    real = real_of(field)
+    if func in ("sum", "avg"):
+        value = F.col("x") if func == "sum" else F.try_divide("x", "n")
+        return [F.count(real).alias("n"), F.sum(real).alias("x")], [F.sum("n").alias("n"), F.sum("x").alias("x")], value
+    if func not in ("min", "max"):
+        raise ValueError(f"unknown function {func!r}")
+    of = F.min if func == "min" else F.max
+    return [of(real).alias("x")], [of("x").alias("x")], F.col("x")
+
+
 def backtest_rule(df: DataFrame, rule: Rule, start: datetime, end: datetime) -> DataFrame:
     """An evaluation (see EVALUATIONS) at start and every interval after it, to end; windows are closed on both sides.
 
-    Each event goes to the bounded number of evaluations whose window it lies in; these are counted or aggregated,
-    and evaluations without any event come from the list of all.
+    Events are aggregated once, by group and pane: the greatest common divisor of window and interval cuts time into
+    panes without their ends, and the ends, which two windows may share, are panes of their own. FAN panes make one of
+    the next level, and so on, so that a window of any length is put together from a few; no event is copied.
+    Evaluations without any event come from the list of all.
     """
     rule.validate()
     first, step, width = int(start.timestamp() * 1e6), rule.interval_s * 1_000_000, rule.window_s * 1_000_000
     n = (int(end.timestamp() * 1e6) - first) // step + 1
+    pane = gcd(step, width)
+    back = 2 * (width // pane)  # panes before the first evaluation, so that none is numbered below zero
     spine = df.sparkSession.range(n).select(F.col("id").alias("k"))
     matching = search(df, rule.filters, rule.terms, start - timedelta(seconds=rule.window_s), end)
-    t = F.unix_micros("ts") - F.lit(first)
-    lo, hi = F.greatest(F.ceil(t / step), F.lit(0)), F.least(F.floor((t + width) / step), F.lit(n - 1))
-    hit = matching.withColumn("k", F.explode(F.when(lo <= hi, F.sequence(lo.cast("long"), hi.cast("long")))))
-    m = measure(*rule.measure)
-    keys = [text_of(f).alias(name_of(f)) for f in rule.by]
-    grouped = hit.groupBy("k", *keys).agg(m)
-    value = F.col(f"`{grouped.columns[-1]}`").cast("double")
-    labels = F.create_map(*[x for f in rule.by for x in (F.lit(name_of(f)), F.coalesce(F.col(f"`{name_of(f)}`"), F.lit("")))]) if rule.by else F.create_map().cast("map<string,string>")
-    rows = grouped.select("k", value.alias("v"), group_label(labels).alias("label")).where("v is not null")
+    t = F.unix_micros("ts") - F.lit(first - width)
+    at = (2 * F.floor(t / F.lit(pane)) + F.when(F.pmod(t, F.lit(pane)) == 0, 0).otherwise(1)).cast("long").alias("node")
+    names = [name_of(f) for f in rule.by]
+    keys = [text_of(f).alias(x) for f, x in zip(rule.by, names, strict=True)]
+    named = [F.col(f"`{x}`") for x in names]
+    distinct = rule.measure[0] == "dc"
+    if distinct:
+        held = matching.select(at, *keys, text_of(rule.measure[1]).alias("v")).where("v is not null").distinct()
+        merge, value, by = [], F.count_distinct("v"), [*named, F.col("v")]
+    else:
+        parts, merge, value = _partial(rule.measure)
+        held, by = matching.groupBy(at, *keys).agg(*parts), named
+    cells, levels = back + 2 * (n - 1) * (step // pane) + 1, 1
+    while FAN**levels < cells:
+        levels += 1
+    wide = held.withColumn("level", F.explode(F.array(*map(F.lit, range(levels)))))
+    power = F.element_at(F.array(*[F.lit(FAN**k) for k in range(levels)]), F.col("level") + 1)
+    wide = wide.withColumn("node", F.floor(F.col("node") / power).cast("long"))
+    wide = wide.distinct() if distinct else wide.groupBy("level", "node", *by).agg(*merge)
+    to = back + 2 * (step // pane) * F.col("k")
+    wanted = spine.select("k", F.explode(_nodes(to - back, to, levels)).alias("p")).select("k", "p.level", "p.node")
+    met = wanted.join(wide, ["level", "node"]).groupBy("k", *named)
+    grouped = met.agg(value.alias("v_")) if distinct else met.agg(*merge).withColumn("v_", value)
+    labels = F.create_map(*[x for f in names for x in (F.lit(f), F.coalesce(F.col(f"`{f}`"), F.lit("")))]) if names else F.create_map().cast("map<string,string>")
+    rows = grouped.select("k", F.col("v_").cast("double").alias("v"), group_label(labels).alias("label")).where("v is not null")
     extreme = F.min("v") if rule.op in ("lt", "lte") else F.max("v")
     breach = condition(F.col("v"), rule.op, rule.value)
     listed = F.array_sort(F.collect_list(F.when(breach, F.struct((-F.col("v")).alias("o"), "label", "v"))))

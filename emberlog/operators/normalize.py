@@ -50,9 +50,12 @@ def normalize(df: DataFrame, *, now: datetime, record: str = "record") -> tuple[
 
     df may carry `value` (the text that the record was read from) and `error` (a reason it was refused before).
     """
-    r, at = F.col(record), F.lit(now)
-    text = lambda name: F.coalesce(scalar_text(first_present(r, *ALIASES[name])), F.lit(""))
-    parsed = df.withColumn("_ts", S.ts_parse(first_present(r, *ALIASES["time"])))
+    # in steps, each computed once: in one, a filter on the reason repeats the parsing, and code grows too large to compile
+    r, at = F.col("_record.r"), F.lit(now)
+    parsed = S.once(df, "_record", F.struct(F.col(record).alias("r")))
+    parsed = S.once(parsed, "_found", F.struct(*[first_present(r, *keys).alias(name) for name, keys in ALIASES.items()]))
+    text = lambda name: F.coalesce(scalar_text(F.col("_found")[name]), F.lit(""))
+    parsed = S.once(parsed, "_ts", S.ts_parse(F.col("_found.time")))
     early = F.col("error") if "error" in df.columns else F.lit(None).cast("string")
     reason = (
         F.when(early.isNotNull(), early)
@@ -75,7 +78,7 @@ def normalize(df: DataFrame, *, now: datetime, record: str = "record") -> tuple[
         fold(r).alias("attributes"),
         text("raw").alias("raw"),
     )
-    return logs.select(*COLUMNS), parsed.where("reason is not null").drop("_ts", record)
+    return logs.select(*COLUMNS), parsed.where("reason is not null").drop("_ts", "_found", "_record", record)
 
 
 def flatten_dotted(df: DataFrame, column: str) -> Column:

@@ -90,19 +90,16 @@ Edits = dict[str, Column]
 
 
 def _stage(s: Stage) -> tuple[Column, Edits]:
-    """(whether the stage succeeds, new values of columns if it does)."""
+    """(whether the stage succeeds, new values of columns if it does); a pattern's stage reads its match from _parts."""
     text = read_field(s.field)
     if s.type in ("grok", "regex"):
-        ok, found = G.captures(text, G.expand(s.pattern) if s.type == "grok" else s.pattern)
+        _, places = _match(s)
+        ok, found = G.is_match(F.col("_parts")), {n: G.capture(F.col("_parts"), k) for n, k in places.items()}
         edits: Edits = {}
-        attributes = F.col("attributes")
-        for name, cap in found.items():
-            if name in ROUTED:
-                column = ROUTED[name]
-                edits[column] = F.when(cap != "", S.level_norm(cap) if column == "level" else cap).otherwise(F.col(column))
-            else:
-                attributes = F.when(cap != "", S.set_key(attributes, name, S.of_text(cap))).otherwise(attributes)
-        return ok, edits | {"attributes": attributes}
+        for name in [n for n in found if n in ROUTED]:
+            column, cap = ROUTED[name], found.pop(name)
+            edits[column] = F.when(cap != "", S.level_norm(cap) if column == "level" else cap).otherwise(F.col(column))
+        return ok, edits | ({"attributes": S.set_texts(F.col("attributes"), found)} if found else {})
     if s.type == "timestamp":
         ts = parse_time(text, F.coalesce("received_at", "ts"), s.layouts)
         return ts.isNotNull(), {"ts": ts}
@@ -122,6 +119,10 @@ def _stage(s: Stage) -> tuple[Column, Edits]:
     return F.lit(True), {"attributes": S.set_key(F.col("attributes"), s.to.removeprefix("attr."), S.of_text(F.lit(s.value)))}
 
 
+def _match(s: Stage) -> tuple[Column, dict[str, int]]:
+    return G.matched(read_field(s.field), G.expand(s.pattern) if s.type == "grok" else s.pattern)
+
+
 def _run(df: DataFrame, pipelines: Sequence[Pipeline], note: Callable[[DataFrame, Pipeline, Stage | None], DataFrame]) -> DataFrame:
     validate(pipelines)
     for p in sorted((p for p in pipelines if p.enabled), key=lambda p: p.order):
@@ -129,13 +130,15 @@ def _run(df: DataFrame, pipelines: Sequence[Pipeline], note: Callable[[DataFrame
         df = note(df.withColumn("_alive", match), p, None)
         for s in p.stages:
             ok, edits = _stage(s)
+            if s.type in ("grok", "regex"):
+                df = df.withColumn("_parts", _match(s)[0])
             df = df.withColumn("_ok", F.coalesce(ok, F.lit(False)))
             go = F.col("_alive") & F.col("_ok")
             df = df.withColumns({c: F.when(go, v).otherwise(F.col(c)) for c, v in edits.items()})
             df = note(df, p, s)
             if s.fail_pipeline:
                 df = df.withColumn("_alive", go)
-        df = df.drop("_alive", "_ok")
+        df = df.drop("_alive", "_ok", "_parts")
     return df
 
 

@@ -142,8 +142,7 @@ NORM_SQL = r"concat(' ', trim(regexp_replace(lower(text), '[^\p{L}\p{Nd}]+', ' '
 
 @register("t3_phrase", f"SELECT doc_id::VARCHAR AS id FROM documents WHERE contains({NORM_SQL}, ' of the') AND contains({NORM_SQL}, ' an')", logs=False)
 def _(s, d):
-    text = X.normal(F.col("message"))
-    return docs(s, d).where(X.term(text, "Of, the") & X.term(text, "an")).select("id")
+    return docs(s, d).where(X.holds(F.col("message"), ["Of, the", "an"])).select("id")
 
 
 @register("t4_index_search", rf"SELECT doc_id::VARCHAR AS id FROM documents WHERE contains({NORM_SQL} || ' ', ' token ') AND contains({NORM_SQL}, ' er')", logs=False)
@@ -436,8 +435,8 @@ def access(s: SparkSession, d: str) -> DataFrame:
 
 @register("e1_grok", f"""SELECT l_orderkey, l_linenumber, regexp_extract(line, '^(\\S+)', 1) AS client, regexp_extract(line, '"GET (\\S+)"', 1) AS path, regexp_extract(line, '" (\\d+) ', 1) AS status FROM ({ACCESS_SQL})""", logs=False)
 def _(s, d):
-    cap = G.grok(F.col("line"), r'%{IP:client} - - "%{HTTPVERB} %{URIPATH:path}" %{HTTPSTATUS:status} %{INT:size}')
-    return access(s, d).select("l_orderkey", "l_linenumber", *[cap[n].alias(n) for n in ("client", "path", "status")])
+    found = G.with_captures(access(s, d), "line", r'%{IP:client} - - "%{HTTPVERB} %{URIPATH:path}" %{HTTPSTATUS:status} %{INT:size}')
+    return found.select("l_orderkey", "l_linenumber", "client", "path", "status")
 
 
 @register("e2_regex", f"""SELECT l_orderkey, l_linenumber, regexp_extract(line, '/part/(\\d+)', 1) AS part, regexp_extract(line, ' (\\d+)$', 1) AS size FROM ({ACCESS_SQL})""", logs=False)

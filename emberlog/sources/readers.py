@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.functions import scalars as S
 from emberlog.functions.scalars import event_id
 from emberlog.operators.normalize import normalize
 from emberlog.schema import COLUMNS
@@ -25,9 +26,10 @@ def _refuse_long(max_bytes: int):
 
 def parse_lines(lines: DataFrame, *, now: datetime, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
     """(logs, rejects) of a column `value` with a JSON object in each row."""
-    parsed = F.try_parse_json("value")
+    lines = S.once(lines, "_json", F.struct(F.try_parse_json("value").alias("v")))
+    parsed = F.col("_json.v")
     record = F.when(F.schema_of_variant(parsed).startswith("OBJECT"), F.try_variant_get(parsed, "$", RECORD))
-    return normalize(lines.withColumns({"error": _refuse_long(max_bytes), "record": record}), now=now)
+    return normalize(lines.withColumns({"error": _refuse_long(max_bytes), "record": record}).drop("_json"), now=now)
 
 
 def _numbered(df: DataFrame) -> DataFrame:

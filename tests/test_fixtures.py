@@ -328,3 +328,40 @@ def test_plans(spark):
 
     plan = events(spark, "/root/testdata/sf0.001").where("service = 'error'").select("id")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,error)]" in plan and "ReadSchema: struct<event_id:bigint,event_type:string>" in plan
+
+
+@pytest.mark.parametrize(("window", "interval", "measure"), [(600, 60, ("count",)), (610, 60, ("sum", "attr.n")), (3600, 10, ("max", "attr.n")), (60, 60, ("dc", "source")), (7200, 7200, ("avg", "attr.n")), (90, 60, ("min", "attr.n")), (10_000, 50, ("dc", "attr.n"))])
+def test_rule_panes(make_logs, window, interval, measure):
+    """Windows put together from panes hold just the events from at - window to at, both included, by group."""
+    import random
+
+    r = random.Random(window + interval)
+    rows = [(f"{k:04}", m, f"s{r.randrange(3)}", f"h{r.randrange(6)}", "info", "m", json.dumps({"n": r.randrange(50)} if r.random() < 0.9 else {})) for k in range(300) for m in [r.choice([r.randrange(-200, 200), r.randrange(-20_000, 20_000) / 100])]]
+    df, start, n = make_logs(rows), BASE + timedelta(minutes=7), 40
+    rule = R.Rule("r", "r", "gte", 20, by=("service",), measure=measure, window_s=window, interval_s=interval)
+    got = {x.at: {g.label: g.value for g in x.groups} for x in R.backtest_rule(df, R.Rule(**{**rule.__dict__, "value": -1.0}), start, start + timedelta(seconds=interval * (n - 1))).collect()}
+    value = {"sum": sum, "max": max, "min": min, "avg": lambda v: sum(v) / len(v), "dc": lambda v: len(set(v))}
+    assert len(got) == n
+    for k in range(n):
+        at = start + timedelta(seconds=interval * k)
+        held = {}
+        for _, m, service, source, _, _, a in rows:
+            if at - timedelta(seconds=window) <= BASE + timedelta(minutes=m) <= at:
+                x = source if measure[-1] == "source" else json.loads(a).get("n")
+                held.setdefault(f"service={service}", []).append(x)
+        want = {}
+        for g, v in held.items():
+            some = [x for x in v if x is not None]
+            if measure[0] == "count":
+                want[g] = len(v)
+            elif some or measure[0] == "dc" and False:
+                want[g] = value[measure[0]](some)
+        assert {g: v for g, v in got[at.replace(tzinfo=None)].items()} == pytest.approx(want)
+
+
+def test_long_rule(spark, make_logs):
+    """A window of 30 days every ten seconds neither copies events nor windows without bound."""
+    df = make_logs([(f"{k}", 60 * k, "s", "h", "info", "m", "{}") for k in range(48)])
+    rule = R.Rule("long", "long", "gt", 0, window_s=30 * 86400, interval_s=10)
+    rows = R.backtest_rule(df, rule, BASE, BASE + timedelta(hours=6)).orderBy("at").collect()
+    assert len(rows) == 2161 and [rows[k].value for k in (0, 359, 360, 2160)] == [1.0, 1.0, 2.0, 7.0]
