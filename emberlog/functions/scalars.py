@@ -103,6 +103,15 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """df with `file` and `line_no`, the place of a row, where it has none: the order of rows as they are read.
+
+    Ids follow from them, so that equal rows stay two. Those of readers are the same however files are split.
+    """
+    lacking = {"file": F.lit(""), "line_no": F.monotonically_increasing_id()}
+    return df.withColumns({c: v for c, v in lacking.items() if c not in df.columns}) if not {"file", "line_no"} <= set(df.columns) else df
+
+
 def attr(key: str) -> Column:
     return F.col("attributes")[key]
 

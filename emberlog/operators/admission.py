@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from emberlog.operators.paging import ties
+
 
 class Bucket:
     """A token bucket: `rate` tokens a second up to `burst`; a refused request takes none."""
@@ -49,7 +51,7 @@ def _fold(df: DataFrame, decide, extra: list[T.StructField]) -> DataFrame:
                 out.append(of(t, e, b))
             yield pdf.assign(**{c: [x[i] for x in out] for i, c in enumerate(names)})
 
-    return df.repartition("key").sortWithinPartitions("key", "ts").mapInPandas(run, schema)
+    return df.repartition("key").sortWithinPartitions("key", "ts", *ties(df, "key", "ts")).mapInPandas(run, schema)
 
 
 def token_bucket(df: DataFrame, rate: float, burst: float | None = None) -> DataFrame:
@@ -91,18 +93,19 @@ def quota_flags(df: DataFrame, *, rate: float | None = None, burst: float | None
 
 
 def retried(df: DataFrame, minutes: int = 10) -> DataFrame:
-    """df (batch_id, ts) with `duplicate`: a batch id seen within so many minutes of its first sighting; null ids never are."""
+    """df (batch_id, ts) with `duplicate`: a batch id seen less than so many minutes after its first sighting; null and empty ids never are."""
 
     def decide():
         first = None
 
         def one(t, e, b):
             nonlocal first
-            again = first is not None and t <= first + 60 * minutes
+            again = first is not None and t < first + 60 * minutes
             first = first if again else t
             return (again,)
 
         return one
 
-    found = _fold(df.withColumn("key", F.col("batch_id")), decide, [T.StructField("duplicate", T.BooleanType())])
-    return found.withColumn("duplicate", F.col("duplicate") & F.col("batch_id").isNotNull()).drop("key")
+    named = F.coalesce(F.col("batch_id") != "", F.lit(False))
+    found = _fold(df.where(named).withColumn("key", F.col("batch_id")), decide, [T.StructField("duplicate", T.BooleanType())]).drop("key")
+    return found.unionByName(df.where(~named).withColumn("duplicate", F.lit(False)))

@@ -1,6 +1,6 @@
 """Statistics, time charts, top values, histograms, facets and the figures of an overview.
 
-A measure is ("count",), ("count", field), or one of sum, avg, min, max, dc with a field; its column is named
+A measure is ("count",), ("count", field), or one of sum, avg, min, max, dc, adc (dc by sketches) with a field; its column is named
 `count` or func(field). Sums and the like read fields as numbers, as a text's leading number is one.
 """
 
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from emberlog.functions.predicates import name_of, real_of, text_of
 from emberlog.functions.scalars import duration
 
+#: Relative error of the approximate distinct count (adc).
+ERROR = 0.02
 NUMERIC = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
 #: The bucket of each range of the histogram.
 WIDTHS = {"15m": "30s", "1h": "1m", "6h": "5m", "24h": "30m", "168h": "6h"}
@@ -28,6 +30,8 @@ def measure(func: str, field: str | None = None) -> Column:
         raise ValueError(f"{func} needs a field")
     if func == "dc":
         return F.count_distinct(text_of(field)).alias(name)
+    if func == "adc":
+        return F.approx_count_distinct(text_of(field), ERROR).alias(name)
     if func not in NUMERIC:
         raise ValueError(f"unknown function {func!r}")
     return NUMERIC[func](real_of(field)).alias(name)
@@ -98,6 +102,11 @@ def histogram(df: DataFrame, interval: str = "1m") -> DataFrame:
     return timechart(df, [("count",)], interval)
 
 
+def histogram_and_total(df: DataFrame, interval: str = "1m") -> DataFrame:
+    """A histogram with the exact number of all rows beside each bucket."""
+    return histogram(df, interval).withColumn("total", F.sum("count").over(Window.partitionBy()))  # of a histogram: few rows
+
+
 def facets(df: DataFrame, fields: Sequence[str] = ("level", "service"), n: int = 20) -> DataFrame:
     """(field, value, count): the n most frequent values of each field, in one pass."""
     names = [name_of(f) for f in fields]
@@ -114,14 +123,16 @@ def facets(df: DataFrame, fields: Sequence[str] = ("level", "service"), n: int =
 
 
 def fill_gaps(hist: DataFrame, step: timedelta | None = None, cap: int = 1000) -> DataFrame:
-    """(bucket, count) without gaps, by the smallest distance of two buckets; at most `cap` points."""
+    """(bucket, count, truncated) without gaps, by the smallest distance of two buckets; at most `cap` points, and
+    truncated where there would be more."""
     micros = F.unix_micros("bucket")
     gap = micros - F.lag(micros).over(Window.orderBy("bucket"))  # of a histogram: few rows
     width = F.coalesce(F.min("d"), F.lit(1)) if step is None else F.lit(int(step.total_seconds() * 1_000_000))
     ends = hist.select(micros.alias("m"), (gap if step is None else F.lit(1)).alias("d")).agg(F.min("m").alias("a"), F.max("m").alias("b"), width.cast("long").alias("w")).where("a is not null")
-    spine = ends.select(F.explode(F.sequence("a", F.least("b", F.col("a") + F.col("w") * (cap - 1)), "w")).alias("m"))
-    spine = spine.select(F.timestamp_micros("m").alias("bucket"))
-    return spine.join(hist, "bucket", "left").select("bucket", F.coalesce("count", F.lit(0)).alias("count")).orderBy("bucket")
+    last = F.col("a") + F.col("w") * (cap - 1)
+    spine = ends.select(F.explode(F.sequence("a", F.least("b", last), "w")).alias("m"), (F.col("b") > last).alias("truncated"))
+    spine = spine.select(F.timestamp_micros("m").alias("bucket"), "truncated")
+    return spine.join(hist, "bucket", "left").select("bucket", F.coalesce("count", F.lit(0)).alias("count"), "truncated").orderBy("bucket")
 
 
 def bucket_for(span: str) -> str:

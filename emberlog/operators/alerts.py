@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.predicates import name_of, real_of, search, text_of
-from emberlog.operators.paging import first_of
+from emberlog.operators.paging import first_of, ties
 
 OPS = {"gt": operator.gt, "gte": operator.ge, "lt": operator.lt, "lte": operator.le, "eq": operator.eq, "ne": operator.ne}
 SIGNS = {"gt": ">", "gte": ">=", "lt": "<", "lte": "<=", "eq": "==", "ne": "!="}
@@ -156,6 +156,18 @@ def backtest_rule(df: DataFrame, rule: Rule, start: datetime, end: datetime) ->
     )
 
 
+def valid(rules: Sequence[Rule]) -> list[Rule]:
+    """The rules that hold what `Rule.validate` asks."""
+    out = []
+    for r in rules:
+        try:
+            r.validate()
+        except ValueError:
+            continue
+        out.append(r)
+    return out
+
+
 def evaluate(df: DataFrame, rule: Rule, at: datetime) -> DataFrame:
     """The evaluation of one rule at one time."""
     return backtest_rule(df, rule, at, at)
@@ -174,7 +186,7 @@ def transitions(evaluations: DataFrame) -> DataFrame:
     failed = F.col("error").isNotNull() if "error" in evaluations.columns else F.lit(False)
     state = F.when(failed, "unknown").when(F.col("firing"), "firing").otherwise("ok")
     rows = evaluations.withColumn("state", state)
-    rows = rows.withColumn("previous", F.lag("state").over(Window.partitionBy("rule_id").orderBy("at")))
+    rows = rows.withColumn("previous", F.lag("state").over(Window.partitionBy("rule_id").orderBy("at", *ties(evaluations, "rule_id", "at"))))
     turned = (F.col("state") == "firing") & ~F.col("previous").eqNullSafe("firing")
     cleared = (F.col("state") == "ok") & F.col("previous").eqNullSafe("firing")
     return rows.withColumn("notify", turned | cleared)
@@ -185,11 +197,14 @@ def rules_frame(spark, rules: Sequence[Rule]) -> DataFrame:
     return spark.createDataFrame(rows, "rule_id string, rule string, sign string, bound double, window_s int, severity string, query string, channels array<string>")
 
 
-def notifications(turned: DataFrame, rules: Sequence[Rule], channels: DataFrame, source: str = "emberlog") -> DataFrame:
-    """A row for each transition and channel (id, type, url): text, payload and missing, true where a rule names no known channel."""
+def notifications(turned: DataFrame, rules: Sequence[Rule], channels: DataFrame, source: str = "emberlog", test: bool = False) -> DataFrame:
+    """A row for each transition and channel (id, type, url): text, payload and missing, true where a rule names no known channel.
+
+    test: probes of all rows instead, which are neither firing nor resolved, and differ from each other.
+    """
     number = lambda c: F.regexp_replace(c.cast("string"), r"\.0$", "")
-    told = turned.where("notify").join(rules_frame(turned.sparkSession, rules), "rule_id")
-    head = F.when(F.col("state") == "firing", "🔴 FIRING: ").otherwise("✅ RESOLVED: ")
+    told = (turned if test else turned.where("notify")).join(rules_frame(turned.sparkSession, rules), "rule_id")
+    head = F.lit("🔔 TEST: ") if test else F.when(F.col("state") == "firing", "🔴 FIRING: ").otherwise("✅ RESOLVED: ")
     limit = F.concat_ws(" ", "sign", number(F.col("bound")))
     over = F.concat(F.col("window_s").cast("string"), F.lit("s"))
     lines = F.transform("groups", lambda g: F.concat(F.lit("  • "), g["label"], F.lit(": "), number(g["value"])))
@@ -198,8 +213,9 @@ def notifications(turned: DataFrame, rules: Sequence[Rule], channels: DataFrame,
     told = told.withColumns({"text": text, "limit": limit, "over": over, "channel": F.explode_outer("channels")})
     known = channels.select(F.col("id").alias("channel"), F.col("type").alias("channel_type"), "url")
     rows = told.join(known, "channel", "left")
-    status = F.when(F.col("state") == "firing", "firing").otherwise("resolved")
+    status = F.lit(None).cast("string") if test else F.when(F.col("state") == "firing", "firing").otherwise("resolved")
+    event_id = F.concat(F.lit("test-"), "rule_id", F.lit("-"), F.unix_micros("at").cast("string")) if test else F.col("rule_id")
     webhook = F.to_json(F.struct("rule", "rule_id", "state", "severity", "value", F.col("limit").alias("condition"), "query", F.col("over").alias("window"), "at", "groups"))
-    event = F.to_json(F.struct(F.col("rule_id").alias("event_id"), F.lit("alert").alias("type"), F.lit(source).alias("source"), status.alias("status"), "severity", F.col("rule").alias("title"), F.concat_ws(" ", number(F.col("value")), "limit", F.lit("over"), "over").alias("summary"), F.col("text").alias("description"), F.struct("rule_id", "rule").alias("labels"), F.col("at").alias("timestamp")))
+    event = F.to_json(F.struct(event_id.alias("event_id"), F.lit("alert").alias("type"), F.lit(source).alias("source"), status.alias("status"), "severity", F.col("rule").alias("title"), F.concat_ws(" ", number(F.col("value")), "limit", F.lit("over"), "over").alias("summary"), F.col("text").alias("description"), F.struct("rule_id", "rule").alias("labels"), F.col("at").alias("timestamp")))
     payload = F.when(F.col("channel_type") == "slack", F.to_json(F.struct("text"))).when(F.col("channel_type") == "router", event).otherwise(webhook)
-    return rows.select("rule_id", "at", "state", "channel", "channel_type", "url", "text", payload.alias("payload"), F.sha2(F.concat_ws("\x1f", "rule_id", "rule"), 256).alias("dedup_key"), F.col("channel_type").isNull().alias("missing"))
+    return rows.select("rule_id", "at", "state", "channel", "channel_type", "url", "text", payload.alias("payload"), F.sha2(F.concat_ws("\x1f", event_id, "rule"), 256).alias("dedup_key"), F.col("channel_type").isNull().alias("missing"))

@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.functions.scalars import cursor_of
+
 
 def order_of(order: str) -> list[Column]:
     if order not in ("newest", "oldest"):
@@ -18,6 +20,12 @@ def ordered(df: DataFrame, order: str = "newest") -> DataFrame:
     return df.orderBy(*order_of(order))
 
 
+def ties(df: DataFrame, *but: str) -> list[Column]:
+    """An order of rows that are equal in all else: by their plain columns, so that reruns agree."""
+    plain = {"string", "bigint", "int", "double", "boolean", "timestamp", "timestamp_ntz", "date"}
+    return [F.col(f"`{f.name}`") for f in sorted(df.schema, key=lambda f: f.name) if f.dataType.simpleString() in plain and f.name not in but]
+
+
 def page(df: DataFrame, limit: int = 100, order: str = "newest", after: tuple[datetime, str] | None = None) -> DataFrame:
     """A page of rows, strictly after a cursor's (ts, id) in that order; limit is 1 to 5000."""
     if not 1 <= limit <= 5000:
@@ -29,15 +37,22 @@ def page(df: DataFrame, limit: int = 100, order: str = "newest", after: tuple[da
     return df.orderBy(*order_of(order)).limit(limit)
 
 
+def next_cursor(rows: DataFrame, limit: int, order: str = "newest") -> DataFrame:
+    """One row (cursor) of a page's rows: that of its last one if the page is full, else null."""
+    last = F.max(F.struct("ts", "id")) if order == "oldest" else F.min(F.struct("ts", "id"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), last.alias("last")).select(F.when(F.col("n") == limit, cursor_of(F.col("last.ts"), F.col("last.id"))).alias("cursor"))
+
+
 def latest_by_id(df: DataFrame, batch: str | None = None) -> DataFrame:
-    """The row of each id that was received last."""
-    order = [F.col("received_at").desc(), *([F.col(batch).desc()] if batch else [])]
+    """The row of each id that was received last; of equals that of the later batch, by number where batches are numbers."""
+    number = [F.col(batch).cast("string").try_cast("bigint").desc_nulls_last(), F.col(batch).desc()] if batch else []
+    order = [F.col("received_at").desc(), *number, *ties(df, "id", "received_at", *([batch] if batch else []))]
     return df.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where("_k = 1").drop("_k")
 
 
 def daily_usage(df: DataFrame, key: str = "key", events: str = "events", size: str = "bytes") -> DataFrame:
     """df with the running events and bytes of each key and UTC day."""
-    w = Window.partitionBy(key, F.to_date("ts")).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(key, F.to_date("ts")).orderBy("ts", *ties(df, key, "ts")).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumns({"events_so_far": F.sum(events).over(w), "bytes_so_far": F.sum(size).over(w)})
 
 
@@ -51,7 +66,15 @@ def after_id(df: DataFrame, last: str) -> DataFrame:
     return df.where(F.col("id") > last)
 
 
-def first_of(items: Column, n: int = 5) -> Column:
-    """The first n texts of a list by line, and how many more there are."""
-    more = F.when(F.size(items) > n, F.concat(F.lit("\n…and "), (F.size(items) - n).cast("string"), F.lit(" more"))).otherwise("")
+def first_rows(df: DataFrame, by: str, col: str, n: int = 5) -> DataFrame:
+    """(by, items, total) of each group: its first n values of a column, in order, and how many there are."""
+    k = F.row_number().over(Window.partitionBy(by).orderBy(col))
+    few = df.select(by, col, k.alias("_k")).where(F.col("_k") <= n).groupBy(by).agg(F.array_sort(F.collect_list(col)).alias("items"))
+    return few.join(df.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("total")), F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+
+
+def first_of(items: Column, n: int = 5, total: Column | None = None) -> Column:
+    """The first n texts of a list by line, and how many more there are of all (`total`, where the list is only the first)."""
+    total = F.size(items) if total is None else total
+    more = F.when(total > n, F.concat(F.lit("\n…and "), (total - n).cast("string"), F.lit(" more"))).otherwise("")
     return F.concat(F.array_join(F.slice(items, 1, n), "\n"), more)

@@ -70,6 +70,18 @@ def validate(pipelines: Sequence[Pipeline]) -> None:
                 raise ValueError(f"{p.name}: set needs a name")
 
 
+def valid(pipelines: Sequence[Pipeline]) -> list[Pipeline]:
+    """The pipelines that `validate` has nothing against."""
+    out = []
+    for p in pipelines:
+        try:
+            validate([p])
+        except ValueError:
+            continue
+        out.append(p)
+    return out
+
+
 def read_field(name: str) -> Column:
     """A field's text; an empty column counts as missing, an empty attribute doesn't."""
     return F.nullif(text_of(name), F.lit("")) if key_of(name) is None else text_of(name)

@@ -2,24 +2,75 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions.scalars import csv_safe
+from emberlog.functions.text import text_norm
 from emberlog.operators.paging import latest_by_id, order_of, ordered
 
 
-def write_logs(df: DataFrame, path: str, batch_id: str) -> None:
-    """One batch, by day; the same batch written again replaces itself."""
+def write_logs(df: DataFrame, path: str, batch_id: str, *, text: bool = False) -> None:
+    """One batch, by day; the same batch written again replaces itself. text: with text_norm, which searches then use."""
+    df = df.withColumn("text_norm", text_norm()) if text else df
     df.withColumn("dt", F.to_date("ts")).sortWithinPartitions("service", "ts").write.mode("overwrite").partitionBy("dt").parquet(f"{path}/ingest_batch={batch_id}")
 
 
+def _batches(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.option("basePath", path).parquet(f"{path}/ingest_batch=*")
+    return rows.withColumn("ingest_batch", F.col("ingest_batch").cast("string"))
+
+
+def _base(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
+    """The compacted rows, each id once, and the number of their generation, 0 without any."""
+    fs, hadoop = _filesystem(spark, path)
+    done = [int(m[1]) for f in (fs.listStatus(hadoop.Path(path)) if fs.exists(hadoop.Path(path)) else []) if (m := re.fullmatch(r"base-(\d+)", f.getPath().getName())) and fs.exists(hadoop.Path(f"{f.getPath()}/_SUCCESS"))]
+    return (spark.read.parquet(f"{path}/base-{max(done)}"), max(done)) if done else (None, 0)
+
+
+def _filesystem(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    return hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def _has_batches(spark: SparkSession, path: str) -> bool:
+    fs, hadoop = _filesystem(spark, path)
+    return bool(len(fs.globStatus(hadoop.Path(f"{path}/ingest_batch=*"))))
+
+
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """The current row of each id over all batches."""
-    rows = spark.read.option("basePath", path).parquet(f"{path}/*")
-    return latest_by_id(rows.withColumn("ingest_batch", F.col("ingest_batch").cast("string")), "ingest_batch")
+    """The current row of each id over all batches: the one received last, of equals that of the later batch.
+
+    Compacted rows have their ids once and only give way to those of newer batches, so that a filter reaches their files.
+    """
+    base, _ = _base(spark, path)
+    if base is not None and not _has_batches(spark, path):
+        return base
+    new = latest_by_id(_batches(spark, path), "ingest_batch")
+    if base is None:
+        return new
+    both = base.join(_batches(spark, path).select(F.col("id").alias("_id")).distinct(), F.col("id") == F.col("_id"), "left_anti")
+    met = base.join(new.select(F.col("id").alias("_id"), F.col("received_at").alias("_at")), F.col("id") == F.col("_id"))
+    older = met.where(F.col("received_at") > F.col("_at")).drop("_id", "_at")
+    new = new.join(older.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_anti")
+    return both.unionByName(older).unionByName(new, allowMissingColumns=True)
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Puts what is stored into one generation of files, each id once. Batches that it holds are deleted once it is written."""
+    if not _has_batches(spark, path):
+        return
+    fs, hadoop = _filesystem(spark, path)
+    held = [f.getPath().toString() for f in fs.globStatus(hadoop.Path(f"{path}/ingest_batch=*"))]  # a name per batch
+    _, generation = _base(spark, path)
+    target = f"{path}/base-{generation + 1}"
+    fs.delete(hadoop.Path(target), True)  # of a run that was lost
+    read_logs(spark, path).withColumn("dt", F.to_date("ts")).repartition("dt", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("dt", "service", "ts").write.partitionBy("dt").parquet(target)
+    for old in [*held, *([f"{path}/base-{generation}"] if generation else [])]:
+        fs.delete(hadoop.Path(old), True)
 
 
 def retain(df: DataFrame, days: int, now: datetime) -> tuple[DataFrame, DataFrame]:
@@ -31,24 +82,39 @@ def retain(df: DataFrame, days: int, now: datetime) -> tuple[DataFrame, DataFram
 
 
 def purge(spark: SparkSession, path: str, days: int, now: datetime) -> int:
-    """Drops old rows from each stored batch: whole days go, the cutoff's day is rewritten; returns the number removed."""
+    """Drops old rows from each stored batch: whole days go, the cutoff's day is rewritten; returns the number removed.
+
+    A rewritten day is written beside the old one, which steps aside before it and is deleted after, so that a run
+    lost in between loses no row: the next one puts back what stepped aside.
+    """
     if days <= 0:
         return 0
-    rows = spark.read.option("basePath", path).parquet(f"{path}/*")
-    cutoff = now - timedelta(days=days)
-    removed = rows.where(F.col("ts") < F.lit(cutoff)).count()
-    if removed:
-        hadoop = spark._jvm.org.apache.hadoop.fs
-        fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        days_held = [(r.ingest_batch, r.dt) for r in rows.where(F.col("dt") <= F.lit(cutoff.date())).select(F.col("ingest_batch").cast("string").alias("ingest_batch"), "dt").distinct().collect()]  # a row per batch and day
-        for batch, dt in days_held:
-            folder = f"{path}/ingest_batch={batch}/dt={dt}"
-            if dt == cutoff.date():
-                spark.read.parquet(folder).where(F.col("ts") >= F.lit(cutoff)).write.mode("overwrite").parquet(f"{folder}.kept")
-                fs.delete(hadoop.Path(folder), True)
-                fs.rename(hadoop.Path(f"{folder}.kept"), hadoop.Path(folder))
+    fs, hadoop = _filesystem(spark, path)
+    folders = [f.getPath().toString() for p in ("ingest_batch=*", "base-*") for f in fs.globStatus(hadoop.Path(f"{path}/{p}"))]
+    removed, cutoff = 0, now - timedelta(days=days)
+    for folder in folders:  # a batch each
+        for f in fs.globStatus(hadoop.Path(f"{folder}/.old-*")):
+            day = hadoop.Path(f"{folder}/dt={f.getPath().getName().removeprefix('.old-')}")
+            if fs.exists(day):
+                fs.delete(f.getPath(), True)
             else:
-                fs.delete(hadoop.Path(folder), True)
+                fs.rename(f.getPath(), day)
+        days_held = [f.getPath() for f in fs.globStatus(hadoop.Path(f"{folder}/dt=*"))]
+        for day in days_held:
+            name = day.getName().removeprefix("dt=")
+            if name > str(cutoff.date()):
+                continue
+            rows = spark.read.parquet(day.toString())
+            gone = rows.where(F.col("ts") < F.lit(cutoff)).count()
+            removed += gone
+            if name < str(cutoff.date()):
+                fs.delete(day, True)
+            elif gone:
+                kept, old = hadoop.Path(f"{folder}/.kept-{name}"), hadoop.Path(f"{folder}/.old-{name}")
+                rows.where(F.col("ts") >= F.lit(cutoff)).write.mode("overwrite").parquet(kept.toString())
+                fs.rename(day, old)
+                fs.rename(kept, day)
+                fs.delete(old, True)
     return removed
 
 
@@ -60,11 +126,14 @@ def export_ndjson(df: DataFrame, path: str, order: str = "newest") -> None:
     as_json(ordered(df, order)).write.mode("overwrite").text(path)
 
 
-def export_json(df: DataFrame, order: str = "newest") -> DataFrame:
-    """One row with a JSON array of a small result in order; large ones want export_json_array or export_ndjson."""
+def export_json(df: DataFrame, order: str = "newest", most: int = 10_000) -> DataFrame:
+    """One row with a JSON array of `most` rows at most, in order; more are refused, and want export_json_array or export_ndjson."""
+    df = df.limit(most + 1)
     rows = F.array_sort(F.collect_list(F.struct("ts", "id", F.to_json(F.struct("*")).alias("j"))))
     rows = F.reverse(rows) if order == "newest" else rows
-    return df.agg(F.concat(F.lit("["), F.array_join(F.transform(rows, lambda r: r["j"]), ","), F.lit("]")).alias("value"))
+    made = df.agg(rows.alias("rows"))
+    refused = F.raise_error(F.lit(f"more than {most} rows: export them in parts"))
+    return made.select(F.when(F.size("rows") > most, refused).otherwise(F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["j"]), ","), F.lit("]"))).alias("value"))
 
 
 def export_json_array(df: DataFrame, path: str, order: str = "newest") -> None:
@@ -103,4 +172,5 @@ def export_csv(df: DataFrame, path: str, order: str = "newest") -> None:
 
 
 def write_rejects(rejects: DataFrame, path: str, batch_id: str, now: datetime) -> None:
-    rejects.withColumns({"batch_id": F.lit(batch_id), "rejected_at": F.lit(now)}).write.mode("append").json(path)
+    """A batch's rejects, in a folder of their own; the same batch written again replaces itself."""
+    rejects.withColumns({"batch_id": F.lit(batch_id), "rejected_at": F.lit(now)}).write.mode("overwrite").json(f"{path}/reject_batch={batch_id}")

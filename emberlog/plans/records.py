@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from datetime import timedelta
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +16,13 @@ from emberlog.operators import normalize as N
 from emberlog.operators import paging as L
 from emberlog.operators import pipelines as E
 from emberlog.operators import sinks as K
-from emberlog.plans.registry import COUNT_RULE, GROUP_RULE, at, evals_sql, plain, register, shared, tbl
+from emberlog.plans.registry import COUNT_RULE, DEAD_RULE, TICKS_SQL, at, evals_sql, plain, register, shared, tbl, whole
 from emberlog.schema import events
 from emberlog.sources import otlp, readers, syslog
 from emberlog.streaming import streams as W
 
 NOW = at(60)
+PER_FILE = 2000  # records of a file that is read whole
 
 
 def text_files(s: SparkSession, lines: DataFrame, **options) -> str:
@@ -60,16 +61,17 @@ def _(s, d):
 
 @register("s2_json_array", READ_SQL)
 def _(s, d):
-    groups = as_records(s, d).groupBy((F.col("id").cast("long") % 16).alias("g")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))
+    groups = as_records(s, d).groupBy(F.floor(F.col("id").cast("long") / PER_FILE).alias("g")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))
     path = f"{shared(s)}/arrays-{uuid.uuid4().hex}"
-    groups.repartition(16, "g").write.partitionBy("g").text(path)
+    groups.repartition("g").write.partitionBy("g").text(path)
     return shown(readers.read_json_array(s, path, now=NOW)[0])
 
 
 @register("s3_json_multiline", READ_SQL)
 def _(s, d):
     spread = as_records(s, d).select(F.replace(F.col("value"), F.lit(',"'), F.lit(',\n  "')).alias("value"))
-    return shown(readers.read_json_multiline(s, text_files(s, spread), now=NOW)[0])
+    files = spread.count() // PER_FILE + 1
+    return shown(readers.read_json_multiline(s, text_files(s, spread.repartition(files)), now=NOW)[0])
 
 
 @register("s4_raw_text", "SELECT message, message AS raw, 'svc' AS service, 'src' AS source, 'info' AS level FROM logs")
@@ -101,11 +103,11 @@ def _(s, d):
 # Sinks
 
 
-@register("k3_export_json", "SELECT id, message FROM logs WHERE level = 'error' ORDER BY ts DESC, id DESC LIMIT 500")
+@register("k3_export_json", "SELECT id, message FROM logs WHERE level = 'error'")
 def _(s, d):
     found, path = P.search(events(s, d), [("level", "=", "error")]), f"{shared(s)}/export-{uuid.uuid4().hex}"
-    K.export_json_array(found, path)  # all errors; the SQL looks at the newest of them
-    return K.read_json_array_lines(s, path, "id string, message string").join(L.page(found, 500).select("id"), "id", "left_semi")
+    K.export_json_array(found, path)
+    return K.read_json_array_lines(s, path, "id string, message string")
 
 
 @register("k7_rejects", "SELECT event_id, 'invalid timestamp' AS reason FROM events WHERE event_id % 5 = 0", logs=False)
@@ -114,7 +116,7 @@ def _(s, d):
     lines = tbl(s, d, "events").select("event_id", F.to_json(F.struct(stamp.alias("ts"))).alias("value"))
     path = f"{shared(s)}/rejects-{uuid.uuid4().hex}"
     K.write_rejects(readers.parse_lines(lines, now=NOW)[1], path, "b1", NOW)
-    return s.read.schema("event_id long, reason string").json(path)
+    return s.read.schema("event_id long, reason string").json(path).select("event_id", "reason")
 
 
 # Normalisation
@@ -222,7 +224,7 @@ def _(s, d):
 
 @register("l4_first_of", "SELECT source, array_to_string(list_slice(l, 1, 5), chr(10)) || CASE WHEN len(l) > 5 THEN chr(10) || '…and ' || (len(l) - 5) || ' more' ELSE '' END AS text FROM (SELECT source, list(id ORDER BY id) AS l FROM logs GROUP BY source)")
 def _(s, d):
-    return events(s, d).groupBy("source").agg(F.array_sort(F.collect_list("id")).alias("l")).select("source", L.first_of(F.col("l")).alias("text"))
+    return L.first_rows(events(s, d), "source", "id").select("source", L.first_of(F.col("items"), total=F.col("total")).alias("text"))
 
 
 # Parsing stages
@@ -351,10 +353,11 @@ def _(s, d):
     return out
 
 
-@register("r5_dead_man", "SELECT 0::DOUBLE AS value, true AS firing FROM (SELECT count(*) FROM logs WHERE service = 'none')")
+@register("r5_dead_man", f"""SELECT "at", coalesce(min(v), 0) AS value, coalesce(min(v), 0) < 20 AS firing
+FROM ({TICKS_SQL.format(i=900)}) LEFT JOIN (SELECT "at" AS a2, source, avg(k) AS v FROM ({TICKS_SQL.format(i=900)}) JOIN logs ON service = 'purchase' AND ts BETWEEN "at" - INTERVAL 900 SECOND AND "at" GROUP BY ALL) ON a2 = "at" GROUP BY "at" """)
 def _(s, d):
-    rule = R.Rule("dead", "Dead", "lt", 1, (("service", "=", "none"),), measure=("avg", "attr.k"), by=("service",))
-    return R.evaluate(events(s, d), rule, at(10)).select("value", "firing")
+    rule = R.Rule("dead", "Dead", "lt", 20, (("service", "=", "purchase"),), measure=("avg", "attr.k"), by=("source",), window_s=900, interval_s=900)
+    return plain(R.backtest_rule(events(s, d), rule, *whole(s, d)).select("at", "value", "firing"))
 
 
 @register("r10_group_label", "SELECT id, 'level=' || level || ' service=' || service AS label FROM logs")
@@ -366,7 +369,7 @@ def _(s, d):
 WHERE CASE WHEN firing THEN coalesce(NOT before, true) ELSE coalesce(before, false) END""")
 def _(s, d):
     channels = s.createDataFrame([("mail", "webhook", "u")], "id string, type string, url string")
-    turned = R.transitions(R.backtest(events(s, d), [COUNT_RULE], at(1), at(8)))
+    turned = R.transitions(R.backtest(events(s, d), [COUNT_RULE], *whole(s, d)))
     return plain(R.notifications(turned, [COUNT_RULE], channels).select("at", "channel", "missing"))
 
 
@@ -397,20 +400,20 @@ def _(s, d):
 FROM (SELECT "at", firing, lag(firing) OVER (ORDER BY "at") AS before FROM ({evals_sql(COUNT_RULE, "level = 'error'")}))""")
 def _(s, d):
     work = f"{shared(s)}/states-{uuid.uuid4().hex}"
-    evaluations = R.backtest(events(s, d), [COUNT_RULE], at(1), at(8)).select("rule_id", "at", "firing", F.lit(None).cast("string").alias("error"))
+    evaluations = R.backtest(events(s, d), [COUNT_RULE], *whole(s, d)).select("rule_id", "at", "firing", F.lit(None).cast("string").alias("error"))
     evaluations.coalesce(1).write.parquet(f"{work}/in")
     states = W.alert_state_stream(s.readStream.schema(evaluations.schema).parquet(f"{work}/in"))
     states.writeStream.option("checkpointLocation", f"{work}/ck").trigger(availableNow=True).format("parquet").start(f"{work}/out").awaitTermination()
     return plain(s.read.schema(states.schema).parquet(f"{work}/out").select("at", "state", "notify"))
 
 
-@register("r8_validated_rules", "SELECT count(*) AS n FROM (VALUES ('errors'), ('busy')) t(r), (SELECT 1 FROM logs LIMIT 1)")
+@register("r8_validated_rules", evals_sql(COUNT_RULE, "level = 'error'") + "\nUNION ALL " + evals_sql(DEAD_RULE, "service = 'purchase'"))
 def _(s, d):
-    for bad in ({"interval_s": 1}, {"window_s": 31 * 86400}):
-        try:
-            R.Rule(**({"id": "x", "name": "x", "op": "gt", "value": 1} | bad)).validate()
-        except ValueError:
-            continue
-        raise AssertionError("a bad rule passed")
-    found = R.backtest(events(s, d), [COUNT_RULE, GROUP_RULE], at(1), at(1) + timedelta(minutes=1))
-    return found.agg(F.count_distinct("rule_id").alias("n"))
+    bad = [replace(COUNT_RULE, id=f"bad{k}", **x) for k, x in enumerate(({"interval_s": 1}, {"window_s": 31 * 86400}, {"op": "about"}, {"severity": "loud"}, {"window_s": 60}))]
+    return plain(R.backtest(events(s, d), R.valid([COUNT_RULE, *bad, DEAD_RULE]), *whole(s, d)).drop("groups"))
+
+
+@register("e10_validated_pipelines", "SELECT id, 'good' AS mark FROM logs")
+def _(s, d):
+    made = [E.Pipeline("good", (E.Stage("set", to="mark", value="good"),)), E.Pipeline("none", ()), E.Pipeline("loop", (E.Stage("grok", pattern="%{NOPE:x}"),)), E.Pipeline("odd", (E.Stage("sing"),)), E.Pipeline("bad", (E.Stage("regex", pattern="(?P<x>["),))]
+    return E.apply_pipelines(events(s, d), E.valid(made)).select("id", S.attr_text(S.attr("mark")).alias("mark"))

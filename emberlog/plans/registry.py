@@ -20,7 +20,7 @@ from emberlog.operators import alerts as R
 from emberlog.operators import paging as L
 from emberlog.operators import pipelines as E
 from emberlog.operators import sinks as K
-from emberlog.schema import LOGS, events
+from emberlog.schema import LOGS, events, load_logs
 from emberlog.sources import otlp, readers, syslog
 from emberlog.streaming import streams as W
 
@@ -75,7 +75,9 @@ SHOWN_SQL = "id, ts, service, level, source, message"
 
 @register("s8_scan", f"SELECT {SHOWN_SQL} FROM logs WHERE service = 'error'")
 def _(s, d):
-    return plain(events(s, d).where("service = 'error'").select(*SHOWN))
+    path = f"{shared(s)}/scan-{uuid.uuid4().hex}"
+    events(s, d).withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(path)
+    return plain(load_logs(s, path).where("service = 'error'").select(*SHOWN))
 
 
 @register("p0_search", f"SELECT {SHOWN_SQL} FROM logs WHERE level IN ('error', 'warn') AND k > 20 AND ts BETWEEN '2024-01-05' AND '2024-01-20' AND message LIKE '%user%'")
@@ -147,8 +149,7 @@ def _(s, d):
 
 @register("t4_index_search", rf"SELECT doc_id::VARCHAR AS id FROM documents WHERE contains({NORM_SQL} || ' ', ' token ') AND contains({NORM_SQL}, ' er')", logs=False)
 def _(s, d):
-    index = X.build_index(docs(s, d), F.concat(F.col("message"), F.lit(" ")))
-    return X.search_index(index.where((F.col("token") == "token") | F.col("token").startswith("er")).withColumn("token", F.when(F.col("token") == "token", "token").otherwise(F.col("token"))), ["er"]).join(X.search_index(index.where("token = 'token'"), ["token"]), "id", "left_semi")
+    return X.search_index(X.build_index(docs(s, d), F.col("message")), ["token er"])
 
 
 @register("j1_text_hits", f"SELECT doc_id::VARCHAR AS id, lang AS service FROM documents WHERE contains({NORM_SQL}, ' idiot')", logs=False)
@@ -221,6 +222,23 @@ def _(s, d):
     return A.capped(A.stats(events(s, d), [("count",)], ["source"]), 20)
 
 
+@register("g4_approximate", "SELECT service, true AS near FROM logs GROUP BY service")
+def _(s, d):
+    both = A.stats(events(s, d), [("dc", "source"), ("adc", "source")], ["service"])
+    return both.select("service", (F.abs(F.col("`adc(source)`") - F.col("`dc(source)`")) <= 5 * A.ERROR * F.col("`dc(source)`")).alias("near"))
+
+
+@register("g12_order", "SELECT row_number() OVER (ORDER BY count(*) DESC, source) AS place, source, count(*) AS count FROM logs GROUP BY source ORDER BY place LIMIT 50")
+def _(s, d):
+    found = A.stats(events(s, d), [("count",)], ["source"]).limit(50).withColumn("k", F.monotonically_increasing_id())
+    return found.select(F.row_number().over(Window.orderBy("k")).cast("long").alias("place"), "source", "count")
+
+
+@register("g13_total", f"SELECT {bucket_sql(3600)} AS bucket, count(*) AS count, (SELECT count(*) FROM logs) AS total FROM logs GROUP BY ALL")
+def _(s, d):
+    return plain(A.histogram_and_total(events(s, d), "1h"))
+
+
 @register("g13_histogram", f"SELECT {bucket_sql(60)} AS bucket, count(*) AS count FROM logs GROUP BY ALL")
 def _(s, d):
     return plain(A.histogram(events(s, d)))
@@ -232,7 +250,7 @@ def _(s, d):
     return A.facets(events(s, d))
 
 
-@register("g15_gap_filled", f"""SELECT b.b AS bucket, coalesce(c, 0) AS count
+@register("g15_gap_filled", f"""SELECT b.b AS bucket, coalesce(c, 0) AS count, false AS truncated
 FROM (SELECT unnest(generate_series(min({bucket_sql(1800)}), max({bucket_sql(1800)}), INTERVAL 30 MINUTE)) AS b FROM logs WHERE service = 'error' AND ts < '2024-01-10') b
 LEFT JOIN (SELECT {bucket_sql(1800)} AS b, count(*) AS c FROM logs WHERE service = 'error' AND ts < '2024-01-10' GROUP BY ALL) h USING (b)""")
 def _(s, d):
@@ -290,6 +308,18 @@ def _(s, d):
     return plain(L.page(events(s, d), 200, "oldest", after).select("id", "ts"))
 
 
+@register("l2_next_cursor", "SELECT replace(replace(rtrim(base64(encode((epoch_us(ts) * 1000)::VARCHAR || '|' || id)), '='), '+', '-'), '/', '_') AS cursor FROM (SELECT ts, id FROM logs ORDER BY ts, id LIMIT 1 OFFSET 199) UNION ALL SELECT NULL")
+def _(s, d):
+    df = events(s, d)
+    short = L.page(df.where("service = 'error' AND source = 'user-1'"), 5000, "oldest")  # not full: no cursor
+    return L.next_cursor(L.page(df, 200, "oldest"), 200, "oldest").unionByName(L.next_cursor(short, 5000, "oldest"))
+
+
+@register("a8_absolute", "SELECT id FROM logs WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-08'")
+def _(s, d):
+    return P.search(events(s, d), start=S.absolute("2024-01-05T02:00:00+02:00"), end=S.absolute("1704672000")).select("id")
+
+
 @register("l3_ordered", "SELECT id, ts FROM logs ORDER BY ts, id")
 def _(s, d):
     return plain(L.ordered(events(s, d), "oldest").select("id", "ts"))
@@ -339,11 +369,11 @@ def _(s, d):
     return back.select("r.*")
 
 
-@register("k4_export_csv", "SELECT level, service, source, message FROM logs")
+@register("k4_export_csv", r"SELECT regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z', '\.?0+Z$', 'Z') AS timestamp, level, service, source, message, replace(props, ' ', '') AS attributes FROM logs")
 def _(s, d):
     path = f"{shared(s)}/csv-{uuid.uuid4().hex}"
     K.export_csv(events(s, d), path)
-    return s.read.csv(path, header=True, quote='"', escape='"').select("level", "service", "source", "message")
+    return s.read.csv(path, header=True, quote='"', escape='"')
 
 
 @register("k5_csv_safe", "SELECT doc_id, CASE WHEN regexp_matches(t, '^[=+\\-@\\t\\r\\n]') THEN '''' || t ELSE t END AS safe FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '=' WHEN 1 THEN '-' WHEN 2 THEN '@' ELSE '' END || source AS t FROM documents)".replace("\\\\", "\\"), logs=False)
@@ -358,6 +388,26 @@ def _(s, d):
     return plain(K.retain(events(s, d), 14, at(29))[0].select("id", "ts"))
 
 
+@register("k6_purge", "SELECT id, ts FROM logs WHERE ts >= TIMESTAMP '2024-01-16 06:00:00'")
+def _(s, d):
+    path = f"{shared(s)}/purge-{uuid.uuid4().hex}"
+    for k in range(2):
+        K.write_logs(events(s, d).where(F.col("id").cast("long") % 2 == k), path, str(k))
+    K.purge(s, path, 14, at(29.25))
+    return plain(K.read_logs(s, path).select("id", "ts"))
+
+
+@register("k1_compact", "SELECT id, CASE event_id % 3 WHEN 0 THEN '10 ' WHEN 1 THEN '11 ' ELSE '9 ' END || message AS message FROM logs")
+def _(s, d):
+    df, path = events(s, d), f"{shared(s)}/compact-{uuid.uuid4().hex}"
+    for batch, part in (("9", df), ("10", df.where(F.col("id").cast("long") % 3 == 0))):  # received at the same time
+        K.write_logs(part.withColumn("message", F.concat(F.lit(f"{batch} "), "message")), path, batch, text=True)
+    K.compact(s, path)
+    later = df.where(F.col("id").cast("long") % 3 == 1).withColumns({"message": F.concat(F.lit("11 "), "message"), "received_at": F.col("received_at") + F.expr("INTERVAL 1 SECOND")})
+    K.write_logs(later, path, "11", text=True)
+    return K.read_logs(s, path).select("id", "message")
+
+
 # Normalisation and scalars
 
 SPELL = "CASE {k} % 8 WHEN 0 THEN ' WARNING' WHEN 1 THEN 'err' WHEN 2 THEN 'Critical' WHEN 3 THEN '7' WHEN 4 THEN 'notice' WHEN 5 THEN 'dbg' WHEN 6 THEN '' ELSE 'what' END"
@@ -494,7 +544,14 @@ def _(s, d):
 COUNT_RULE = R.Rule("errors", "Many errors", "gt", 3, (("level", "=", "error"),), window_s=3600, interval_s=1800, channels=("mail", "gone"), query="level=error")
 GROUP_RULE = R.Rule("busy", "Busy service", "gte", 60, measure=("avg", "attr.k"), by=("service",), window_s=7200, interval_s=3600, channels=("hook",), query="avg(k) by service")
 DEAD_RULE = R.Rule("silent", "No purchases", "lt", 1, (("service", "=", "purchase"),), window_s=900, interval_s=900)
-TICKS_SQL = "SELECT unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-09', INTERVAL {i} SECOND)) AS \"at\""
+TICKS_SQL = "SELECT unnest(generate_series((SELECT date_trunc('day', min(ts)) FROM events), (SELECT date_trunc('day', max(ts)) + INTERVAL 1 DAY FROM events), INTERVAL {i} SECOND)) AS \"at\""
+
+
+def whole(s: SparkSession, d: str) -> tuple[datetime, datetime]:
+    """From the first day of the events to the end of the last."""
+    day = F.date_trunc("day", F.col("ts"))
+    a, b = tbl(s, d, "events").agg(F.unix_seconds(F.min(day).cast("timestamp")), F.unix_seconds(F.max(day).cast("timestamp"))).first()
+    return datetime.fromtimestamp(a, UTC), datetime.fromtimestamp(b + 86400, UTC)
 
 
 def evals_sql(rule: R.Rule, where: str) -> str:
@@ -504,18 +561,18 @@ FROM ({TICKS_SQL.format(i=rule.interval_s)}) LEFT JOIN (SELECT * FROM logs WHERE
 
 @register("r2_count_rule", evals_sql(COUNT_RULE, "level = 'error'"))
 def _(s, d):
-    return plain(R.backtest_rule(events(s, d), COUNT_RULE, at(1), at(8)).drop("groups"))
+    return plain(R.backtest_rule(events(s, d), COUNT_RULE, *whole(s, d)).drop("groups"))
 
 
-@register("r3_group_rule", f"""SELECT "at", coalesce(max(v), 0) AS value, coalesce(max(v), 0) >= 60 AS firing, count(*) FILTER (v >= 60) AS hits
+@register("r3_group_rule", f"""SELECT "at", coalesce(max(v), 0) AS value, coalesce(max(v), 0) >= 60 AS firing, count(*) FILTER (v >= 60) AS hits, coalesce(string_agg(CASE WHEN v >= 60 THEN 'service=' || service END, ',' ORDER BY v DESC, service), '') AS labels
 FROM ({TICKS_SQL.format(i=3600)}) LEFT JOIN (SELECT "at" AS a2, service, avg(k) AS v FROM ({TICKS_SQL.format(i=3600)}) JOIN logs ON ts BETWEEN "at" - INTERVAL 7200 SECOND AND "at" GROUP BY ALL) ON a2 = "at" GROUP BY "at" """)
 def _(s, d):
-    return plain(R.backtest_rule(events(s, d), GROUP_RULE, at(1), at(8)).select("at", "value", "firing", F.size("groups").cast("long").alias("hits")))
+    return plain(R.backtest_rule(events(s, d), GROUP_RULE, *whole(s, d)).select("at", "value", "firing", F.size("groups").cast("long").alias("hits"), F.array_join(F.transform("groups", lambda g: g["label"]), ",").alias("labels")))
 
 
 @register("r6_backtest", evals_sql(COUNT_RULE, "level = 'error'") + "\nUNION ALL " + evals_sql(DEAD_RULE, "service = 'purchase'"))
 def _(s, d):
-    return plain(R.backtest(events(s, d), [COUNT_RULE, DEAD_RULE], at(1), at(8)).drop("groups"))
+    return plain(R.backtest(events(s, d), [COUNT_RULE, DEAD_RULE], *whole(s, d)).drop("groups"))
 
 
 @register("r7_transitions", f"""SELECT rule_id, "at", CASE WHEN firing THEN 'firing' ELSE 'ok' END AS state,
@@ -523,14 +580,43 @@ CASE lag(firing) OVER w WHEN true THEN 'firing' WHEN false THEN 'ok' END AS prev
 CASE WHEN firing THEN coalesce(NOT lag(firing) OVER w, true) ELSE coalesce(lag(firing) OVER w, false) END AS notify
 FROM ({evals_sql(COUNT_RULE, "level = 'error'")}) WINDOW w AS (ORDER BY "at")""")
 def _(s, d):
-    return plain(R.transitions(R.backtest(events(s, d), [COUNT_RULE], at(1), at(8))).select("rule_id", "at", "state", "previous", "notify"))
+    return plain(R.transitions(R.backtest(events(s, d), [COUNT_RULE], *whole(s, d))).select("rule_id", "at", "state", "previous", "notify"))
+
+
+def notified(head: str, told: str, event: str) -> str:
+    """SQL of the notifications of both rules, of the transitions that `told` chooses."""
+    return f""", ticks AS ({TICKS_SQL.format(i=3600)}), g AS (
+  SELECT "at" AS a2, service, avg(k) AS v FROM ticks JOIN logs ON ts BETWEEN "at" - INTERVAL 7200 SECOND AND "at" GROUP BY ALL
+), e AS (
+  SELECT rule_id, "at", value, firing, ''::VARCHAR AS listed FROM ({evals_sql(COUNT_RULE, "level = 'error'")})
+  UNION ALL
+  SELECT 'busy', "at", coalesce(max(v), 0), coalesce(max(v), 0) >= 60, coalesce(string_agg(CASE WHEN v >= 60 THEN chr(10) || '  • service=' || service || ': ' || regexp_replace(v::VARCHAR, '\\.0$', '') END, '' ORDER BY v DESC, service), '')
+  FROM ticks LEFT JOIN g ON a2 = "at" GROUP BY "at"
+), t AS (
+  SELECT *, CASE WHEN firing THEN 'firing' ELSE 'ok' END AS state, CASE WHEN firing THEN coalesce(NOT lag(firing) OVER w, true) ELSE coalesce(lag(firing) OVER w, false) END AS notify
+  FROM e WINDOW w AS (PARTITION BY rule_id ORDER BY "at")
+), r(rule_id, rule, sign, win, query, channel, channel_type, url) AS (
+  VALUES ('errors', 'Many errors', '> 3', '3600s', 'level=error', 'mail', 'webhook', 'http://example.com/a'), ('errors', 'Many errors', '> 3', '3600s', 'level=error', 'gone', NULL, NULL), ('busy', 'Busy service', '>= 60', '7200s', 'avg(k) by service', 'hook', 'slack', 'http://example.com/b')
+)
+SELECT rule_id, "at", state, channel, channel_type, url, channel_type IS NULL AS missing, sha256({event} || chr(31) || rule) AS dedup_key,
+       {head} || rule || ' — ' || regexp_replace(value::VARCHAR, '\\.0$', '') || ' ' || sign || ' over ' || win || listed || chr(10) || 'query: ' || query AS text
+FROM t JOIN r USING (rule_id) WHERE {told}"""
 
 
-@register("r9_notifications")
+def _channels(s: SparkSession) -> DataFrame:
+    return s.createDataFrame([("mail", "webhook", "http://example.com/a"), ("hook", "slack", "http://example.com/b")], "id string, type string, url string")
+
+
+@register("r9_notifications", notified("CASE WHEN firing THEN '🔴 FIRING: ' ELSE '✅ RESOLVED: ' END", "notify", "rule_id"))
+def _(s, d):
+    rules = [COUNT_RULE, GROUP_RULE]
+    return plain(R.notifications(R.transitions(R.backtest(events(s, d), rules, *whole(s, d))), rules, _channels(s)).drop("payload"))
+
+
+@register("r9_probes", notified("'🔔 TEST: '", "true", "'test-' || rule_id || '-' || epoch_us(\"at\")"))
 def _(s, d):
-    channels = s.createDataFrame([("mail", "webhook", "http://example.com/a"), ("hook", "slack", "http://example.com/b")], "id string, type string, url string")
     rules = [COUNT_RULE, GROUP_RULE]
-    return plain(R.notifications(R.transitions(R.backtest(events(s, d), rules, at(1), at(8))), rules, channels))
+    return plain(R.notifications(R.transitions(R.backtest(events(s, d), rules, *whole(s, d))), rules, _channels(s), test=True).drop("payload"))
 
 
 # Streams and requests
@@ -563,7 +649,7 @@ def _(s, d):
     return plain(K.read_logs(s, f"{work}/out").select("id", "ts", "level"))
 
 
-@register("w6_stream_timechart")
+@register("w6_stream_timechart", f"SELECT * FROM (SELECT {bucket_sql(3600)} AS bucket, service, count(*) AS count FROM logs GROUP BY ALL) WHERE bucket + INTERVAL 1 HOUR <= (SELECT max(ts) FROM logs) - INTERVAL 10 MINUTE")
 def _(s, d):
     stream, work = _stream(s, d)
     chart = W.stream_timechart(stream, [("count",)], "1 hour", "service")
@@ -571,7 +657,9 @@ def _(s, d):
     return plain(s.read.schema(chart.schema).parquet(f"{work}/out"))
 
 
-@register("w7_stream_rule")
+@register("w7_stream_rule", f"""SELECT 'errors' AS rule_id, w + INTERVAL 1 HOUR AS "at", count(*)::DOUBLE AS value, count(*) > 3 AS firing
+FROM (SELECT {bucket_sql(1800)} - h * INTERVAL 30 MINUTE AS w FROM logs, (VALUES (0), (1)) t(h) WHERE level = 'error') GROUP BY w
+HAVING w + INTERVAL 1 HOUR <= (SELECT max(ts) FROM logs WHERE level = 'error') - INTERVAL 10 MINUTE""")
 def _(s, d):
     stream, work = _stream(s, d)
     rows = W.stream_rule(stream, COUNT_RULE)
@@ -583,24 +671,53 @@ def requests(s: SparkSession, d: str) -> DataFrame:
     return tbl(s, d, "events").select("event_id", F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.lit(1).cast("long").alias("events"), (F.col("event_id") % 1000).alias("bytes"))
 
 
-@register("w4_batch_retries")
+@register("w4_batch_retries", """WITH RECURSIVE r AS (
+  SELECT event_id, ts, CASE WHEN user_id % 7 = 0 THEN '' ELSE user_id::VARCHAR END AS batch_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events
+), f AS (
+  SELECT event_id, ts, batch_id, k, ts AS first, false AS duplicate FROM r WHERE k = 1 AND batch_id <> ''
+  UNION ALL
+  SELECT r.event_id, r.ts, r.batch_id, r.k, CASE WHEN r.ts < f.first + INTERVAL 10 MINUTE THEN f.first ELSE r.ts END, r.ts < f.first + INTERVAL 10 MINUTE
+  FROM f JOIN r ON r.batch_id = f.batch_id AND r.k = f.k + 1
+)
+SELECT event_id, ts, batch_id, duplicate FROM f UNION ALL SELECT event_id, ts, batch_id, false FROM r WHERE batch_id = ''""", logs=False)
 def _(s, d):
-    return plain(AD.retried(requests(s, d).select("event_id", "ts", F.col("key").alias("batch_id"))))
+    return plain(AD.retried(requests(s, d).select("event_id", "ts", F.when(F.col("key").cast("long") % 7 == 0, "").otherwise(F.col("key")).alias("batch_id"))))
+
+
+REQUESTS_SQL = """RECURSIVE r AS (
+  SELECT event_id, user_id::VARCHAR AS key, ts, 1::BIGINT AS events, event_id % 1000 AS bytes, epoch_us(ts) / 1000000.0::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id % 1000, event_id) AS k FROM events
+)"""
 
 
-@register("w9_token_bucket")
+@register("w9_token_bucket", f"""WITH {REQUESTS_SQL}, b AS (
+  SELECT key, k, t AS last, 1.0::DOUBLE AS rest, true AS allowed FROM r WHERE k = 1
+  UNION ALL
+  SELECT key, k, t, CASE WHEN now >= 1 THEN now - 1 ELSE now END, now >= 1
+  FROM (SELECT r.key, r.k, r.t, least(2.0::DOUBLE, b.rest + (r.t - b.last) * (1.0::DOUBLE / 7200)) AS now FROM b JOIN r ON r.key = b.key AND r.k = b.k + 1)
+)
+SELECT event_id, key, ts, events, bytes, allowed FROM r JOIN b USING (key, k)""", logs=False)
 def _(s, d):
     return plain(AD.token_bucket(requests(s, d), 1 / 7200, 2))
 
 
-@register("w10_quota")
+@register("w10_quota", f"""WITH {REQUESTS_SQL}, b AS (
+  SELECT key, k, ts::DATE AS day, 1::BIGINT AS n, bytes AS held, NULL::VARCHAR AS refused FROM r WHERE k = 1
+  UNION ALL
+  SELECT key, k, day, CASE WHEN no IS NULL THEN n + 1 ELSE n END, CASE WHEN no IS NULL THEN held + bytes ELSE held END, no
+  FROM (SELECT *, CASE WHEN held + bytes > 2000 THEN 'bytes' WHEN n + 1 > 5 THEN 'events' END AS no
+        FROM (SELECT r.key, r.k, r.bytes, r.ts::DATE AS day, CASE WHEN r.ts::DATE = b.day THEN b.n ELSE 0 END AS n, CASE WHEN r.ts::DATE = b.day THEN b.held ELSE 0 END AS held
+              FROM b JOIN r ON r.key = b.key AND r.k = b.k + 1))
+)
+SELECT event_id, key, ts, events, bytes, refused FROM r JOIN b USING (key, k)""", logs=False)
 def _(s, d):
     return plain(AD.quota_flags(requests(s, d), max_bytes=2000, max_events=5))
 
 
-@register("l7_level_changes", "SELECT id, source, level, lag(level) OVER (PARTITION BY source ORDER BY ts, id) AS previous FROM logs")
+@register("l7_level_changes", """SELECT id, source, state, lag(state) OVER w AS previous, CASE WHEN state = 'firing' THEN lag(state) OVER w IS DISTINCT FROM 'firing' ELSE state = 'ok' AND coalesce(lag(state) OVER w = 'firing', false) END AS notify
+FROM (SELECT id, source, ts, CASE WHEN service = 'view' THEN 'unknown' WHEN level = 'error' THEN 'firing' ELSE 'ok' END AS state FROM logs) WINDOW w AS (PARTITION BY source ORDER BY ts, id)""")
 def _(s, d):
-    return events(s, d).select("id", "source", "level", F.lag("level").over(Window.partitionBy("source").orderBy("ts", "id")).alias("previous"))
+    seen = events(s, d).select("id", F.col("source").alias("rule_id"), F.col("ts").alias("at"), (F.col("level") == "error").alias("firing"), F.when(F.col("service") == "view", "no data").alias("error"))
+    return R.transitions(seen.select("rule_id", "at", "id", "firing", "error")).select("id", F.col("rule_id").alias("source"), "state", "previous", "notify")
 
 
 from emberlog.plans import records  # noqa: E402, F401  registers its queries here

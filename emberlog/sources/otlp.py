@@ -55,9 +55,9 @@ def _nanos(v: Column, *names: str) -> Column:
 
 
 def parse_otlp_json(df: DataFrame, col: str = "value", *, now: datetime) -> DataFrame:
-    """Logs of a column with an export request in each row."""
+    """Logs of a column with an export request in each row; ids follow from its place, see `S.placed`."""
     at = F.lit(now).cast("timestamp")
-    body = df.select(F.try_parse_json(col).alias("b"), F.col(col).alias("value"))
+    body = S.placed(df).select(F.try_parse_json(col).alias("b"), F.struct("file", "line_no", F.col(col).alias("text")).alias("value"))
     resources = body.select("value", F.posexplode(_get(F.col("b"), LIST, "resourceLogs", "resource_logs")).alias("i", "r"))
     scopes = resources.select("value", "i", attributes(_get(F.col("r"), LIST, "resource.attributes")).alias("resource"), F.posexplode(_get(F.col("r"), LIST, "scopeLogs", "scope_logs")).alias("j", "s"))
     records = scopes.select("value", "i", "j", "resource", F.try_variant_get("s", "$.scope.name", "string").alias("scope"), F.posexplode(_get(F.col("s"), LIST, "logRecords", "log_records")).alias("k", "l"))
@@ -71,7 +71,7 @@ def parse_otlp_json(df: DataFrame, col: str = "value", *, now: datetime) -> Data
     said = any_value(_get(log, "variant", "body"))
     observed = _nanos(log, "observedTimeUnixNano", "observed_time_unix_nano")
     return rows.select(
-        S.event_id(at, F.col("value"), F.col("i"), F.col("j"), F.col("k")).alias("id"),
+        S.event_id(at, F.col("value.file"), F.col("value.line_no"), F.col("value.text"), F.col("i"), F.col("j"), F.col("k")).alias("id"),
         F.coalesce(_nanos(log, "timeUnixNano", "time_unix_nano"), observed, at).alias("ts"),
         F.coalesce(observed, at).alias("received_at"),
         F.coalesce(_first(F.col("resource"), SOURCE), F.lit("")).alias("source"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions import scalars as S
@@ -48,10 +48,10 @@ def year_of(stamp: Column, now: Column) -> Column:
 
 
 def parse_syslog(df: DataFrame, col: str = "value", *, now: datetime) -> DataFrame:
-    """Logs of a text column."""
+    """Logs of a text column; ids follow from a row's place (`file` and `line_no`), see `S.placed`."""
     at = F.lit(now).cast("timestamp")
     given = lambda c: F.when(~c.isin("-", ""), c)
-    rows = df.select(F.regexp_replace(F.col(col), "[\\r\\n\\x00]+$", "").alias("raw"))
+    rows = S.placed(df).select(F.regexp_replace(F.col(col), "[\\r\\n\\x00]+$", "").alias("raw"), "file", "line_no")
     pri = F.regexp_extract("raw", r"^<(\d{1,3})>", 1).try_cast("int")
     rows = rows.withColumn("pri", F.when(pri <= 191, pri))
     rows = rows.withColumn("body", F.when(F.col("pri").isNotNull(), F.regexp_replace("raw", r"^<\d{1,3}>", "")).otherwise(F.col("raw")))
@@ -79,7 +79,7 @@ def parse_syslog(df: DataFrame, col: str = "value", *, now: datetime) -> DataFra
     more = F.when(F.col("new") & data.startswith("["), structured(data)).otherwise(F.create_map().cast("map<string,string>"))
     whole = F.map_concat(F.map_filter(own, lambda k, _: ~F.map_contains_key(more, k)), more)
     return rows.select(
-        S.event_id(at, F.col("raw")).alias("id"),
+        S.event_id(at, F.col("file"), F.col("line_no"), F.col("raw")).alias("id"),
         F.coalesce(ts, at).alias("ts"),
         at.alias("received_at"),
         F.coalesce(F.when(F.col("new"), part(2)).when(F.col("old"), F.regexp_extract("body", OLD, 3)), F.lit("")).alias("source"),
@@ -89,3 +89,10 @@ def parse_syslog(df: DataFrame, col: str = "value", *, now: datetime) -> DataFra
         F.transform_values(whole, lambda _, v: v.cast("variant")).alias("attributes"),
         "raw",
     )
+
+
+def read_syslog(spark: SparkSession, path: str, *, now: datetime) -> DataFrame:
+    """Logs of text files, a line each; blank lines are skipped."""
+    from emberlog.sources.readers import numbered
+
+    return parse_syslog(numbered(spark.read.text(path)).where(F.trim("value") != ""), now=now)
