@@ -446,7 +446,7 @@ def test_plans_read_once(spark):
     assert plan(QUERIES["p2_equals"](spark, sf)).count("from_json") <= 1
     text = plan(QUERIES["n1_normalize"](spark, sf))
     assert text.count("from_json") <= 1 and len(text) < 60_000
-    assert plan(QUERIES["e1_grok"](spark, sf)).count("regexp_extract") <= 3 and plan(QUERIES["e1_grok"](spark, sf)).count("regexp_replace") == 1
+    assert plan(QUERIES["e1_grok"](spark, sf)).count("regexp_extract") <= 4 and plan(QUERIES["e1_grok"](spark, sf)).count("regexp_replace") == 1
 
 
 def test_grok_once(spark):
