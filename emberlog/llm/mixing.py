@@ -24,13 +24,15 @@ from __future__ import annotations
 import json
 from collections import deque
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberlog.llm.common import stage, table, text_of
 
-WEIGHTS, SHARE, MOST, SEED, BUCKET = (5, 2, 1), 1.5, 2, "mix-1", 3
+WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, "mix-1"
+BUCKETS = (3, 6)  # digits of the order by which the cut is narrowed down, to a 16 millionth of a source
 FEW = 50_000  # patterns of a plan that is sent to all tasks; a larger one is joined by key
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -136,14 +138,14 @@ def _served(supply: DataFrame, wanted: DataFrame, most: int, max_shared: int) ->
         rows += supply.where(F.size("members") == 1).join(met, F.col("members")[0].eqNullSafe(F.col("met")), "left_semi").collect()
         demand = {r.source: int(r.target) for r in wanted.join(met, F.col("source").eqNullSafe(F.col("met")), "left_semi").collect()}
         given = flow({r.key: r.n for r in rows}, {r.key: r.members for r in rows}, demand, most)
-    return spark.createDataFrame(list(given.items()), "key string, given long")
+    return spark.createDataFrame(pa.table({"key": pa.array(list(given), pa.string()), "given": pa.array(list(given.values()), pa.int64())}))
 
 
 def plan(sized: DataFrame, *, share: float = SHARE, most: int = MOST, max_patterns: int | None = None, max_shared: int = 4096) -> DataFrame:
     """A row per pattern: key, source_size, target (of its first source), passes, cut.
 
     sized: key (JSON of the sources), doc_id, size, h. A document is read `passes` times, and once more if
-    (h, doc_id, size) isn't above the cut. The cut is found from sums by hash prefix, then within one prefix.
+    (h, doc_id, size) isn't above the cut. The cut is found from sums by hash prefix, by longer ones within it, and then row by row.
     """
     supply = stage(sized.groupBy("key").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).withColumn("members", F.from_json("key", "array<string>")), "mix-patterns")
     if max_patterns is not None and supply.limit(max_patterns + 1).count() > max_patterns:
@@ -157,12 +159,14 @@ def plan(sized: DataFrame, *, share: float = SHARE, most: int = MOST, max_patter
     own = own.withColumn("passes", passes).select("key", F.col("size").alias("source_size"), "target", "passes", (F.col("given") - F.col("passes") * F.col("n")).alias("rest"))
     own = stage(own, "mix-passes")
 
-    prefix = F.substring("h", 1, BUCKET).alias("prefix")
-    upto = F.sum("n").over(Window.partitionBy("key").orderBy("prefix"))
-    sums = sized.groupBy("key", prefix).agg(F.sum("size").alias("n")).withColumn("upto", upto)
-    cuts = sums.join(own.select("key", "rest"), "key").where("upto - n <= rest and rest < upto").select("key", "prefix", (F.col("rest") - F.col("upto") + F.col("n")).alias("rest"))
-    cuts = stage(cuts, "mix-cuts")
-    inner = sized.withColumn("prefix", prefix).join(cuts, ["key", "prefix"])
+    inner, cuts = sized, own.select("key", "rest")
+    for width in BUCKETS:
+        prefix = F.substring("h", 1, width)
+        upto = F.sum("n").over(Window.partitionBy("key").orderBy("prefix"))
+        sums = inner.groupBy("key", prefix.alias("prefix")).agg(F.sum("size").alias("n")).withColumn("upto", upto)
+        cuts = sums.join(cuts.select("key", "rest"), "key").where("upto - n <= rest and rest < upto").select("key", "prefix", (F.col("rest") - F.col("upto") + F.col("n")).alias("rest"))
+        cuts = stage(cuts, "mix-cuts")
+        inner = sized.withColumn("prefix", prefix).join(cuts, ["key", "prefix"])
     past = F.sum("size").over(Window.partitionBy("key").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     last = inner.withColumn("past", past).where("2 * past + size <= 2 * rest").groupBy("key").agg(F.max(F.struct("h", "doc_id", "size")).alias("last"))
     none = F.struct(F.col("prefix").alias("h"), F.lit(None).cast(sized.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("long").alias("size"))
