@@ -199,7 +199,11 @@ def links(fps: DataFrame, block: int = 1024) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(fp[i : i + 2048][r]), pa.array(found | which[i : i + 2048][r] << PLACE)], names=["fp", "key"])
 
     rows = stage(fps.mapInArrow(keyed, "fp long, key long"), "simhash-keys")
-    hot = rows.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("n"))
+    # keys are nearly all different, and too many to count: few bins of them hold more than a block, and only those are
+    bins = 1 << max(18, (rows.count() // 256).bit_length())
+    bin_ = F.pmod(F.xxhash64("key"), F.lit(bins))
+    full = stage(rows.groupBy(bin_.alias("bin")).count().where(F.col("count") > block).select("bin"), "simhash-bins")
+    hot = rows.join(full, bin_ == F.col("bin"), "left_semi").groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("n"))
     hot = stage(hot, "simhash-hot")  # written down, so that the join with it can be split
     n = F.coalesce("n", F.lit(1))
     own = F.pmod(F.xxhash64("fp"), n).cast("int")
