@@ -99,7 +99,7 @@ def read_cache(spark: SparkSession, cache: str) -> DataFrame:
     try:
         return spark.read.schema(CACHE).parquet(cache)
     except AnalysisException:  # none yet
-        return spark.createDataFrame([], CACHE)
+        return spark.range(0).select(F.lit("").alias("content"), F.lit("").alias("tokenizer"), F.col("id").alias("n_tokens"))
 
 
 def count(docs: DataFrame, tokenizer: str, cache: str | None = None, limit: int = LIMIT) -> DataFrame:

@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     chosen = pd.concat([chosen[chosen.y == 1], chosen[chosen.y == 0].iloc[:n]])
     if chosen.empty:
         return train([], [], s)
-    wanted = docs.sparkSession.createDataFrame(chosen.astype("int64"), "doc_id long, y long")
+    wanted = docs.sparkSession.createDataFrame(pa.table({c: pa.array(chosen[c].astype("int64")) for c in ("doc_id", "y")}))
     sample = pick(docs, "doc_id", "text").join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # Settings.rows rows at most
     sample = stage(sample.select(F.xxhash64("doc_id").alias("h"), "doc_id", "y", "text"), "toxicity-sample")
     sizes = sample.select("h", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy("h", "doc_id").toPandas()
