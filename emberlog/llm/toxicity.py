@@ -2,7 +2,7 @@
 
 A word is a run of non-blank characters, lower-cased, stripped of punctuation at its ends; its vector is the mean
 of the vectors of itself and its character n-grams (hashed into buckets while it is trained), so a misspelling that was never seen
-shares most of them. A text is read in windows of `WINDOW` words that overlap by half, all of it; a window's
+shares most of them; n-grams that the sample doesn't hold have none. A text is read in windows of `WINDOW` words that overlap by half, all of it; a window's
 vector is the mean over its words, and the softmax of a linear layer gives its probability. A text scores as its
 most toxic window, since a toxic passage doesn't colour the average of a long text. Vectors and layer are trained
 together, in numpy, by Adam on the log loss of texts.

@@ -10,6 +10,7 @@ import pytest
 
 import corpus_pipeline
 from emberlog.llm import mixing, simhash, toxicity
+from emberlog.llm.common import stage
 from tests.llm.test_corpus_operators import LONG, edited, jaccard, prose
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, `row` string, file string, digest string"
@@ -129,7 +130,7 @@ def test_pipeline(spark, corpus):
         got = step(spark, docs, corpus)
         want = brute(spark, rows, corpus)
         assert got.columns == columns
-        docs = corpus_pipeline.stage(got, f"test-{k}")
+        docs = stage(got, f"test-{k}")
         rows = docs.collect()
         assert sorted(map(key, rows)) == sorted(map(key, want))
         sizes.append(len(rows))
