@@ -1,4 +1,9 @@
-"""A corpus pipeline over `documents`: each stage works on all that the one before it kept."""
+"""A corpus pipeline over `documents`: each stage works on all that the one before it kept.
+
+All stages but the last keep the columns of documents, whatever their names; the last adds `copies`. Null texts count as
+empty: they aren't toxic, are exact copies of empty ones, and hold no benchmark item. Null doc_ids are kept as they are,
+and are the smallest. Rows that repeat in all columns are exact copies. Empty tables give an empty result.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from emberlog.llm import decontaminate, exact_dedup, mixing, simhash, toxicity
-from emberlog.llm.common import stage, table
+from emberlog.llm.common import Scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +48,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mix_sources),
 ]
 
-#: A trained classifier has no SQL; tests/llm holds run() against a brute-force version.
+#: A trained classifier has no SQL; tests/llm/test_pipeline.py holds each stage and run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for _, step in STAGES[:-1]:
+        docs = scratch.stage(step(spark, docs, sf_dir))
+        scratch.clear(but=1)
     return STAGES[-1][1](spark, docs, sf_dir)
