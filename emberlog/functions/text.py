@@ -70,11 +70,17 @@ def build_index(df: DataFrame, text: Column | None = None) -> DataFrame:
     return df.select("id", F.explode(F.array_distinct(tokens(source))).alias("token")).select("token", "id")
 
 
+def write_index(df: DataFrame, path: str, text: Column | None = None) -> None:
+    """Stores an index, in order of its tokens, so that a search reads only the files and row groups that may hold its own."""
+    build_index(df, text).repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(path)
+
+
 def search_index(index: DataFrame, terms: Iterable[str]) -> DataFrame:
     """Ids of rows that hold every token of the terms, the last of each term as a prefix. Phrases want `term` on top."""
     wanted = [(w, k == len(ws) - 1) for ws in map(split_tokens, terms) for k, w in enumerate(ws)]
     if not wanted:
         return index.select("id").where(F.lit(False))
+    index = index.where(reduce(operator.or_, [F.col("token").startswith(w) if last else F.col("token") == w for w, last in wanted]))
     hit = F.array(*[F.when(F.col("token").startswith(w) if last else F.col("token") == w, F.lit(k)) for k, (w, last) in enumerate(wanted)])
     found = index.select("id", F.explode(F.array_compact(hit)).alias("k"))
     return found.groupBy("id").agg(F.count_distinct("k").alias("n")).where(F.col("n") == len(wanted)).select("id")

@@ -154,8 +154,9 @@ def _(s, d):
 
 @register("j1_text_hits", f"SELECT doc_id::VARCHAR AS id, lang AS service FROM documents WHERE contains({NORM_SQL}, ' idiot')", logs=False)
 def _(s, d):
-    df = docs(s, d)
-    return X.semi(df, X.search_index(X.build_index(df, F.col("message")), ["idiot"])).select("id", "service")
+    df, path = docs(s, d), f"{shared(s)}/index-{uuid.uuid4().hex}"
+    X.write_index(df, path, F.col("message"))
+    return X.semi(df, X.search_index(s.read.parquet(path), ["idiot"])).select("id", "service")
 
 
 # Aggregations
@@ -623,8 +624,12 @@ def _(s, d):
 
 
 def shared(s: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    return (s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+    """The folder that driver and executors share; where spark.checkpoint.dir is unset, a temporary one in local mode, else an error."""
+    if found := s.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if not s.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
 
 
 def _stream(s: SparkSession, d: str) -> tuple[DataFrame, str]:
