@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import decontaminate, exact_dedup, html_text, mixing, preferences, secrets, simhash, token_counts, toxicity, warc
+from emberlog.llm import decontaminate, exact_dedup, fill_middle, html_text, language_id, mixing, phrases, preferences, secrets, simhash, token_counts, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": token_counts.query,
         "op9_toxicity": toxicity.query,
         "op10_html_text": html_text.query,
+        "op11_language_id": language_id.query,
+        "op12_fill_middle": fill_middle.query,
+        "op13_phrases": phrases.query,
     }
 
 
@@ -31,4 +34,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_mixing": mixing.ORACLE,
         "op5_decontaminate": decontaminate.ORACLE,
         "op6_preferences": preferences.ORACLE,
+        "op12_fill_middle": fill_middle.ORACLE,
+        "op13_phrases": phrases.ORACLE,
     }
