@@ -17,7 +17,7 @@ training doesn't grow with the input.
 Output. White space inside a block becomes one space, blocks are joined by two newlines in page order.
 
 Defined results. Null and empty pages, and pages without main text, give an empty text. Unclosed, crossed and
-unknown tags are tolerated as browsers do. Repeated rows each have their row. An empty table gives an empty
+unknown tags are tolerated as browsers do; what is left open at the end of a page is dropped (see `markup`). Repeated rows each have their row. An empty table gives an empty
 result. Extra columns aren't read.
 """
 
@@ -28,13 +28,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
-from html.parser import HTMLParser
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from emberlog.llm import markup
 from emberlog.llm.common import pick, table
 
 #: HTML's block-level elements, those whose content isn't shown text, and those without content.
@@ -73,11 +73,10 @@ class Block(NamedTuple):
     linked: int
 
 
-class _Blocks(HTMLParser):
+class _Blocks:
     """blocks: the leaf blocks; names: the class words that matter, all where it is None."""
 
     def __init__(self, names: set[str] | None = None):
-        super().__init__(convert_charrefs=True)
         self.names, self.root = names, Node("none", frozenset(), None)
         self.stack: list[Node] = []
         self.at: dict[str, list[int]] = {}  # places in the stack of each open tag
@@ -106,7 +105,7 @@ class _Blocks(HTMLParser):
         """Place of the innermost open one of the tags, -1 without."""
         return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
 
-    def handle_starttag(self, tag, attrs):
+    def start(self, tag, attrs):
         if tag in BLOCK:
             self.flush()
             if (k := self.last(("p",))) >= 0:
@@ -132,19 +131,14 @@ class _Blocks(HTMLParser):
         self.hidden += tag in HIDDEN
         self.links += tag == "a"
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag in HIDDEN:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
+    def end(self, tag):
         if tag in BLOCK:
             self.flush()
         k = self.last((tag,))
         if k >= 0 and (tag in BLOCK or not self.blocks_at or self.blocks_at[-1] < k):  # an inline end tag doesn't leave its block
             self.cut(k)
 
-    def handle_data(self, data):
+    def data(self, data):
         if not self.hidden:
             self.text.append(data)
             if self.links:
@@ -153,8 +147,15 @@ class _Blocks(HTMLParser):
 
 def blocks(html: str | None, names: set[str] | None = None) -> list[Block]:
     parser = _Blocks(names)
-    parser.feed(html or "")
-    parser.close()
+    for kind, x, attrs in markup.tokens(html or ""):
+        if kind == "text":
+            parser.data(x)
+        elif kind == "end":
+            parser.end(x)
+        else:
+            parser.start(x, attrs)
+            if kind == "empty" and x in HIDDEN:
+                parser.end(x)
     parser.flush()
     return parser.blocks
 

@@ -32,7 +32,6 @@ from urllib.parse import quote
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,31 +92,61 @@ def _filesystem(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
+def _unsigned(ids: np.ndarray) -> np.ndarray:
+    """Longs in the same order from 0, so that no difference of two overflows."""
+    return ids.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+
+
+def _slot_sums(keys: DataFrame, ranges: list[tuple[int, int, int]]) -> dict[int, list[tuple[int, int]]]:
+    """By place in ranges (begin, end, width of a slot; in order, apart): (slot, bytes) of the slots that have rows, in one job."""
+    begins, ends, widths = (np.array(x, np.uint64) for x in zip(*ranges, strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, n = _unsigned(b.column("page_id").to_numpy()), b.column("n").to_numpy()
+            at = np.searchsorted(begins, ids, "right") - 1
+            own = (at >= 0) & (ids <= ends[at])
+            at, ids, n = at[own], ids[own], n[own]
+            cells, which = np.unique(np.stack([at.astype(np.uint64), (ids - begins[at]) // widths[at]]), axis=1, return_inverse=True)
+            sums = np.zeros(cells.shape[1], np.int64)
+            np.add.at(sums, which.ravel(), n)
+            yield pa.RecordBatch.from_arrays([pa.array(cells[0].astype(np.int64)), pa.array(cells[1].astype(np.int64)), pa.array(sums)], names=["range", "slot", "n"])
+
+    found: dict[int, list[tuple[int, int]]] = {}
+    for r in keys.select("page_id", "n").where("page_id is not null").mapInArrow(run, "range long, slot long, n long").groupBy("range", "slot").agg(F.sum("n").alias("n")).orderBy("range", "slot").collect():
+        found.setdefault(r.range, []).append((r.slot, r.n))
+    return found
+
+
 def bounds(keys: DataFrame, target: int) -> list[int]:
     """Largest page_id of each shard but the last, for shards of about `target` payload bytes.
 
-    Sums over SLOTS equal slots of the key range reach the driver; a slot that is still too large is divided again.
+    Sums over slots of the key range reach the driver; those that are too large are divided again, all in one job, into
+    slots in proportion to their bytes, so that no round brings more than a few numbers for each shard.
     """
     span = keys.agg(F.min("page_id"), F.max("page_id")).first()
     if span[0] is None:
         return []
-
-    def parts(lo: int, hi: int) -> list[tuple[int, int]]:
-        width = (hi - lo) // SLOTS + 1
-        slot = F.floor((F.col("page_id") - F.lit(lo)) / width).cast("long") if width > 1 else F.col("page_id") - F.lit(lo)
-        own = keys.where((F.col("page_id") >= lo) & (F.col("page_id") <= hi))
-        rows = own.groupBy(slot.alias("slot")).agg(F.sum("n").alias("n")).orderBy("slot").collect()  # SLOTS rows at most
-        out = []
-        for r in rows:
-            a, b = lo + r.slot * width, min(hi, lo + (r.slot + 1) * width - 1)
-            out += parts(a, b) if r.n > 4 * target and width > 1 else [(b, int(r.n))]
-        return out
+    lo, hi = (int(x) + (1 << 63) for x in span)
+    parts: list[tuple[int, int, int | None]] = [(lo, hi, None)]  # begin, end, bytes (not known yet: None)
+    while heavy := [k for k, (a, b, n) in enumerate(parts) if n is None or n > 4 * target and b > a]:
+        slots = [SLOTS if parts[k][2] is None else max(2, min(SLOTS, 8 * parts[k][2] // target)) for k in heavy]
+        ranges = [(parts[k][0], parts[k][1], (parts[k][1] - parts[k][0]) // s + 1) for k, s in zip(heavy, slots, strict=True)]
+        found, which = _slot_sums(keys, ranges), {k: i for i, k in enumerate(heavy)}
+        divided = []
+        for k, part in enumerate(parts):
+            if k not in which:
+                divided.append(part)
+                continue
+            a, b, width = ranges[which[k]]
+            divided += [(a + s * width, min(b, a + (s + 1) * width - 1), int(n)) for s, n in found.get(which[k], [])]
+        parts = divided
 
     out, held = [], 0
-    for end, n in parts(*map(int, span)):
+    for _, end, n in parts:
         held += n
         if held >= target:
-            out.append(end)
+            out.append(end - (1 << 63))
             held = 0
     return out[:-1] if out and out[-1] >= span[1] else out
 
@@ -142,15 +171,19 @@ def write(pages: DataFrame, folder: str, *, shard: int | None = None, roll: int
     for r in heavy:
         own[r.page_id] = (count, n := max(1, -(-int(r.n) // target)))
         count += n
-    dealt_out = spark.sparkContext.broadcast(own)
+    ids = sorted(k for k in own if k is not None)
+    dealt_out = spark.sparkContext.broadcast((np.array(ids, np.int64), np.array([own[k] for k in ids], np.int64).reshape(-1, 2), own.get(None)))
 
     @F.arrow_udf("long")
     def shard_of(page_id: pa.Array, digest: pa.Array) -> pa.Array:
-        at = np.searchsorted(ends.value, page_id.fill_null(0).to_numpy(zero_copy_only=False), "left")
-        for k, (first, n) in dealt_out.value.items():
-            mine = page_id.is_null() if k is None else pc.equal(page_id, pa.scalar(k, pa.int64())).fill_null(False)
-            for i in np.flatnonzero(mine.to_numpy(zero_copy_only=False)):
-                at[i] = first + int(digest[int(i)].as_py()[:8], 16) % n
+        large, place, missing = dealt_out.value
+        page, null = page_id.fill_null(0).to_numpy(zero_copy_only=False), page_id.is_null().to_numpy(zero_copy_only=False)
+        at = np.searchsorted(ends.value, page, "left")
+        k = np.minimum(np.searchsorted(large, page), max(len(large) - 1, 0))
+        mine = ~null & (large[k] == page) if len(large) else np.zeros(len(page), bool)
+        for i in np.flatnonzero(mine | null):
+            first, n = missing if null[i] else place[k[i]]
+            at[i] = first + int(digest[int(i)].as_py()[:8], 16) % n
         return pa.array(at, pa.int64())
 
     # a mark (without html) goes before the rows that are revisits, so that payloads move once and meet no join
