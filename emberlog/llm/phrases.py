@@ -32,10 +32,11 @@ from pyspark.sql import functions as F
 from emberlog.llm.common import Scratch, pick, stage, table, text_of
 
 LEAST, TOP, SCALE, SUBSUMED = 10, 2000, 1_000_000, 50
-TILE, FULL, TILES = 512, 4, 24  # ranks of a tile's side; a tile is dense from TILE**2 / FULL pairs of a chunk; dense tiles of a task
+TILE, FULL, TILES = 256, 8, 16  # ranks of a tile's side; a tile is dense from TILE**2 / FULL pairs of a chunk; dense tiles of a language, a quarter of those of a task
 WORDS, PAIRS = 1 << 19, 1 << 21
 BITS = 1 << 27  # 16 MB
-CHUNK = 1 << 21  # bytes of text, addresses and entries that are worked on at a time
+CHUNK = 1 << 20  # bytes of text, and entries, that a task works on at a time
+HELD = 1 << 18  # different words that a task counts before it passes them on, and words of a sequence taken at a time
 PART = 1 << 20  # words of the corpus per part that counts are dealt out to
 SALTS = 64
 BREAK = b"\xff"  # in no UTF-8 text
@@ -196,7 +197,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         for lang, text in _each(batches):
             for words in words_of(text):
                 found.setdefault(lang, Counter()).update(words)
-            if sum(map(len, found.values())) > CHUNK // 4:
+            if sum(map(len, found.values())) > HELD:
                 yield from flush()
         yield from flush()
 
@@ -232,15 +233,19 @@ def _ranked(rows: DataFrame, most: int, key: str, scratch: Scratch) -> tuple[Dat
 def encode(docs: DataFrame, top: DataFrame, rest: DataFrame) -> DataFrame:
     """(lang, ids, phrase, n): texts as arrays of ranks (int32, -1 where none or between pieces), or a phrase of
     two or three words, one of them ranked in no task, that occurs n times and may be frequent."""
-    names: dict[str, dict[bytes, int]] = {}
-    for b in top.select("lang", "word", "rank").toArrow().to_batches():  # as many rows as words are ranked at most
-        for lang, w, k in zip(*(b.column(c).to_pylist() for c in ("lang", "word", "rank")), strict=True):
-            names.setdefault(lang, {})[w] = k
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((names, _filter_of(rest.select("lang", "word"), _word_hashes)))
+    ordered = top.select("lang", "rank", "word").toArrow().sort_by([("lang", "ascending"), ("rank", "ascending")])  # as many rows as words are ranked at most
+    with pa.BufferOutputStream() as out:
+        with pa.ipc.new_stream(out, ordered.schema) as writer:
+            writer.write_table(ordered)
+        packed = out.getvalue().to_pybytes()
+    shared = docs.sparkSession.sparkContext.broadcast((packed, _filter_of(rest.select("lang", "word"), _word_hashes)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, bits = shared.value
+        packed, bits = shared.value
+        names: dict[str, dict[bytes, int]] = {}
+        for b in pa.ipc.open_stream(packed):
+            for lang, k, w in zip(b.column("lang").to_pylist(), b.column("rank").to_pylist(), b.column("word").to_pylist(), strict=True):
+                names.setdefault(lang, {})[w] = k
         others: Counter = Counter()
         maybe: Callable[[str, bytes], bool] = (lambda lang, w: False) if bits is None else _maybe(bits)
         columns = ["lang", "ids", "phrase", "n"]
@@ -269,7 +274,7 @@ def encode(docs: DataFrame, top: DataFrame, rest: DataFrame) -> DataFrame:
                             if any(low[i] for i in own) and all(low[i] or ok[i] for i in own):
                                 others[(lang, *words[own[0] : end + 1])] += 1
                     tail = words[-2:]
-                    if len(others) > CHUNK // 8:
+                    if len(others) > HELD // 4:
                         yield from flush()
             if made:
                 yield rows([lang], [np.concatenate(made).tobytes()], [None], [None])
@@ -291,9 +296,9 @@ def _maybe(bits: np.ndarray) -> Callable[[str, bytes], bool]:
 def _sequences(b: pa.RecordBatch, overlap: int) -> Iterator[tuple[str, np.ndarray]]:
     """(lang, ids) of each row in chunks that overlap by so many ids."""
     for lang, raw in zip(b.column("lang").to_pylist(), b.column("ids"), strict=True):
-        ids = np.frombuffer(raw.as_py(), np.int32).astype(np.int64)
-        for k in range(0, max(len(ids) - overlap, 0), CHUNK):
-            yield lang, ids[k : k + CHUNK + overlap]
+        ids = np.frombuffer(raw.as_buffer(), np.int32)
+        for k in range(0, max(len(ids) - overlap, 0), HELD):
+            yield lang, ids[k : k + HELD + overlap].astype(np.int64)
 
 
 def _tiled(encoded: DataFrame, sizes: dict[str, int], parts: int, find: Callable, split: Callable, overlap: int, split_other: Callable | None = None) -> DataFrame:
@@ -324,8 +329,8 @@ def _tiled(encoded: DataFrame, sizes: dict[str, int], parts: int, find: Callable
                     tiles.setdefault((lang, False), Tiles(sizes[lang])).add(left, right)
                 if len(codes):
                     tiles.setdefault((lang, True), Tiles(1)).add_codes(codes, np.ones(len(codes), np.int64))
-                if sum(t.held for t in tiles.values()) > 2 * CHUNK:
-                    yield from flush(False)
+                if (many := sum(len(t.dense) for t in tiles.values()) > 4 * TILES) or sum(t.held for t in tiles.values()) > CHUNK:
+                    yield from flush(many)
         yield from flush(True)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
