@@ -112,6 +112,17 @@ def placed(df: DataFrame) -> DataFrame:
     return df.withColumns({c: v for c, v in lacking.items() if c not in df.columns}) if not {"file", "line_no"} <= set(df.columns) else df
 
 
+def json_value(text: Column) -> Column:
+    """The variant of a text that is one JSON value, with nothing but blanks around it, else null.
+
+    Parsing stops at the end of the first value; a second one, that no text holds by chance, shows that nothing came before it.
+    """
+    mark = F.xxhash64(text)
+    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit("\n,"), mark.cast("string"), F.lit("]")))
+    one = bound(both, lambda v: F.when(F.try_variant_get(v, "$[1]", "bigint") == mark, F.when(F.try_variant_get(v, "$[2]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant"))))
+    return F.when(text.isNotNull(), one)
+
+
 def attr(key: str) -> Column:
     return F.col("attributes")[key]
 

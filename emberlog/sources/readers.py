@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
 from datetime import datetime
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +12,7 @@ from emberlog.functions import scalars as S
 from emberlog.functions.scalars import event_id
 from emberlog.operators.normalize import normalize
 from emberlog.schema import COLUMNS
+from emberlog.sources.json_blocks import read_values
 
 MAX_BYTES = 1 << 20
 RECORD = "map<string,variant>"
@@ -25,12 +23,13 @@ def _refuse_long(max_bytes: int):
 
 
 def parse_lines(lines: DataFrame, *, now: datetime, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(logs, rejects) of a column `value` with a JSON object in each row."""
+    """(logs, rejects) of a column `value` with a JSON object in each row, and of `error`, what is wrong with it, where a reader found that out."""
     given = set(lines.columns)
-    lines = S.once(S.placed(lines), "_json", F.struct(F.try_parse_json("value").alias("v")))
+    refused = F.coalesce(F.col("error"), _refuse_long(max_bytes)) if "error" in given else _refuse_long(max_bytes)
+    lines = S.once(S.placed(lines), "_json", F.struct(F.when(refused.isNull(), S.json_value(F.col("value"))).alias("v")))
     parsed = F.col("_json.v")
     record = F.when(F.schema_of_variant(parsed).startswith("OBJECT"), F.try_variant_get(parsed, "$", RECORD))
-    logs, rejects = normalize(lines.withColumns({"error": _refuse_long(max_bytes), "record": record}).drop("_json"), now=now)
+    logs, rejects = normalize(lines.withColumns({"error": refused, "record": record}).drop("_json"), now=now)
     return logs, rejects.drop(*({"file", "line_no"} - given))
 
 
@@ -67,36 +66,12 @@ def read_ndjson(spark: SparkSession, path: str, *, now: datetime, max_bytes: int
     return parse_lines(numbered(spark.read.text(path)).where(F.trim("value") != ""), now=now, max_bytes=max_bytes)
 
 
-def read_json_array(spark: SparkSession, path: str, *, now: datetime, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Files that hold one array of objects each."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
-    items = files.select("file", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("line_no", "item"))
-    return parse_lines(items.select("file", "line_no", F.to_json("item").alias("value")), now=now, max_bytes=max_bytes)
-
-
-def read_json_multiline(spark: SparkSession, path: str, *, now: datetime, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Values that span lines: a file's lines add up until they make one value; what never does is one reject."""
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder = json.JSONDecoder()
-        for pdf in batches:
-            for file, text in zip(pdf["file"], pdf["value"], strict=True):
-                found, at = [], 0
-                while at < len(text):
-                    if text[at].isspace():
-                        at += 1
-                        continue
-                    try:
-                        _, end = decoder.raw_decode(text, at)
-                    except ValueError:
-                        end = text.find("\n{", at + 1)
-                        end = len(text) if end < 0 else end
-                    found.append(text[at:end].strip())
-                    at = end
-                yield pd.DataFrame({"file": file, "line_no": range(len(found)), "value": found})
-
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return parse_lines(files.mapInPandas(split, "file string, line_no long, value string"), now=now, max_bytes=max_bytes)
+def read_json(spark: SparkSession, path: str, *, now: datetime, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Files of any size that hold an array of objects each, or objects one after another that may span lines; see `json_blocks`."""
+    return parse_lines(read_values(spark, path, max_bytes=max_bytes), now=now, max_bytes=max_bytes)
+
+
+read_json_array = read_json_multiline = read_json
 
 
 def of_raw(lines: DataFrame, service: str, source: str, level: str = "info", *, now: datetime) -> DataFrame:
