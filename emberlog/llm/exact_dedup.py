@@ -15,12 +15,10 @@ text, the one stored last stays. An empty table gives an empty result. Extra col
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import located, marked, new_dir, stage, table
+from emberlog.llm.common import located, marked, new_dir, settings, stage, table
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -35,18 +33,6 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-@contextmanager
-def _settings(spark: SparkSession, wanted: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    try:
-        for k, v in wanted.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def _feed(spark: SparkSession, store: str) -> DataFrame:
     """Runs the rows that are new in the store's keys through its state; returns the state, a row per digest."""
     schema = spark.read.parquet(f"{store}/keys/*").schema
@@ -55,7 +41,7 @@ def _feed(spark: SparkSession, store: str) -> DataFrame:
         .groupBy("digest")
         .agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "file", "pos")).alias("keep"))
     )
-    with _settings(spark, STATE):
+    with settings(spark, STATE):
         query = (
             seen.writeStream.outputMode("update")
             .option("checkpointLocation", f"{store}/checkpoint")

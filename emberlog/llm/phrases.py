@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import Scratch, pick, stage, table, text_of
+from emberlog.llm.common import Scratch, pick, settings, stage, table, text_of
 
 LEAST, TOP, SCALE, SUBSUMED = 10, 2000, 1_000_000, 50
 TILE, FULL, TILES = 256, 8, 16  # ranks of a tile's side; a tile is dense from TILE**2 / FULL pairs of a chunk; dense tiles of a language, a quarter of those of a task
@@ -365,11 +365,19 @@ def _parts(words: int) -> int:
     return max(1, -(-words // PART))
 
 
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
 def mine(docs: DataFrame, top: int = TOP, most_words: int = WORDS, most_pairs: int = PAIRS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first `top` phrases of each language of docs (lang, text).
 
     most_words, most_pairs: how many words and pairs tasks know the ranks of; the results are the same with any.
     """
+    with settings(docs.sparkSession, BATCH):
+        return _mine(docs, top, most_words, most_pairs)
+
+
+def _mine(docs: DataFrame, top: int, most_words: int, most_pairs: int) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "phrases")
     counted = scratch.stage(count_words(docs).where(F.col("word").isNull() | (F.col("n") >= LEAST)))
