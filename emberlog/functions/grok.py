@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.functions.dialect import translate
+
 MAX_DEPTH = 20
 #: The built-in patterns.
 PATTERNS = {
@@ -68,8 +70,6 @@ def expand(pattern: str, depth: int = 0) -> str:
 
 def numbered(pattern: str) -> tuple[str, dict[str, int]]:
     """A pattern without group names, and the number of each named group."""
-    from emberlog.functions.predicates import UNSUPPORTED
-
     names: dict[str, int] = {}
     count = 0
 
@@ -85,12 +85,7 @@ def numbered(pattern: str) -> tuple[str, dict[str, int]]:
 
     # names may hold dots, which no engine takes in a group's name
     out = re.sub(PIECE, one, re.sub(r"\(\?P?<([\w.@-]+)>", lambda m: f"(?P<{m[1]}>", pattern))
-    if bad := UNSUPPORTED.search(out):
-        raise ValueError(f"unsupported in a regular expression: {bad[0]}")
-    try:
-        re.compile(out)
-    except re.error as e:
-        raise ValueError(f"bad pattern: {e}") from e
+    out = translate(out, allow="Z")
     return out, names
 
 

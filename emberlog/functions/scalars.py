@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 NUMBER = re.compile(r"[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\Z")
 PREFIX = r"^\s*([+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?)"
 RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
+TYPED = "attr:"  # columns of attributes that are stored by themselves: this and the key hold the text, with `#` behind it the number
+ABSENT = "\x00"  # the text of a row without the attribute; null where a file doesn't have the column
 LEVELS = ("debug", "info", "warn", "error", "fatal")
 #: Spellings of each level, syslog severities among them.
 SPELLINGS = {

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import operator
-import re
+import unicodedata
 from collections.abc import Iterable
 from functools import reduce
 
@@ -38,7 +38,9 @@ def text_norm() -> Column:
 
 
 def split_tokens(text: str) -> list[str]:
-    return [t for t in re.split(r"[^\w]|_", text.lower()) if t]
+    """As `tokens`: runs of letters and decimal digits."""
+    kept = (c if unicodedata.category(c)[0] == "L" or unicodedata.category(c) == "Nd" else " " for c in text.lower())
+    return "".join(kept).split()
 
 
 def term(text: Column, wanted: str) -> Column:

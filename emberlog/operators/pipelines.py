@@ -137,6 +137,7 @@ def _match(s: Stage) -> tuple[Column, dict[str, int]]:
 
 def _run(df: DataFrame, pipelines: Sequence[Pipeline], note: Callable[[DataFrame, Pipeline, Stage | None], DataFrame]) -> DataFrame:
     validate(pipelines)
+    df = df.drop("text_norm", *(c for c in df.columns if c.startswith(S.TYPED)))  # made of what stages change
     for p in sorted((p for p in pipelines if p.enabled), key=lambda p: p.order):
         match = reduce(lambda a, b: a & b, [pred(*m) for m in p.match], F.lit(True))
         df = note(df.withColumn("_alive", match), p, None)

@@ -74,6 +74,25 @@ def _(s, d):
     return shown(readers.read_json_multiline(s, text_files(s, spread.repartition(files)), now=NOW)[0])
 
 
+@register("s2_broken_array", f"{READ_SQL} WHERE event_id % {PER_FILE} < 1500 OR event_id // {PER_FILE} % 2 = 0")
+def _(s, d):
+    """Every second array has an element that is no JSON; what comes before it is taken."""
+    k, g = F.col("id").cast("long"), F.floor(F.col("id").cast("long") / PER_FILE)
+    broken = as_records(s, d).withColumn("value", F.when((k % PER_FILE == 1500) & (g % 2 == 1), "{oops}").otherwise(F.col("value")))
+    groups = broken.groupBy(g.alias("g")).agg(F.array_sort(F.collect_list(F.struct("id", "value"))).alias("rows"))  # PER_FILE rows at most
+    path = f"{shared(s)}/arrays-{uuid.uuid4().hex}"
+    groups.select("g", F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["value"]), ","), F.lit("]")).alias("value")).repartition("g").write.partitionBy("g").text(path)
+    return shown(readers.read_json(s, path, now=NOW)[0])
+
+
+@register("s3_broken_lines", "SELECT CASE WHEN event_id % 7 = 0 THEN 'rejected' ELSE 'accepted' END AS outcome, count(*) AS count FROM events GROUP BY 1", logs=False)
+def _(s, d):
+    """Values over lines, of which some lines are none."""
+    k = F.col("id").cast("long")
+    spread = as_records(s, d).select(F.when(k % 7 == 0, "no json here").otherwise(F.replace(F.col("value"), F.lit(',"'), F.lit(',\n  "'))).alias("value"))
+    return A.observe_counts(*readers.read_json(s, text_files(s, spread), now=NOW)).where("count > 0")
+
+
 @register("s4_raw_text", "SELECT message, message AS raw, 'svc' AS service, 'src' AS source, 'info' AS level FROM logs")
 def _(s, d):
     path = text_files(s, events(s, d).select(F.concat("message", F.lit("\r")).alias("value")))

@@ -108,6 +108,25 @@ def _(s, d):
     return df.withColumn("attributes", S.set_key(F.col("attributes"), "flag", flag.cast("variant"))).where(P.pred("attr.flag", "=", "TRUE")).select("id", flag.alias("flag"))
 
 
+DIALECT = r"(?i)^[[:alpha:]]+\s\pL{2,}\b.*[[:punct:]]\x{20}(?P<last>\Qthe\E|d[aeu]|\p{Lu}+)$|[[:^ascii:]]\z"
+
+
+@register("p9_dialect", f"SELECT doc_id::VARCHAR AS id FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '{DIALECT.replace('(?P<last>', '(')}') GROUP BY doc_id", logs=False)
+def _(s, d):
+    lines = docs(s, d).withColumn("message", F.explode(F.split("message", "\n")))
+    return P.search(lines, [("message", "regex", DIALECT.replace("(?P<last>", "("))]).select("id").distinct()
+
+
+@register("p2_stored", f"SELECT {SHOWN_SQL} FROM logs WHERE level = 'error' AND k_text = '42' OR k >= 97 AND service = 'purchase'")
+def _(s, d):
+    path = f"{shared(s)}/typed-{uuid.uuid4().hex}"
+    K.write_logs(events(s, d).where(F.col("id").cast("long") % 2 == 0), path, "1", typed=4)
+    K.write_logs(events(s, d).where(F.col("id").cast("long") % 2 == 1), path, "2")
+    stored = K.read_logs(s, path)
+    one, other = P.search(stored, [("level", "=", "ERROR"), ("attr.k", "=", "42")]), P.search(stored, [("attr.k", ">=", 97), ("service", "=", "purchase")])
+    return plain(one.unionByName(other).dropDuplicates(["id"]).select(*SHOWN))
+
+
 @register("p10_time_range", f"SELECT {SHOWN_SQL} FROM logs WHERE ts >= '2024-01-03' AND ts <= '2024-01-04'")
 def _(s, d):
     return plain(P.search(events(s, d), start=at(2), end=at(3)).select(*SHOWN))
@@ -147,6 +166,16 @@ def _(s, d):
     return docs(s, d).where(X.holds(F.col("message"), ["Of, the", "an"])).select("id")
 
 
+@register("t3_mixed_batches", f"SELECT doc_id::VARCHAR AS id FROM documents WHERE contains({NORM_SQL}, ' of the')", logs=False)
+def _(s, d):
+    path = f"{shared(s)}/mixed-{uuid.uuid4().hex}"
+    for k in range(3):  # the first compacted, the second with normal text, the third without
+        K.write_logs(docs(s, d).where(F.col("id").cast("long") % 3 == k), path, str(k), text=k < 2)
+        if k == 0:
+            K.compact(s, path)
+    return P.search(K.read_logs(s, path), terms=["of the"]).select("id")
+
+
 @register("t4_index_search", rf"SELECT doc_id::VARCHAR AS id FROM documents WHERE contains({NORM_SQL} || ' ', ' token ') AND contains({NORM_SQL}, ' er')", logs=False)
 def _(s, d):
     return X.search_index(X.build_index(docs(s, d), F.col("message")), ["token er"])
@@ -362,6 +391,29 @@ def _(s, d):
     return K.read_logs(s, path).select("id", "message")
 
 
+@register("k1_replayed_batch", "SELECT id, CASE WHEN event_id % 3 = 0 THEN '10 ' ELSE '9 ' END || message AS message FROM logs")
+def _(s, d):
+    df, path = events(s, d), f"{shared(s)}/replayed-{uuid.uuid4().hex}"
+
+    def write(batch: str, part: DataFrame) -> None:
+        K.write_logs(part.withColumn("message", F.concat(F.lit(f"{batch} "), "message")), path, batch)
+
+    write("9", df)
+    write("10", df.where(F.col("id").cast("long") % 3 == 0))  # received at the same time
+    K.compact(s, path)
+    write("9", df)  # a retry
+    return K.read_logs(s, path).select("id", "message")
+
+
+@register("k6_purge_all", "SELECT id FROM logs WHERE ts > TIMESTAMP '9999-01-01'")
+def _(s, d):
+    path = f"{shared(s)}/purge-{uuid.uuid4().hex}"
+    K.write_logs(events(s, d), path, "1")
+    K.compact(s, path)
+    K.purge(s, path, 1, at(400))
+    return K.read_logs(s, path).select("id")
+
+
 @register("k2_export_ndjson", "SELECT id, level, message FROM logs")
 def _(s, d):
     path = f"{shared(s)}/export-{uuid.uuid4().hex}"
