@@ -169,12 +169,18 @@ def compact(spark: SparkSession, path: str, file_mb: int = 256) -> None:
     """Puts batches into the base, each id once: only days that they change are written, into files of about file_mb MB.
 
     Batches and days that the new version no longer reads stay until the next compaction, for readers of the one before.
+    Segments of an index become one.
     """
+    from emberlog.operators.index import forget_changed, merge_index
+
     version = last_version(spark, path)
     batches = _batches(spark, path, version)
     _clean(spark, path, version)
     if not batches:
         return
+    indexed = bool(_names(spark, f"{path}/_index"))
+    if indexed:
+        forget_changed(spark, path)
     base, new = _read_base(spark, path, version), _read_batches(spark, path, batches)
     changed = new.select("dt")
     if base is not None:  # days that an id, or the row of a batch written again, leaves
@@ -200,6 +206,8 @@ def compact(spark: SparkSession, path: str, file_mb: int = 256) -> None:
     held = {b: sorted({write for _, write, _ in files}) for b, files in batches.items()}
     kept = {d: f for d, f in version.days.items() if d not in days}
     _commit(spark, path, Version(version.number + 1, kept | {d: folder for d in written}, held, schema.json()))  # batches held before are deleted by now
+    if indexed:
+        merge_index(spark, path)
 
 
 def _clean(spark: SparkSession, path: str, version: Version) -> None:

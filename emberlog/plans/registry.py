@@ -17,6 +17,7 @@ from emberlog.functions import text as X
 from emberlog.operators import admission as AD
 from emberlog.operators import aggregate as A
 from emberlog.operators import alerts as R
+from emberlog.operators import index as I
 from emberlog.operators import paging as L
 from emberlog.operators import pipelines as E
 from emberlog.operators import sinks as K
@@ -181,6 +182,35 @@ def _(s, d):
     return X.search_index(X.build_index(docs(s, d), F.col("message")), ["token er"])
 
 
+def segments(s: SparkSession, d: str) -> str:
+    """A store of documents in three batches with a segment each, of which the third replaces some rows, and a fourth that isn't indexed; merged in between."""
+    path, k = f"{shared(s)}/segments-{uuid.uuid4().hex}", F.col("id").cast("long")
+    for batch in range(3):
+        part = docs(s, d).where(k % 3 == batch)
+        if batch == 2:
+            part = part.unionByName(docs(s, d).where(k % 9 == 0).withColumns({"message": F.lit("replaced by nothing"), "received_at": F.col("received_at") + F.expr("INTERVAL 1 DAY")}))
+        K.write_logs(part, path, str(batch))
+        I.index_batch(s, path, str(batch))
+        if batch == 1:
+            K.compact(s, path)
+    K.write_logs(docs(s, d).where(k % 9 == 0).withColumns({"id": F.concat(F.lit("9-"), "id"), "received_at": F.col("received_at") + F.expr("INTERVAL 2 DAYS")}), path, "3")
+    return path
+
+
+SEGMENTS_SQL = """WITH d AS (SELECT CASE WHEN doc_id % 9 = 0 THEN '9-' || doc_id ELSE doc_id::VARCHAR END AS id, text, lang AS service FROM documents)
+SELECT {columns} FROM d WHERE contains({norm}, ' {first}') AND contains({norm}, ' {other}')"""
+
+
+@register("t4_segments", SEGMENTS_SQL.format(columns="id", norm=NORM_SQL, first="of the", other="an"), logs=False)
+def _(s, d):
+    return I.search_stored(s, segments(s, d), terms=["Of the", "an"]).select("id")
+
+
+@register("j1_segments", SEGMENTS_SQL.format(columns="id, service", norm=NORM_SQL, first="and the", other="w") + " AND service = 'en'", logs=False)
+def _(s, d):
+    return I.search_stored(s, segments(s, d), [("service", "=", "en")], ["and the", "w"]).select("id", "service")
+
+
 @register("j1_text_hits", f"SELECT doc_id::VARCHAR AS id, lang AS service FROM documents WHERE contains({NORM_SQL}, ' idiot')", logs=False)
 def _(s, d):
     df, path = docs(s, d), f"{shared(s)}/index-{uuid.uuid4().hex}"
@@ -405,12 +435,13 @@ def _(s, d):
     return K.read_logs(s, path).select("id", "message")
 
 
-@register("k6_purge_all", "SELECT id FROM logs WHERE ts > TIMESTAMP '9999-01-01'")
+@register("k6_purge_all", "SELECT id FROM logs WHERE event_id % 2 = 0")
 def _(s, d):
     path = f"{shared(s)}/purge-{uuid.uuid4().hex}"
     K.write_logs(events(s, d), path, "1")
     K.compact(s, path)
     K.purge(s, path, 1, at(400))
+    K.write_logs(K.read_logs(s, path).drop("dt", "ingest_batch").unionByName(events(s, d).where(F.col("id").cast("long") % 2 == 0)), path, "2")
     return K.read_logs(s, path).select("id")
 
 
