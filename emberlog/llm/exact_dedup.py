@@ -6,8 +6,8 @@ again and again; RocksDB keeps it on disk, its snapshots lie in the shared folde
 before is a hit: the whole bytes of its rows are compared, and rows that share a digest but not their bytes
 are grouped by their bytes instead.
 
-A run that was lost can be started again with the same rows and store: keys are written once, under a name that
-follows from the places of the rows, so that no row is counted twice.
+A store may be given rows that it has seen, as after a run that was lost, or with a table that has grown: rows are told
+by the file and place that they are stored at, and counted once. A store that no caller named is deleted.
 
 Defined results. Null texts count as empty. Null doc_ids are the smallest. Of rows that repeat both doc_id and
 text, the one stored last stays. An empty table gives an empty result. Extra columns pass through `deduplicate`.
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import located, marked, new_dir, settings, stage, table
+from emberlog.llm.common import located, marked, new_dir, remove, settings, stage, table
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -53,14 +53,21 @@ def _feed(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.option("basePath", f"{store}/state").parquet(f"{store}/state/*").groupBy("digest").agg(F.max(F.struct("n", "keep")).alias("s")).select("digest", "s.n", "s.keep")
 
 
+def _written(spark: SparkSession, store: str) -> list[str]:
+    """Folders of keys that were written to the end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/keys")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getParent().toString() for f in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{store}/keys/*/_SUCCESS")) or [])
+
+
 def _write_keys(keys: DataFrame, store: str) -> None:
-    """Writes the keys of these rows, unless they were written before, under a name that follows from the rows' places."""
+    """Writes the keys of the rows that the store hasn't seen, under a name that follows from the rows' places."""
     spark = keys.sparkSession
+    if known := _written(spark, store):  # a row is told by the place that it is stored at
+        keys = keys.join(spark.read.parquet(*known).select("file", "pos"), ["file", "pos"], "left_anti").select(*keys.columns)
     n, a, b = keys.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("file", "pos")), F.bit_xor(F.xxhash64(F.lit(1), "file", "pos"))).first()
-    path = f"{store}/keys/{n}-{(a or 0) & (1 << 64) - 1:016x}{(b or 0) & (1 << 64) - 1:016x}"
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        keys.write.mode("overwrite").parquet(path)
+    if n or not known:
+        keys.write.mode("overwrite").parquet(f"{store}/keys/{n}-{(a or 0) & (1 << 64) - 1:016x}{(b or 0) & (1 << 64) - 1:016x}")
 
 
 def decide(docs: DataFrame, *, store: str | None = None, digest=sha256) -> DataFrame:
@@ -98,6 +105,8 @@ def _decide(spark: SparkSession, rows: DataFrame, store: str | None = None, dige
         groups = exact.groupBy("digest", "t").agg(F.count(F.lit(1)).alias("n2"), F.max(F.struct("doc_id", "file", "pos")).alias("keep2"))
         exact = exact.join(groups, ["digest", "t"]).select("file", "pos", "n2", "keep2")
         found = found.join(exact, ["file", "pos"], "left").withColumns({"n": F.coalesce("n2", "n"), "keep": F.coalesce("keep2", "keep")})
+    if not again:
+        remove(spark, store)
     keep = F.coalesce(F.col("keep"), own)
     return found.select("doc_id", "file", "pos", keep["doc_id"].alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), ((keep["file"] == F.col("file")) & (keep["pos"] == F.col("pos"))).alias("kept"), F.col("sha").alias("text_sha256"))
 

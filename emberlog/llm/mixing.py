@@ -9,10 +9,10 @@ the arcs that leave the patterns' supply, so shortest augmenting paths are found
 Targets. Sources in code-point order, null last, weigh 5, 2, 1, repeating; together they get `share` times all
 words; a target stops at `most` times its source's words and what is left over goes to the others by weight.
 
-Targets are found on Spark. A pattern of one source that no pattern of more sources meets gives that source's
-target and stays on Spark, however many there are. Only patterns of two or more sources, and those of one that they
-meet, reach the driver for the flow, a row each; more than `max_shared` patterns of two or more are refused with an
-error, as are more than `max_patterns` of any kind where a caller gives that limit.
+Targets are found on Spark. Patterns and sources that hang together, by patterns of two or more sources, make a
+component, found by joins; each component is one flow, solved by a task that holds its patterns, a row each, and never a
+document. Nothing of them reaches the driver. Callers may give limits: more than `max_shared` patterns of two or more
+sources, or `max_patterns` of any kind, are then refused with an error; without them there is none.
 
 Defined results. A null text has size 0, as has a blank one. A document without a source belongs to the source
 null. Null doc_ids sort first. Rows that repeat doc_id and size are taken or left together at the boundary. An
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 from collections import deque
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberlog.llm.common import stage, table, text_of
+from emberlog.llm.components import components
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, "mix-1"
 BUCKETS = (3, 6)  # digits of the order by which the cut is narrowed down, to a 16 millionth of a source
@@ -125,23 +127,47 @@ def flow(supply: dict[str, int], members: dict[str, list[str | None]], demand: d
     return used
 
 
-def _served(supply: DataFrame, wanted: DataFrame, most: int, max_shared: int) -> DataFrame:
-    """(key, given) of the patterns of two or more sources, and of those of one source that they meet, by the flow."""
-    spark = supply.sparkSession
-    many = supply.where(F.size("members") > 1)
-    rows = many.limit(max_shared + 1).collect()
-    if len(rows) > max_shared:
-        raise ValueError(f"more than {max_shared} membership patterns of two or more sources")
-    given: dict[str, int] = {}
-    if rows:
-        met = many.select(F.explode("members").alias("met")).distinct()
-        rows += supply.where(F.size("members") == 1).join(met, F.col("members")[0].eqNullSafe(F.col("met")), "left_semi").collect()
-        demand = {r.source: int(r.target) for r in wanted.join(met, F.col("source").eqNullSafe(F.col("met")), "left_semi").collect()}
-        given = flow({r.key: r.n for r in rows}, {r.key: r.members for r in rows}, demand, most)
-    return spark.createDataFrame(pa.table({"key": pa.array(list(given), pa.string()), "given": pa.array(list(given.values()), pa.int64())}))
+def _of_source(source: Column) -> Column:
+    """The key of the pattern of one source, which also names the source in the graph of patterns."""
+    return F.to_json(F.array(source))
 
 
-def plan(sized: DataFrame, *, share: float = SHARE, most: int = MOST, max_patterns: int | None = None, max_shared: int = 4096) -> DataFrame:
+def _served(supply: DataFrame, wanted: DataFrame, most: int, max_shared: int | None) -> DataFrame:
+    """(key, given) of every pattern, by the flow of its component."""
+    many = supply.where(F.size("members") > 1)
+    if max_shared is not None and many.limit(max_shared + 1).count() > max_shared:
+        raise ValueError(f"more than {max_shared} membership patterns of two or more sources")
+    asked = supply.select("key", "n", F.explode("members").alias("member")).join(wanted, F.col("member").eqNullSafe(F.col("source")))
+    asked = asked.groupBy("key", "n").agg(F.to_json(F.collect_list(F.struct("source", F.floor("target").cast("long").alias("target")))).alias("asks"))
+    if many.isEmpty():
+        asked = asked.withColumn("component", F.col("key"))
+    else:
+        edges = many.select(F.col("key").alias("u"), F.explode("members").alias("member")).select("u", _of_source(F.col("member")).alias("v"))
+        asked = asked.join(components(edges), F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key"))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def solved() -> pa.RecordBatch:
+            members = {key: [x.get("source") for x in asks] for key, _, asks in rows}
+            demand = {x.get("source"): x["target"] for _, _, asks in rows for x in asks}
+            given = flow({key: n for key, n, _ in rows}, members, demand, most)
+            return pa.RecordBatch.from_arrays([pa.array(list(given), pa.string()), pa.array(list(given.values()), pa.int64())], names=["key", "given"])
+
+        for b in batches:
+            for component, key, n, asks in zip(*(b.column(c).to_pylist() for c in ("component", "key", "n", "asks")), strict=True):
+                if component != now and rows:
+                    yield solved()
+                    rows.clear()
+                now = component
+                rows.append((key, n, json.loads(asks)))
+        if rows:
+            yield solved()
+
+    return asked.repartition("component").sortWithinPartitions("component", "key").mapInArrow(solve, "key string, given long")
+
+
+def plan(sized: DataFrame, *, share: float = SHARE, most: int = MOST, max_patterns: int | None = None, max_shared: int | None = None) -> DataFrame:
     """A row per pattern: key, source_size, target (of its first source), passes, cut.
 
     sized: key (JSON of the sources), doc_id, size, h. A document is read `passes` times, and once more if
@@ -152,9 +178,7 @@ def plan(sized: DataFrame, *, share: float = SHARE, most: int = MOST, max_patter
         raise ValueError(f"more than {max_patterns} membership patterns")
     sizes = supply.select(F.explode("members").alias("source"), "n").groupBy("source").agg(F.sum("n").alias("size"))
     wanted = stage(targets_of(sizes, share, most), "mix-targets")
-    served = _served(supply, wanted, most, max_shared)
-    own = supply.join(wanted, F.col("members")[0].eqNullSafe(F.col("source"))).join(served, "key", "left")
-    own = own.withColumn("given", F.coalesce("given", F.floor("target").cast("long")))
+    own = supply.join(wanted, F.col("members")[0].eqNullSafe(F.col("source"))).join(_served(supply, wanted, most, max_shared), "key")
     passes = F.when(F.col("n") > 0, F.expr("given div n")).otherwise(F.lit(0)).cast("long")
     own = own.withColumn("passes", passes).select("key", F.col("size").alias("source_size"), "target", "passes", (F.col("given") - F.col("passes") * F.col("n")).alias("rest"))
     own = stage(own, "mix-passes")
