@@ -118,8 +118,8 @@ def backtest_rule(df: DataFrame, rule: Rule, start: datetime, end: datetime) ->
     t = F.unix_micros("ts") - F.lit(first - width)
     at = (2 * F.floor(t / F.lit(pane)) + F.when(F.pmod(t, F.lit(pane)) == 0, 0).otherwise(1)).cast("long").alias("node")
     names = [name_of(f) for f in rule.by]
-    keys = [text_of(f).alias(x) for f, x in zip(rule.by, names, strict=True)]
-    named = [F.col(f"`{x}`") for x in names]
+    keys = [text_of(f).alias(f"_by{i}") for i, f in enumerate(rule.by)]  # a field may have the name of any column below
+    named = [F.col(f"_by{i}") for i in range(len(keys))]
     distinct = rule.measure[0] == "dc"
     if distinct:
         held = matching.select(at, *keys, text_of(rule.measure[1]).alias("v")).where("v is not null").distinct()
@@ -138,7 +138,7 @@ def backtest_rule(df: DataFrame, rule: Rule, start: datetime, end: datetime) ->
     wanted = spine.select("k", F.explode(_nodes(to - back, to, levels)).alias("p")).select("k", "p.level", "p.node")
     met = wanted.join(wide, ["level", "node"]).groupBy("k", *named)
     grouped = met.agg(value.alias("v_")) if distinct else met.agg(*merge).withColumn("v_", value)
-    labels = F.create_map(*[x for f in names for x in (F.lit(f), F.coalesce(F.col(f"`{f}`"), F.lit("")))]) if names else F.create_map().cast("map<string,string>")
+    labels = F.create_map(*[x for f, c in zip(names, named, strict=True) for x in (F.lit(f), F.coalesce(c, F.lit("")))]) if names else F.create_map().cast("map<string,string>")
     rows = grouped.select("k", F.col("v_").cast("double").alias("v"), group_label(labels).alias("label")).where("v is not null")
     extreme = F.min("v") if rule.op in ("lt", "lte") else F.max("v")
     breach = condition(F.col("v"), rule.op, rule.value)
