@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
+from math import gcd
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from emberlog.operators import pipelines as E
 from emberlog.operators import sinks as K
 from emberlog.schema import LOGS, events, load_logs
 from emberlog.sources import otlp, readers, syslog
+from emberlog.streaming import rules as SR
 from emberlog.streaming import streams as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -755,6 +757,24 @@ def _(s, d):
     return plain(s.read.schema(rows.schema).parquet(f"{work}/out"))
 
 
+def timers_sql(rule: R.Rule, where: str) -> str:
+    """The evaluations that the watermark has passed by a pane."""
+    return f"""SELECT * FROM ({evals_sql(rule, where)}) WHERE "at" + INTERVAL {gcd(rule.interval_s, rule.window_s)} SECOND <= (SELECT max(ts) FROM logs) - INTERVAL 10 MINUTE"""
+
+
+@register("w7_timers", timers_sql(COUNT_RULE, "level = 'error'") + "\nUNION ALL " + timers_sql(DEAD_RULE, "service = 'purchase'"))
+def _(s, d):
+    stream, work = _stream(s, d)
+    start, _ = whole(s, d)
+    parts = []
+    with SR.store(s):
+        for rule in (COUNT_RULE, DEAD_RULE):
+            rows = SR.evaluate_stream(stream, rule, start).drop("groups")
+            rows.writeStream.option("checkpointLocation", f"{work}/ck-{rule.id}").trigger(availableNow=True).format("parquet").start(f"{work}/{rule.id}").awaitTermination()
+            parts.append(s.read.schema(rows.schema).parquet(f"{work}/{rule.id}"))
+    return plain(parts[0].unionByName(parts[1]))
+
+
 def requests(s: SparkSession, d: str) -> DataFrame:
     return tbl(s, d, "events").select("event_id", F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.lit(1).cast("long").alias("events"), (F.col("event_id") % 1000).alias("bytes"))
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime
 from functools import reduce
 from math import gcd
@@ -21,7 +22,7 @@ from operator import and_
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -32,6 +33,19 @@ from emberlog.operators.alerts import EVALUATIONS, OPS, Rule, group_label
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
+@contextmanager
+def store(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started within keep their state in RocksDB, which timers need."""
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    try:
+        for k, v in STORE.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _matches(stream: DataFrame, rule: Rule) -> Column:
     conditions = [f if isinstance(f, Column) else held(*f, columns=stream.columns) for f in rule.filters]
     if rule.terms:
@@ -132,7 +146,7 @@ class _Timers(StatefulProcessor):
 def evaluate_stream(stream: DataFrame, rule: Rule, start: datetime, watermark: str = "10 minutes") -> DataFrame:
     """The evaluations (see EVALUATIONS) of a rule at start and every interval after it, each once the watermark has passed it by a pane.
 
-    start is a whole second. The session keeps state in RocksDB (see STORE). One task holds a rule's panes of a window, not its rows.
+    start is a whole second. Start the stream within `store`. One task holds a rule's panes of a window, not its rows.
     """
     rule.validate()
     spark = stream.sparkSession

@@ -41,17 +41,11 @@ def written(spark, make_logs, tmp_path_factory):
 @pytest.mark.parametrize("rule", RULES, ids=lambda r: r.id)
 def test_stream_is_the_backtest(spark, written, tmp_path, rule):
     df, path = written
-    before = {k: spark.conf.get(k, None) for k in SR.STORE}
-    for k, v in SR.STORE.items():
-        spark.conf.set(k, v)
-    try:
+    with SR.store(spark):
         start = BASE + timedelta(minutes=2)
         out = SR.evaluate_stream(W.read_logs_stream(spark, path, per_batch=1), rule, start, "2 minutes")
         out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
         got = sorted((r.at, r.value, r.firing, [(g.label, g.value) for g in r.groups]) for r in spark.read.schema(out.schema).parquet(str(tmp_path / "out")).collect())
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     last = df.agg(F.max("ts")).first()[0]
     want = sorted((r.at, r.value, r.firing, [(g.label, g.value) for g in r.groups]) for r in R.backtest_rule(df, rule, start, BASE + timedelta(minutes=81)).collect())
     pane = __import__("math").gcd(rule.window_s, rule.interval_s)
