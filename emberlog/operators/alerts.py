@@ -90,6 +90,8 @@ def _partial(m: tuple) -> tuple[list[Column], list[Column], Column]:
         raise ValueError(f"{func} needs a field")
     if func == "count":
         return [F.count(F.lit(1)).alias("n")], [F.sum("n").alias("n")], F.col("n")
+    if func == "adc":  # sketches of a pane's values, of a few kB however many there are
+        return [F.hll_sketch_agg(text_of(field), 12).alias("x")], [F.hll_union_agg("x").alias("x")], F.hll_sketch_estimate("x")
     real = real_of(field)
     if func in ("sum", "avg"):
         value = F.col("x") if func == "sum" else F.try_divide("x", "n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -50,10 +51,35 @@ def latest_by_id(df: DataFrame, batch: str | None = None) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where("_k = 1").drop("_k")
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """df, cut from its lineage in the shared folder; in local mode without one, in a temporary folder."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 def daily_usage(df: DataFrame, key: str = "key", events: str = "events", size: str = "bytes") -> DataFrame:
-    """df with the running events and bytes of each key and UTC day."""
-    w = Window.partitionBy(key, F.to_date("ts")).orderBy("ts", *ties(df, key, "ts")).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({"events_so_far": F.sum(events).over(w), "bytes_so_far": F.sum(size).over(w)})
+    """df with the running events and bytes of each key and UTC day.
+
+    Rows are dealt out by ranges of key, day and time, so that a key of any size goes to as many tasks as it fills; sums within
+    a task's range are raised by what the ranges before it have of the same key and day.
+    """
+    by, sums = [F.col(f"`{key}`"), F.to_date("ts").alias("_day")], {"events_so_far": events, "bytes_so_far": size}
+    order = [by[0], F.to_date("ts"), F.col("ts"), *ties(df, key, "ts")]
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_at": F.monotonically_increasing_id(), "_day": F.to_date("ts")})
+    ranged = _written(ranged).withColumn("_part", F.shiftright("_at", 33))
+    part = Window.partitionBy("_part", by[0], "_day").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    held = ranged.groupBy(by[0].alias("_key"), "_day", "_part").agg(*[F.sum(f"`{c}`").alias(f"_{name}") for name, c in sums.items()])
+    before = Window.partitionBy("_key", "_day").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    raised = held.withColumns({f"_{name}": F.sum(f"_{name}").over(before) for name in sums}).where(" or ".join(f"_{name} is not null" for name in sums))
+    raised = F.broadcast(raised.withColumnRenamed("_day", "_of").withColumnRenamed("_part", "_in"))  # a row at most for each range: the key and day that go on in it
+    own = ranged.withColumns({name: F.sum(f"`{c}`").over(part) for name, c in sums.items()})
+    met = own.join(raised, (F.col("_part") == F.col("_in")) & by[0].eqNullSafe(F.col("_key")) & F.col("_day").eqNullSafe(F.col("_of")), "left")
+    return met.select(*[F.col(f"`{c}`") for c in df.columns], *[F.when(F.col(name).isNull() & F.col(f"_{name}").isNull(), F.lit(None)).otherwise(F.coalesce(name, F.lit(0)) + F.coalesce(f"_{name}", F.lit(0))).alias(name) for name in sums])
 
 
 def unsent(df: DataFrame, sent: DataFrame) -> DataFrame:

@@ -757,6 +757,30 @@ def _(s, d):
     return plain(s.read.schema(rows.schema).parquet(f"{work}/out"))
 
 
+@register("w2_from_seam", "SELECT id FROM logs WHERE id > (SELECT max(id) FROM logs WHERE ts < TIMESTAMP '2024-01-16') UNION ALL (SELECT id FROM logs WHERE ts < TIMESTAMP '2024-01-16' ORDER BY ts DESC, id DESC LIMIT 50)")
+def _(s, d):
+    stream, work = _stream(s, d)
+    history = s.read.schema(LOGS).parquet(f"{work}/in").where(F.col("ts") < F.lit(at(15)))
+    for _ in range(2):  # the second is a restart
+        W.follow(history, stream, lambda b, k: b.select("id").write.mode("overwrite").parquet(f"{work}/out/batch={k}"), f"{work}/ck").awaitTermination()
+    return s.read.schema("id string").parquet(f"{work}/out").select("id")
+
+
+@register("l6_hot_key", "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN user_id::VARCHAR ELSE 'hot' END AS key, count(*) OVER w AS events_so_far, (sum(event_id % 1000) OVER w)::BIGINT AS bytes_so_far FROM logs WINDOW w AS (PARTITION BY CASE WHEN event_id % 10 = 0 THEN user_id::VARCHAR ELSE 'hot' END, ts::DATE ORDER BY ts, event_id % 1000, event_id ROWS UNBOUNDED PRECEDING)")
+def _(s, d):
+    hot = requests(s, d).withColumn("key", F.when(F.col("event_id") % 10 == 0, F.col("key")).otherwise("hot"))
+    return L.daily_usage(hot).select("event_id", "key", "events_so_far", "bytes_so_far")
+
+
+SOURCES_RULE = R.Rule("sources", "Sources", "gt", 8, measure=("adc", "source"), window_s=3600, interval_s=1800)
+
+
+@register("g4_rule_sketches", evals_sql(SOURCES_RULE, "true").replace("count(id)", "count(DISTINCT source)"))
+def _(s, d):
+    """Distinct sources of an hour by sketches of half hours, which count some hundred values exactly."""
+    return plain(R.backtest_rule(events(s, d), SOURCES_RULE, *whole(s, d)).drop("groups"))
+
+
 def timers_sql(rule: R.Rule, where: str) -> str:
     """The evaluations that the watermark has passed by a pane."""
     return f"""SELECT * FROM ({evals_sql(rule, where)}) WHERE "at" + INTERVAL {gcd(rule.interval_s, rule.window_s)} SECOND <= (SELECT max(ts) FROM logs) - INTERVAL 10 MINUTE"""

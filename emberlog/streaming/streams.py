@@ -59,10 +59,28 @@ def backfill_then_tail(history: DataFrame, stream: DataFrame, sink: Callable[[Da
     return tail(stream, filters, terms).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, k: sink(unsent(batch, sent), k)).start()
 
 
+def follow(history: DataFrame, stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, filters: Iterable = (), terms: Iterable[str] = (), n: int = 50) -> StreamingQuery:
+    """Gives the last matches of history to sink as batch -1, then what comes after it; ids sort by the time of receipt.
+
+    Where history ends is kept with the checkpoint, so that a restart gives neither history again nor leaves out what came in between.
+    """
+    spark, filters, terms = history.sparkSession, list(filters), list(terms)
+    seam = f"{checkpoint}-seam"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{seam}/_SUCCESS")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        end = history.agg(F.max("id").alias("id"))
+        sink(backfill(history, filters, terms, n), -1)
+        end.coalesce(1).write.mode("overwrite").parquet(seam)
+    last = spark.read.schema("id string").parquet(seam).first()
+    live = tail(stream, filters, terms)
+    live = live.where(F.col("id") > last.id) if last is not None and last.id is not None else live
+    return live.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
+
+
 def dedupe_batches(stream: DataFrame, minutes: int = 10) -> DataFrame:
-    """Rows (batch_id, line_no, received_at, ...) without retries of a batch within so many minutes; null ids pass."""
-    named = stream.where("batch_id is not null").withWatermark("received_at", f"{minutes} minutes").dropDuplicatesWithinWatermark(["batch_id", "line_no"])
-    return named.union(stream.where("batch_id is null").select(*named.columns))
+    """Rows (batch_id, line_no, received_at, ...) without retries of a batch within so many minutes; null and empty ids pass."""
+    named = stream.where("batch_id <> ''").withWatermark("received_at", f"{minutes} minutes").dropDuplicatesWithinWatermark(["batch_id", "line_no"])
+    return named.union(stream.where("batch_id is null or batch_id = ''").select(*named.columns))
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
