@@ -33,8 +33,8 @@ class Bucket:
         return True
 
 
-def _fold(df: DataFrame, decide, extra: list[T.StructField]) -> DataFrame:
-    """decide: makes, for a new key, a function of (seconds, events, bytes) that gives the extra columns."""
+def _fold(df: DataFrame, decide, extra: list[T.StructField], by_day: bool = False) -> DataFrame:
+    """by_day: whether days of a key may go to different tasks. decide: makes, for a new key, a function of (seconds, events, bytes) that gives the extra columns."""
     schema = T.StructType([*df.schema.fields, *extra])
     names = [f.name for f in extra]
 
@@ -51,7 +51,8 @@ def _fold(df: DataFrame, decide, extra: list[T.StructField]) -> DataFrame:
                 out.append(of(t, e, b))
             yield pdf.assign(**{c: [x[i] for x in out] for i, c in enumerate(names)})
 
-    return df.repartition("key").sortWithinPartitions("key", "ts", *ties(df, "key", "ts")).mapInPandas(run, schema)
+    dealt = df.repartition(F.col("key"), F.to_date("ts")) if by_day else df.repartition("key")
+    return dealt.sortWithinPartitions("key", "ts", *ties(df, "key", "ts")).mapInPandas(run, schema)
 
 
 def token_bucket(df: DataFrame, rate: float, burst: float | None = None) -> DataFrame:
@@ -89,7 +90,7 @@ def quota_flags(df: DataFrame, *, rate: float | None = None, burst: float | None
 
         return one
 
-    return _fold(df, decide, [T.StructField("refused", T.StringType())])
+    return _fold(df, decide, [T.StructField("refused", T.StringType())], by_day=rate is None)
 
 
 def retried(df: DataFrame, minutes: int = 10) -> DataFrame:

@@ -24,6 +24,7 @@ from emberlog.operators import pipelines as E
 from emberlog.operators import sinks as K
 from emberlog.schema import LOGS, events, load_logs
 from emberlog.sources import otlp, readers, syslog
+from emberlog.streaming import admission as SA
 from emberlog.streaming import rules as SR
 from emberlog.streaming import streams as W
 
@@ -845,6 +846,36 @@ def _(s, d):
     return plain(AD.quota_flags(requests(s, d), max_bytes=2000, max_events=5))
 
 
+def decided_sql(name: str, also: str = "false") -> str:
+    """What a stream has decided of a batch query's rows: those that the watermark has passed."""
+    return f"SELECT * FROM ({SQL[name]}) WHERE ts < (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 10 MINUTE OR {also}"
+
+
+def _decided(s: SparkSession, rows: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows, written in order of time, as a stream that is decided and read back."""
+    work = f"{shared(s)}/decided-{uuid.uuid4().hex}"
+    W.write_in_order(rows, f"{work}/in")
+    out = decide(s.readStream.schema(rows.schema).parquet(f"{work}/in"))
+    with SR.store(s):
+        out.writeStream.option("checkpointLocation", f"{work}/ck").trigger(availableNow=True).format("parquet").start(f"{work}/out").awaitTermination()
+    return plain(s.read.schema(out.schema).parquet(f"{work}/out"))
+
+
+@register("w9_stream", decided_sql("w9_token_bucket"), logs=False)
+def _(s, d):
+    return _decided(s, requests(s, d), lambda x: SA.token_bucket_stream(x, 1 / 7200, 2))
+
+
+@register("w10_stream", decided_sql("w10_quota"), logs=False)
+def _(s, d):
+    return _decided(s, requests(s, d), lambda x: SA.quota_stream(x, max_bytes=2000, max_events=5))
+
+
+@register("w4_stream", decided_sql("w4_batch_retries", "batch_id = ''"), logs=False)
+def _(s, d):
+    return _decided(s, requests(s, d).select("event_id", "ts", F.when(F.col("key").cast("long") % 7 == 0, "").otherwise(F.col("key")).alias("batch_id")), SA.retried_stream)
+
+
 @register("l7_level_changes", """SELECT id, source, state, lag(state) OVER w AS previous, CASE WHEN state = 'firing' THEN lag(state) OVER w IS DISTINCT FROM 'firing' ELSE state = 'ok' AND coalesce(lag(state) OVER w = 'firing', false) END AS notify
 FROM (SELECT id, source, ts, CASE WHEN service = 'view' THEN 'unknown' WHEN level = 'error' THEN 'firing' ELSE 'ok' END AS state FROM logs) WINDOW w AS (PARTITION BY source ORDER BY ts, id)""")
 def _(s, d):
