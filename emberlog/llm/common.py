@@ -112,7 +112,7 @@ def marked(rows: DataFrame, places: DataFrame, keep: bool = True) -> DataFrame:
     maps = places.groupBy("file", bucket.alias("bucket")).agg(F.bitmap_construct_agg(F.col("pos").bitwiseAND(MAP_BITS - 1)).alias("map"))
     maps = stage(maps, "places")
     if maps.limit(MOST_MAPS + 1).count() > MOST_MAPS:
-        return rows.join(places.distinct().hint("shuffle_hash"), ["file", "pos"], "left_semi" if keep else "left_anti")
+        return rows.join(places.distinct(), ["file", "pos"], "left_semi" if keep else "left_anti")
     at = F.col("pos").bitwiseAND(MAP_BITS - 1)
     byte = F.conv(F.hex(F.substring("map", F.shiftright(at, 3).cast("int") + 1, 1)), 16, 10).cast("int")
     set_ = F.coalesce(F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1, F.lit(False))

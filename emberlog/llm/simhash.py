@@ -298,14 +298,20 @@ def _prints(rows: DataFrame, shingles: bool) -> DataFrame:
 
 
 def candidates(prints: DataFrame) -> DataFrame:
-    """(file, pos, doc_id, class) of rows that share a near fingerprint with others, of a frame with prints."""
-    each = prints.select(F.xxhash64("file", "pos").alias("node"), F.posexplode("prints").alias("k", "fp")).withColumn("k", F.col("k").cast("long"))
-    counted = stage(each.groupBy("k", "fp").agg(F.count(F.lit(1)).alias("n")), "simhash-fps")
+    """(file, pos, doc_id, node, class) of rows that share a near fingerprint with others, of a stored frame with prints and node, a number of each row from 0.
+
+    In the graph fingerprints have numbers of their own, below 0.
+    """
+    each = prints.select("node", F.posexplode("prints").alias("k", "fp")).withColumn("k", F.col("k").cast("long"))
+    counted = stage(each.groupBy("k", "fp").agg(F.count(F.lit(1)).alias("n")).withColumn("id", -1 - F.monotonically_increasing_id()), "simhash-fps")
     near = stage(links(counted.select("k", "fp")), "simhash-links")
-    busy = stage(near.select("k", F.explode(F.array("u", "v")).alias("fp")).unionByName(counted.where("n > 1").select("k", "fp")).distinct(), "simhash-busy")
-    held = each.join(busy, ["k", "fp"]).select(F.col("node").alias("u"), F.xxhash64("k", "fp").alias("v"))
-    found = components(held.unionByName(near.select(F.xxhash64("k", "u").alias("u"), F.xxhash64("k", "v").alias("v"))))
-    return prints.select("file", "pos", "doc_id", F.xxhash64("file", "pos").alias("node")).join(found, "node").select("file", "pos", "doc_id", "node", F.col("component").alias("class"))
+    of = lambda end: counted.select("k", F.col("fp").alias(end), F.col("id").alias(f"{end}_id"))
+    near = stage(near.join(of("u"), ["k", "u"]).join(of("v"), ["k", "v"]).select("k", "u", "v", "u_id", "v_id"), "simhash-numbered")
+    ends = near.select("k", F.explode(F.array(F.struct(F.col("u").alias("fp"), F.col("u_id").alias("id")), F.struct(F.col("v").alias("fp"), F.col("v_id").alias("id")))).alias("e")).select("k", "e.fp", "e.id")
+    busy = stage(ends.unionByName(counted.where("n > 1").select("k", "fp", "id")).distinct(), "simhash-busy")
+    held = each.join(busy, ["k", "fp"]).select(F.col("node").alias("u"), F.col("id").alias("v"))
+    found = components(held.unionByName(near.select(F.col("u_id").alias("u"), F.col("v_id").alias("v"))))
+    return prints.select("file", "pos", "doc_id", "node").join(found, "node").select("file", "pos", "doc_id", "node", F.col("component").alias("class"))
 
 
 def _spread(flat: np.ndarray, sizes: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -393,8 +399,9 @@ def duplicates(rows: DataFrame, similarity: float = 0.8) -> DataFrame:
     similarity (see alike). Groups are what is linked, directly or not; the first row by (doc_id, place) stays.
     """
     located_ = rows.select(F.col("row.doc_id").alias("doc_id"), "file", "pos", F.col("row.text").alias("text"))
-    member = stage(candidates(stage(_prints(located_, False), "simhash-prints")), "simhash-members")
-    held = marked(located_.drop("doc_id"), member.select("file", "pos")).join(member.hint("shuffle_hash"), ["file", "pos"])
+    prints = stage(_prints(located_, False).withColumn("node", F.monotonically_increasing_id()), "simhash-prints")
+    member = stage(candidates(prints), "simhash-members")
+    held = marked(located_.drop("doc_id"), member.select("file", "pos")).join(member, ["file", "pos"])
     told = stage(_prints(held, True), "simhash-shingles")
     groups = told.select("doc_id", "file", "pos", "node").join(components(alike(told, similarity)), "node")
     stay = stage(groups.groupBy("component").agg(F.min(F.struct("doc_id", "file", "pos")).alias("stay")), "simhash-stay").select("stay.file", "stay.pos")
