@@ -124,6 +124,36 @@ class Model:
         return score
 
 
+@dataclass
+class Bag:
+    """Windows of words of n-grams. flat, owner: the n-grams of each word, by place among those with vectors; sizes: how many n-grams
+    a word has with those without; stream: the words of all texts; begins, ends: of each window in it."""
+
+    flat: np.ndarray
+    owner: np.ndarray
+    sizes: np.ndarray
+    stream: np.ndarray
+    begins: np.ndarray
+    ends: np.ndarray
+
+    def scores(self, vec: np.ndarray, layer: np.ndarray) -> np.ndarray:
+        """Of each window, but for the bias."""
+        words = np.bincount(self.owner, (vec @ layer)[self.flat], len(self.sizes)) / self.sizes
+        total = np.concatenate(([0.0], np.cumsum(words[self.stream])))
+        return (total[self.ends] - total[self.begins]) / np.maximum(self.ends - self.begins, 1)
+
+    def gradients(self, vec: np.ndarray, layer: np.ndarray, bias: np.ndarray, z: np.ndarray, win: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float) -> tuple:
+        """Of the weighted log loss of the windows `win` with labels y, and of the decay, by vectors, layer and bias."""
+        g = weight * (1 / (1 + np.exp(-np.clip(z[win] + bias, -500, 500))) - y)
+        each = g / np.maximum(self.ends[win] - self.begins[win], 1)
+        delta = np.zeros(len(self.stream) + 1)
+        np.add.at(delta, self.begins[win], each)
+        np.add.at(delta, self.ends[win], -each)
+        by_word = np.bincount(self.stream, np.cumsum(delta)[:-1], len(self.sizes)) / self.sizes
+        by_bucket = np.bincount(self.flat, by_word[self.owner], len(vec))
+        return by_bucket[:, None] * layer + decay * vec, by_bucket @ vec + decay * layer, np.array([g.sum()])
+
+
 def train(texts: list[str | None], toxic: list[int], s: Settings = Settings()) -> Model:
     """Joint training of bucket vectors and layer; the gradient reaches the window that decides each text, and one more window of a clean text."""
     y = np.asarray(toxic, float)
@@ -169,21 +199,14 @@ def train(texts: list[str | None], toxic: list[int], s: Settings = Settings()) -
     vec = s.start * pull[live, None] * layer / (layer @ layer) + rng.normal(0, 0.1, (len(live), s.size))
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (vec, layer, bias)]
     weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) ** 0.5
+    bag = Bag(flat, owner, sizes, stream, begins, ends)
     for epoch in range(1, s.epochs + 1):
-        words = np.bincount(owner, (vec @ layer)[flat], len(ids)) / sizes
-        total = np.concatenate(([0.0], np.cumsum(words[stream])))
-        z = (total[ends] - total[begins]) / np.maximum(ends - begins, 1)
+        z = bag.scores(vec, layer)
         order = np.lexsort((z, doc))
         top = order[first[1:] - 1]
         extra = first[:-1] + (rng.random(len(seqs)) * np.diff(first)).astype(np.int64)
         win, dy, dw = np.concatenate((top, extra[y == 0])), np.concatenate((y, y[y == 0])), np.concatenate((weight, 0.5 * weight[y == 0]))
-        g = dw * (1 / (1 + np.exp(-np.clip(z[win] + bias, -500, 500))) - dy) / len(y)
-        delta = np.zeros(len(stream) + 1)
-        np.add.at(delta, begins[win], g / np.maximum(ends[win] - begins[win], 1))
-        np.add.at(delta, ends[win], -g / np.maximum(ends[win] - begins[win], 1))
-        by_word = np.bincount(stream, np.cumsum(delta)[:-1], len(ids)) / sizes
-        by_bucket = np.bincount(flat, by_word[owner], len(live))
-        grads = (by_bucket[:, None] * layer + s.decay * vec, by_bucket @ vec + s.decay * layer, np.array([g.sum()]))
+        grads = bag.gradients(vec, layer, bias, z, win, dy, dw / len(y), s.decay)
         for x, dx, (m, v) in zip((vec, layer, bias), grads, state, strict=True):
             m += 0.1 * (dx - m)
             v += 0.001 * (dx * dx - v)
