@@ -35,8 +35,8 @@ LEAST, TOP, SCALE, SUBSUMED = 10, 2000, 1_000_000, 50
 TILE, FULL, TILES = 256, 8, 16  # ranks of a tile's side; a tile is dense from TILE**2 / FULL pairs of a chunk; dense tiles of a language, a quarter of those of a task
 WORDS, PAIRS = 1 << 19, 1 << 21
 BITS = 1 << 27  # 16 MB
-CHUNK = 1 << 20  # bytes of text, and entries, that a task works on at a time
-HELD = 1 << 18  # different words that a task counts before it passes them on, and words of a sequence taken at a time
+CHUNK = 1 << 19  # bytes of text, and entries, that a task works on at a time
+HELD = 1 << 17  # different words that a task counts before it passes them on, and words of a sequence taken at a time
 PART = 1 << 20  # words of the corpus per part that counts are dealt out to
 SALTS = 64
 BREAK = b"\xff"  # in no UTF-8 text
