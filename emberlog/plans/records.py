@@ -392,10 +392,10 @@ def _(s, d):
     return plain(R.notifications(turned, [COUNT_RULE], channels).select("at", "channel", "missing"))
 
 
-@register("j4_ticks", """SELECT t AS "at", count(*)::DOUBLE AS value FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-06', INTERVAL 10 MINUTE)) AS t) JOIN logs ON ts BETWEEN t - INTERVAL 30 MINUTE AND t GROUP BY t""")
+@register("j4_ticks", f"""SELECT "at", count(*)::DOUBLE AS value FROM ({TICKS_SQL.format(i=600)}) JOIN logs ON ts BETWEEN "at" - INTERVAL 30 MINUTE AND "at" GROUP BY "at" """)
 def _(s, d):
     rule = R.Rule("all", "All", "gt", 0, window_s=1800, interval_s=600)
-    return plain(R.backtest_rule(events(s, d), rule, at(2), at(5)).where("value > 0").select("at", "value"))
+    return plain(R.backtest_rule(events(s, d), rule, *whole(s, d)).where("value > 0").select("at", "value"))
 
 
 @register("j3_pipelines_in_order", "SELECT id, CASE WHEN service = 'error' THEN 'b' ELSE 'a' END AS mark FROM logs")
