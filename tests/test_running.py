@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -28,6 +28,18 @@ def test_daily_usage_of_a_hot_key(spark):
     assert L.daily_usage(df.limit(0)).count() == 0
 
 
+def test_rule_sketches_of_many_values(spark, tmp_path):
+    """Thousands of sources in an hour: what the query gives is the exact count."""
+    from emberlog.plans.registry import QUERIES
+
+    rows = [(k, datetime(2024, 1, 1) + timedelta(milliseconds=1000 * k), k % 5000, "view", 1.0, '{"k": 1}') for k in range(7000)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.at: (r.value, r.firing) for r in QUERIES["g4_rule_sketches"](spark, str(tmp_path)).collect()}
+    for at, (value, firing) in got.items():
+        n = len({u for _, t, u, *_ in rows if at - timedelta(hours=1) <= t <= at})
+        assert value == n and firing == (n > 8)
+
+
 def test_sketches_of_panes(make_logs):
     """Few values are counted as exactly as by sets, many nearly; what panes hold doesn't grow with the values."""
     df = make_logs([(f"{k}", k / 10, "s", f"h{k % 900}" if k > 100 else f"h{k % 7}", "info", "m", "{}") for k in range(3000)])
