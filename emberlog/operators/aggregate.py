@@ -6,8 +6,10 @@ A measure is ("count",), ("count", field), or one of sum, avg, min, max, dc, adc
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +24,12 @@ NUMERIC = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
 WIDTHS = {"15m": "30s", "1h": "1m", "6h": "5m", "24h": "30m", "168h": "6h"}
 
 
+def _titled(func: str, field: str | None = None) -> str:
+    return func if field is None else f"{func}({field.removeprefix('attr.')})"
+
+
 def measure(func: str, field: str | None = None) -> Column:
-    name = func if field is None else f"{func}({field.removeprefix('attr.')})"
+    name = _titled(func, field)
     if func == "count":
         return F.count(F.lit(1)).alias(name)
     if field is None:
@@ -50,10 +56,22 @@ def _ordered(df: DataFrame, first: Column, names: Sequence[str]) -> DataFrame:
     return df.orderBy(first, *[F.col(f"`{n}`").asc_nulls_first() for n in names])
 
 
+def _grouped(df: DataFrame, measures: Sequence[tuple], by: Sequence[str]) -> DataFrame:
+    """A row per group. Sketches are made apart from exact distinct counts, whose aggregation would hold one for each value."""
+    kinds = {m[0] for m in measures}
+    if not {"dc", "adc"} <= kinds:
+        return df.groupBy(*_keys(by)).agg(*[measure(*m) for m in measures])
+    named = [k.alias(f"_by{i}") for i, k in enumerate(_keys(by))]
+    parts = [df.groupBy(*named).agg(*[measure(*m).alias(f"{side}{i}") for i, m in enumerate(measures) if (m[0] == "adc") == (side == "b")]) for side in "ab"]
+    one, other = parts[0], parts[1].withColumnsRenamed({f"_by{i}": f"_of{i}" for i in range(len(by))})
+    met = one.join(other, reduce(operator.and_, [F.col(f"_by{i}").eqNullSafe(F.col(f"_of{i}")) for i in range(len(by))])) if by else one.crossJoin(other)
+    values = [F.col(f"{'b' if m[0] == 'adc' else 'a'}{i}").alias(_titled(*m)) for i, m in enumerate(measures)]
+    return met.select(*[F.col(f"_by{i}").alias(name_of(f)) for i, f in enumerate(by)], *values)
+
+
 def stats(df: DataFrame, measures: Sequence[tuple], by: Sequence[str] = ()) -> DataFrame:
     """A row per group, the first measure falling; without keys one row, even of nothing."""
-    made = [measure(*m) for m in measures]
-    out = df.groupBy(*_keys(by)).agg(*made)
+    out = _grouped(df, measures, by)
     if not by:
         return out
     first = F.col(f"`{out.columns[len(by)]}`").desc()

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from emberlog.operators import aggregate as A
 from emberlog.operators import alerts as R
 from emberlog.operators import paging as L
 from emberlog.streaming import streams as W
@@ -40,6 +41,19 @@ def test_rule_sketches_of_many_values(spark, tmp_path):
         assert value == n and firing == (n > 8)
 
 
+def test_sketches_apart_from_exact_counts(make_logs):
+    """No sketch for each value: in the plan the approximate count isn't grouped by what is counted exactly; values are as before."""
+    df = make_logs([(f"{k}", k, None if k % 3 else "s", f"h{k % 40}", "info", "m", '{"k": 2}') for k in range(300)])
+    got = A.stats(df, [("dc", "source"), ("count",), ("adc", "source"), ("sum", "attr.k")], ["service"])
+    assert got.columns == ["service", "dc(source)", "count", "adc(source)", "sum(k)"]
+    assert [(r[0], r[1], r[2], r[4]) for r in got.collect()] == [("", 40, 200, 400.0), ("s", 40, 100, 200.0)]
+    assert all(abs(r[3] - 40) <= 4 for r in got.collect())
+    assert A.stats(df, [("adc", "source"), ("dc", "service")]).collect()[0]["dc(service)"] == 1
+    plan = got._jdf.queryExecution().optimizedPlan().toString() + got._jdf.queryExecution().executedPlan().toString()
+    assert not any("approx_count_distinct" in line and "distinct " in line.split("approx_count_distinct")[0] for line in plan.split("\n") if "Aggregate" in line)
+    assert not any("approx_count_distinct" in line and "count(" in line for line in plan.split("\n") if "Aggregate" in line)
+
+
 def test_sketches_of_panes(make_logs):
     """Few values are counted as exactly as by sets, many nearly; what panes hold doesn't grow with the values."""
     df = make_logs([(f"{k}", k / 10, "s", f"h{k % 900}" if k > 100 else f"h{k % 7}", "info", "m", "{}") for k in range(3000)])
