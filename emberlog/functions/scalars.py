@@ -28,10 +28,8 @@ SPELLINGS = {
 
 def level_norm(col: Column) -> Column:
     """The level of any usual spelling, `info` for others and null."""
-    name, out = F.lower(F.trim(col)), None
-    for level, spellings in SPELLINGS.items():
-        out = (F if out is None else out).when(name.isin(*spellings), level)
-    return out.otherwise("info")
+    known = F.create_map(*[F.lit(x) for level, spellings in SPELLINGS.items() for s in spellings for x in (s, level)])
+    return F.coalesce(F.try_element_at(known, F.lower(F.trim(col))), F.lit("info"))
 
 
 def level_rank(col: Column) -> Column:
@@ -76,14 +74,21 @@ def rfc3339(col: Column) -> Column:
     return F.when(F.rlike(col, F.lit(RFC3339)), F.try_to_timestamp(col))
 
 
+def time_text(v: Column) -> Column:
+    """What `time_of` reads of a variant; empty where it is missing, null or blank."""
+    return F.coalesce(F.trim(v.cast("string")), F.lit(""))
+
+
+def time_of(text: Column) -> Column:
+    """A timestamp of RFC 3339 or of an epoch number's text, null for anything else (as the text of booleans and nested values is)."""
+    number = F.when(F.rlike(text, F.lit(r"^[+-]?\d+(\.\d+)?([eE][+-]?\d+)?$")), epoch_to_ts(text.try_cast("decimal(38,9)")))
+    return F.coalesce(rfc3339(text), number)
+
+
 def ts_parse(v: Column) -> Column:
     """(ts, ok) of a variant: RFC 3339, or an epoch number or its text; null and blank are missing, which is ok."""
-    kind = F.schema_of_variant(v)
-    text = F.trim(v.cast("string"))
-    missing = v.isNull() | F.is_variant_null(v) | ((kind == "STRING") & (text == ""))
-    number = F.when(F.rlike(text, F.lit(r"^[+-]?\d+(\.\d+)?([eE][+-]?\d+)?$")), epoch_to_ts(text.try_cast("decimal(38,9)")))
-    ts = F.when(missing, F.lit(None).cast("timestamp")).when(kind.isin("STRING") | F.rlike(kind, F.lit("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")), F.coalesce(rfc3339(text), number))
-    return F.struct(ts.alias("ts"), (missing | ts.isNotNull()).alias("ok"))
+    text = time_text(v)
+    return bound(text, lambda t: bound(time_of(t), lambda ts: F.struct(ts.alias("ts"), ((t == "") | ts.isNotNull()).alias("ok"))))
 
 
 def event_id(ts: Column, *seed: Column) -> Column:

@@ -34,8 +34,7 @@ def first_present(record: Column, *keys: str) -> Column:
 
 def scalar_text(v: Column) -> Column:
     """The text of a JSON value: a string's own, empty for null, compact JSON for the rest."""
-    nested = F.rlike(F.schema_of_variant(v), F.lit("^(OBJECT|ARRAY)"))
-    return F.when(~S.present(v), "").when(nested, F.to_json(v)).otherwise(v.cast("string"))
+    return F.when(S.present(v), v.cast("string")).otherwise("")
 
 
 def fold(record: Column) -> Column:
@@ -54,17 +53,19 @@ def normalize(df: DataFrame, *, now: datetime, record: str = "record") -> tuple[
     r, at = F.col("_record.r"), F.lit(now)
     parsed = S.once(df, "_record", F.struct(F.col(record).alias("r")))
     parsed = S.once(parsed, "_found", F.struct(*[first_present(r, *keys).alias(name) for name, keys in ALIASES.items()]))
-    text = lambda name: F.coalesce(scalar_text(F.col("_found")[name]), F.lit(""))
-    parsed = S.once(parsed, "_ts", S.ts_parse(F.col("_found.time")))
+    texts = [F.coalesce(scalar_text(F.col("_found")[name]), F.lit("")).alias(name) for name in ALIASES if name != "time"]
+    parsed = S.once(parsed, "_text", F.struct(*texts, S.time_text(F.col("_found.time")).alias("time")))
+    text = lambda name: F.col("_text")[name]
+    parsed = S.once(parsed, "_ts", S.time_of(text("time")))
     early = F.col("error") if "error" in df.columns else F.lit(None).cast("string")
     reason = (
         F.when(early.isNotNull(), early)
         .when(r.isNull(), "not a JSON object")
-        .when(~F.col("_ts.ok"), "invalid timestamp")
-        .when(F.col("_ts.ts") > at + F.expr(f"INTERVAL {MAX_SKEW}"), f"invalid timestamp: more than {MAX_SKEW} in the future")
+        .when(F.col("_ts").isNull() & (text("time") != ""), "invalid timestamp")
+        .when(F.col("_ts") > at + F.expr(f"INTERVAL {MAX_SKEW}"), f"invalid timestamp: more than {MAX_SKEW} in the future")
     )
     parsed = parsed.withColumn("reason", reason)
-    ts = F.coalesce(F.col("_ts.ts"), at)
+    ts = F.coalesce(F.col("_ts"), at)
     seed = [F.col("value")] if "value" in df.columns else [F.to_json(r)]
     seed += [F.col(c) for c in ("file", "line_no") if c in df.columns]
     logs = parsed.where("reason is null").select(
@@ -78,7 +79,7 @@ def normalize(df: DataFrame, *, now: datetime, record: str = "record") -> tuple[
         fold(r).alias("attributes"),
         text("raw").alias("raw"),
     )
-    return logs.select(*COLUMNS), parsed.where("reason is not null").drop("_ts", "_found", "_record", record)
+    return logs.select(*COLUMNS), parsed.where("reason is not null").drop("_ts", "_text", "_found", "_record", record)
 
 
 def flatten_dotted(df: DataFrame, column: str) -> Column:
