@@ -1,7 +1,8 @@
 """An inverted index of stored logs that grows with them: a segment of postings for each batch, merged when days are compacted.
 
-A posting is a token's place in a row's text: (token, id, ingest_batch, pos), in order of tokens within a segment, so that a
-search reads the row groups that may hold its own. Phrases are found by places: words whose places less their ranks in
+A posting is a token's place in a row's text: (token, id, ingest_batch, pos). A segment is dealt out by rows, as they are read,
+and each of its files is in order of tokens, so that postings are neither sampled nor shuffled to be stored, a frequent token
+lies in all files, and a search reads the pages of each file that may hold its own. Phrases are found by places: words whose places less their ranks in
 the phrase agree. Nothing is deleted from a segment: a row that was replaced or purged is no longer among the current
 rows, which hits are joined with by id and batch. A small file names the segments and the writes of the batches in them;
 rows of batches that no segment holds as they are now are searched by their text, so that the answer is always that of a scan.
@@ -56,8 +57,19 @@ def _commit(spark: SparkSession, path: str, number: int, segments: dict) -> None
 
 
 def _write(rows: DataFrame, folder: str) -> None:
-    """A segment. Its files are cut within a frequent token too, as places of rows are part of the order."""
-    rows.repartitionByRange("token", "id", "pos").sortWithinPartitions("token", "id", "pos").write.option("parquet.bloom.filter.enabled#token", "true").mode("overwrite").parquet(folder)
+    """A segment, each file of it in order of tokens; all postings of a row of `rows` that a task reads stay in that task."""
+    rows.sortWithinPartitions("token", "id", "pos").write.option("parquet.bloom.filter.enabled#token", "true").mode("overwrite").parquet(folder)
+
+
+def _gone(spark: SparkSession, path: str, index: DataFrame, current: DataFrame) -> DataFrame:
+    """(id, ingest_batch) of indexed rows that are no longer current, stored, so that the planner knows whether they are few.
+
+    The first token of a row stands for it. Stored beside the segments, in none of which it is, for the next merge to delete.
+    """
+    folder = f"{path}/_index/segment-{uuid.uuid4().hex}"
+    rows = index.where("pos = 0").select("id", "ingest_batch")
+    rows.join(current.select("id", "ingest_batch"), ["id", "ingest_batch"], "left_anti").write.parquet(folder)
+    return spark.read.schema("id string, ingest_batch string").parquet(folder)
 
 
 def index_batch(spark: SparkSession, path: str, batch_id: str) -> None:
@@ -99,7 +111,8 @@ def merge_index(spark: SparkSession, path: str) -> None:
         return
     current = K.read_logs(spark, path)
     name = f"segment-{uuid.uuid4().hex}"
-    kept = _read(spark, path, segments).join(current.select("id", "ingest_batch"), ["id", "ingest_batch"], "left_semi").select("token", "id", "ingest_batch", "pos")
+    index = _read(spark, path, segments)
+    kept = index.join(_gone(spark, path, index, current), ["id", "ingest_batch"], "left_anti").select("token", "id", "ingest_batch", "pos")
     if lacking:
         kept = kept.unionByName(postings(current.where(F.col("ingest_batch").isin(lacking))))
     _write(kept, f"{path}/_index/{name}")
@@ -123,8 +136,10 @@ def find(index: DataFrame, terms: Iterable[str]) -> DataFrame:
     met = F.array_compact(F.array(*[F.when(is_word(w, last), F.struct(F.lit(j).alias("j"), F.lit(k).alias("k"))) for j, k, w, last in words]))
     met = index.select("id", "ingest_batch", "pos", F.explode(met).alias("m")).select("id", "ingest_batch", "m.j", "m.k", (F.col("pos") - F.col("m.k")).alias("begin"))
     sizes = F.element_at(F.array(*[F.lit(len(ws)) for ws in phrases]), F.col("j") + 1)
-    whole = met.groupBy("id", "ingest_batch", "j", "begin").agg(F.count_distinct("k").alias("n")).where(F.col("n") == sizes)
-    return whole.groupBy("id", "ingest_batch").agg(F.count_distinct("j").alias("n")).where(F.col("n") == len(phrases)).select("id", "ingest_batch")
+    longest = max(len(phrases), *map(len, phrases))
+    held = lambda c: F.bit_count(F.bit_or(F.expr(f"shiftleft(1L, {c})"))) if longest < 64 else F.count_distinct(c)  # noqa: E731  bits are merged where rows are read
+    whole = met.groupBy("id", "ingest_batch", "j", "begin").agg(held("k").alias("n")).where(F.col("n") == sizes)
+    return whole.groupBy("id", "ingest_batch").agg(held("j").alias("n")).where(F.col("n") == len(phrases)).select("id", "ingest_batch")
 
 
 def search_stored(spark: SparkSession, path: str, filters: Iterable = (), terms: Iterable[str] = (), start: datetime | None = None, end: datetime | None = None) -> DataFrame:
