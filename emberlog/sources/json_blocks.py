@@ -4,7 +4,8 @@ A file is read as rows that end at `}`, which Spark splits wherever it splits fi
 for both states it may begin in, inside and outside of a string: whether it turns the one into the other, by how much the
 depth of brackets changes, and how deep its closing brackets go. Windows over the blocks of a file compose the effects, so
 that a second pass knows the state that each block begins in and cuts its values by itself. Values that blocks divide are
-put together from their parts.
+put together from their parts. Effects and values are each worked out once and kept, values on the executors' disks, as both
+what is taken and what is rejected are read from them: until the session ends, or `spark.catalog.clearCache()`.
 
 A file whose first byte, but for blanks, is `[` is an array: its elements are values up to the first that is no JSON, which
 is one reject and ends the file, as does the closing bracket. Any other file, one with a byte order mark among them, holds values one after another: lines add up
@@ -21,31 +22,38 @@ import json
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions import scalars as S
 
 END = b"}"
 FEW = 100_000  # blocks of files that are composed at a time, and whose states are sent to all tasks
+TASKS = 1000  # of files taken by lines, at most
 PACKED = (".gz", ".gzip", ".deflate", ".bz2", ".zst", ".lz4", ".snappy")
 BLANK, BOM = b" \t\r\n", "\ufeff".encode()
 _blanks = re.compile(r"[ \t\r\n]*")
 _escaped = re.compile(rb"\\.", re.S)
 _step = np.zeros(256, np.int8)
 _step[[ord("{"), ord("[")]], _step[[ord("}"), ord("]")]] = 1, -1
+_marking = np.zeros(256, bool)
+_marking[list(b'"{}[],\n')] = True
 EFFECT = "file string, start long, file_size long, n long, turns int, d0 long, d1 long, low0 long, low1 long, first string"
 PIECE = "file string, line_no long, value string, length long, form string, part int"
 
 
-def _marks(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, whether each is inside of a string that isn't open at the start), escapes blanked out."""
+def _marks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of quotes, brackets, commas and ends of lines that aren't escaped, their bytes, whether each is inside of a string that isn't open at the start)."""
     x = np.frombuffer(_escaped.sub(b"  ", data) if b"\\" in data else data, np.uint8)
-    return x, (np.cumsum(x == 34, dtype=np.uint8) & 1).astype(bool)
+    at = np.flatnonzero(_marking[x])
+    x = x[at]
+    return at, x, (np.cumsum(x == 34, dtype=np.uint8) & 1).astype(bool)
 
 
 def _rows(spark: SparkSession, path) -> DataFrame:
@@ -58,23 +66,23 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple | None, b
     """(block, bytes, whether the block ends with them); of a block's last row its own bytes come last, without the `}` that may be missing."""
     key, held = None, None
     for b in batches:
-        files, starts, sizes = (b.column(c).to_pylist() for c in ("file", "start", "file_size"))
-        values = b.column("value").to_pylist()
-        k = 0
-        while k < len(values):
-            now = files[k], starts[k], sizes[k]
-            to = k
-            while to < len(values) and (files[to], starts[to]) == now[:2]:
-                to += 1
+        if not b.num_rows:
+            continue
+        files, starts, sizes, values = b.column("file").dictionary_encode(), b.column("start").to_numpy(), b.column("file_size"), b.column("value")
+        codes = files.indices.to_numpy()
+        turns = np.flatnonzero((np.diff(codes) != 0) | (np.diff(starts) != 0)) + 1
+        for k, to in pairwise([0, *turns.tolist(), b.num_rows]):
+            now = files.dictionary[int(codes[k])].as_py(), int(starts[k]), sizes[k].as_py()
             if now != key:
                 if key is not None:
                     yield key, held, True
                 key, held = now, None
-            mine = values[k:to] if held is None else [held, *values[k:to]]
-            held = mine.pop()
-            if mine:
-                yield key, END.join(mine) + END, False
-            k = to
+            front = b"" if held is None else held + END
+            if to - k > 1:
+                front += pc.binary_join(pa.ListArray.from_arrays([0, to - 1 - k], values[k : to - 1]), END)[0].as_py() + END
+            held = values[to - 1].as_py()
+            if front:
+                yield key, front, False
     if key is not None:
         yield key, held, True
 
@@ -91,16 +99,16 @@ def effects(rows: DataFrame) -> DataFrame:
             n += len(data)
             if first is None and (text := data.lstrip(BLANK)):
                 first = text[:1].decode("latin-1")
-            x, inside = _marks(data)
+            _, x, inside = _marks(data)
             step = _step[x]
-            for k in (0, 1):
+            for k in (0, 1) if len(x) else ():
                 own = np.where(inside ^ bool(turns ^ k), 0, step)
                 after = depth[k] + np.cumsum(own, dtype=np.int64)
                 closing = after[own < 0]
                 if len(closing):
                     low[k] = min(int(closing.min()), low[k] if low[k] is not None else int(closing.min()))
                 depth[k] = int(after[-1])
-            turns ^= int(inside[-1])
+            turns ^= int(inside[-1]) if len(x) else 0
             if last:
                 yield pa.RecordBatch.from_pylist([{"file": key[0], "start": key[1], "file_size": key[2], "n": n, "turns": turns, "d0": depth[0], "d1": depth[1], "low0": low[0], "low1": low[1], "first": first}], schema=pa.schema([("file", pa.string()), ("start", pa.int64()), ("file_size", pa.int64()), ("n", pa.int64()), ("turns", pa.int32()), *[(c, pa.int64()) for c in ("d0", "d1", "low0", "low1")], ("first", pa.string())]))
 
@@ -166,21 +174,22 @@ class _Cutter:
         if self.done or not data:
             self.at += len(data)
             return
-        x, inside = _marks(data)
+        at, x, inside = _marks(data)
         inside ^= self.inside
         step = np.where(inside, 0, _step[x])
         depth = self.depth + np.cumsum(step, dtype=np.int64)
-        self.inside, self.depth = bool(inside[-1]), int(depth[-1])
+        if len(x):
+            self.inside, self.depth = bool(inside[-1]), int(depth[-1])
         begin = 0
         if not self.begun:
-            opening = np.flatnonzero(step > 0)
+            opening = at[step > 0]
             if not len(opening):
                 self.at += len(data)
                 return
             begin, self.begun, self.midway, self.alone = int(opening[0]) + 1, True, False, True
             self.begin = self.at + begin
-        cuts = np.flatnonzero(~inside & (depth == self.level) & (x == (44 if self.array else 10)))
-        end = np.flatnonzero((step < 0) & (depth <= 0)) if self.array else cuts[:0]
+        cuts = at[~inside & (depth == self.level) & (x == (44 if self.array else 10))]
+        end = at[(step < 0) & (depth <= 0)] if self.array else cuts[:0]
         end = end[end >= begin]
         if len(end):
             cuts = np.append(cuts[cuts < end[0]], end[0])
@@ -240,7 +249,7 @@ def _text(column: pa.Array) -> pa.Array:
 
 def joined(found: DataFrame, max_bytes: int) -> DataFrame:
     """(file, line_no, value, length, form) with the parts of divided values put together; these are two for each block at most."""
-    names = ["file", "line_no", "value", "length", "form"]
+    names = [c for c in found.columns if c != "part"]
     parts = found.where("part > 0")
     order = Window.partitionBy("file").orderBy("line_no", "part")
     parts = parts.withColumn("run", F.sum((F.col("part") == 1).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -248,10 +257,15 @@ def joined(found: DataFrame, max_bytes: int) -> DataFrame:
     parts = parts.withColumn("total", length).withColumn("value", F.when(F.col("total") > max_bytes, F.substring("value", 1, 64)).otherwise(F.col("value")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "part", "value"))), lambda p: p["value"]), "")
     whole = parts.groupBy("file", "run").agg(F.min("line_no").alias("line_no"), text.alias("value"), F.max("total").alias("length"), F.first("form").alias("form"))
+    whole = whole.withColumn("_ok", _is_value(max_bytes)) if "_ok" in names else whole
     whole = whole.where((F.col("form") == "array") | (F.trim(F.translate("value", "\t\r\n", "   ")) != ""))
     return found.where("part = 0").select(*names).unionByName(whole.select(*names))
 
 
+def _is_value(max_bytes: int) -> Column:
+    return (F.col("length") > max_bytes) | S.json_value(F.col("value")).isNotNull()
+
+
 def _in_files(df: DataFrame, files: list[str], col="_metadata.file_path") -> DataFrame:
     if len(files) <= 1000:
         return df.where(F.col(col).isin(files))
@@ -259,8 +273,8 @@ def _in_files(df: DataFrame, files: list[str], col="_metadata.file_path") -> Dat
     return df.join(F.broadcast(known), F.col(col) == F.col("_file"), "left_semi")
 
 
-def by_lines(lines: DataFrame, max_bytes: int) -> DataFrame:
-    """(file, line_no, value, length) of files taken in order of lines (file, line_no, value), of which a task holds one value."""
+def by_lines(lines: DataFrame, files: list[str], max_bytes: int) -> DataFrame:
+    """(file, line_no, value, length) of files taken in order of lines (file, line_no, value), of which a task holds one value. Tasks get as many files each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = json.JSONDecoder(parse_constant=_no_constant)
@@ -269,7 +283,7 @@ def by_lines(lines: DataFrame, max_bytes: int) -> DataFrame:
             """Values of the front of rows; what may still go on stays, unless all rows are there."""
             text = "".join(v + "\n" for _, v in rows)
             begins = list(accumulate((len(v) + 1 for _, v in rows), initial=0))
-            sizes = list(accumulate((len(v.encode()) + 1 for _, v in rows), initial=0))
+            sizes = begins if text.isascii() else list(accumulate((len(v.encode()) + 1 for _, v in rows), initial=0))
             filled, k = len(text.rstrip(" \t\r\n")), 0
             while k < len(rows):
                 if not rows[k][1].strip(" \t\r"):
@@ -306,7 +320,10 @@ def by_lines(lines: DataFrame, max_bytes: int) -> DataFrame:
         if rows and (made := list(ready(rows, True))):
             yield batch(made)
 
-    ordered = lines.repartition("file").sortWithinPartitions("file", "line_no")
+    tasks = min(len(files), TASKS)
+    known = lines.sparkSession.createDataFrame([(f, k % tasks) for k, f in enumerate(sorted(files))], "_file string, _task int")
+    dealt = lines.join(F.broadcast(known), F.col("file") == F.col("_file")).repartitionById(tasks, F.col("_task"))
+    ordered = dealt.select("file", "line_no", "value").sortWithinPartitions("file", "line_no")
     return ordered.mapInArrow(run, "file string, line_no long, value string, length long")
 
 
@@ -343,7 +360,8 @@ def _fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_values(spark: SparkSession, path: str, *, max_bytes: int) -> DataFrame:
     """(file, line_no, value, error) of the files at path: a row per value, or per reject with what is wrong."""
-    known = compose(effects(_rows(spark, path)))
+    found = effects(_rows(spark, path)).persist()  # a row per block
+    known = compose(found)
     files = known.groupBy("file").agg(F.count(F.lit(1)).alias("n")).orderBy("file")
     groups, size = [[]], 0
     for r in files.toLocalIterator():  # groups of files, of which the states of all blocks are held at once
@@ -361,15 +379,16 @@ def read_values(spark: SparkSession, path: str, *, max_bytes: int) -> DataFrame:
         source = path if len(groups) == 1 else group
         made = _of_group(spark, source, states, max_bytes)
         out = made if out is None else out.unionByName(made)
+    found.unpersist()
     return out if out is not None else spark.createDataFrame([], "file string, line_no long, value string, error string")
 
 
 def _of_group(spark: SparkSession, path, states: dict, max_bytes: int) -> DataFrame:
     from emberlog.sources.readers import numbered
 
-    found = joined(pieces(spark, path, states, max_bytes), max_bytes)
+    cut = pieces(spark, path, states, max_bytes).withColumn("_ok", F.when(F.col("part") == 0, _is_value(max_bytes)))
+    found = joined(cut.persist(StorageLevel.DISK_ONLY), max_bytes)
     long = F.col("length") > max_bytes
-    found = S.once(found, "_ok", long | S.json_value(F.col("value")).isNotNull())
     # of arrays the first value that is none; of others whether there is one, or one so long that lines must tell
     bad = found.where(~F.col("_ok") | (long & (F.col("form") == "values"))).groupBy("file", "form").agg(F.min("line_no").alias("first"))
     bad = {(r.file, r.form): r.first for r in bad.toLocalIterator()}  # a row per file that is broken
@@ -393,5 +412,5 @@ def _of_group(spark: SparkSession, path, states: dict, max_bytes: int) -> DataFr
         lines = lines.join(F.broadcast(known), F.col("file") == F.col("marked"), "left")
         begins = F.col("marked").isNotNull() & (F.col("line_no") == 0)
         lines = lines.withColumn("value", F.when(begins, F.concat(F.lit(BOM.decode()), "value")).otherwise(F.col("value"))).drop("marked")
-    lines = by_lines(lines, max_bytes)
+    lines = by_lines(lines, by, max_bytes).persist(StorageLevel.DISK_ONLY)
     return kept.unionByName(lines.select("file", "line_no", "value", F.when(F.col("length") > max_bytes, F.lit(f"record longer than {max_bytes} bytes")).alias("error")))

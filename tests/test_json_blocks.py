@@ -143,3 +143,23 @@ def test_one_value_and_no_more(spark):
     rows = ['{"a":1}', ' {"a":1}\n', "3", '"x"', "null", "[]", '{"a":1} junk', '{"a":1}{"b":2}', '{"a":1},{"b":2}', "1],[2", "1],", '{"a":1}],[', "", " ", None, "[1", '{"a":NaN}']
     got = spark.createDataFrame([(k, v) for k, v in enumerate(rows)], "k int, v string").select("k", S.json_value(F.col("v")).isNotNull().alias("ok")).collect()
     assert [r.k for r in sorted(got) if r.ok] == [0, 1, 2, 3, 4, 5]
+
+
+def test_files_are_cut_once(spark, tmp_path):
+    """What is taken and what is rejected come from values that were cut and parsed once, not from files read again; a broken file has a task of its own."""
+    for k in range(5):  # one more than tasks of a shuffle
+        (tmp_path / f"bad{k}.json").write_text('{"a":\n1}\nno json\n{"b": "}"}\n')
+    (tmp_path / "array.json").write_text('[{"a": 1}, {"b": 2}, {oops}, {"c": 3}]')
+    (tmp_path / "good.json").write_text('{"a":\n1}\n{"b": 2}\n')
+    found = json_blocks.read_values(spark, str(tmp_path), max_bytes=1000)
+    leaves = found._jdf.queryExecution().withCachedData().collectLeaves()
+    assert {leaves.apply(k).nodeName() for k in range(leaves.size())} <= {"InMemoryRelation", "LogicalRDD", "LocalRelation"}
+    rows = found.select(F.element_at(F.split("file", "/"), -1).alias("name"), "value", "error", F.spark_partition_id().alias("task")).collect()
+    bad = {}
+    for r in rows:
+        if r.name.startswith("bad"):
+            bad.setdefault(r.task, set()).add(r.name)
+    assert len(bad) == 5 and all(len(names) == 1 for names in bad.values())
+    assert sorted(r.value for r in rows if r.name == "bad3.json") == ['no json', '{"a":\n1}', '{"b": "}"}']
+    assert sorted((r.value.strip(), r.error) for r in rows if r.name == "array.json") == [('{"a": 1}', None), ('{"b": 2}', None), ("{oops}", "invalid JSON array")]
+    assert sorted(r.value for r in rows if r.name == "good.json") == ['{"a":\n1}', '{"b": 2}']
