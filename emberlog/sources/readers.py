@@ -12,7 +12,7 @@ from emberlog.functions import scalars as S
 from emberlog.functions.scalars import event_id
 from emberlog.operators.normalize import normalize
 from emberlog.schema import COLUMNS
-from emberlog.sources.json_blocks import read_values
+from emberlog.sources.json_blocks import PACKED, read_values
 
 MAX_BYTES = 1 << 20
 RECORD = "map<string,variant>"
@@ -62,8 +62,15 @@ def numbered(df: DataFrame) -> DataFrame:
 
 
 def read_ndjson(spark: SparkSession, path: str, *, now: datetime, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
-    """One object a line; .gz and .deflate are decompressed. Blank lines are skipped."""
-    return parse_lines(numbered(spark.read.text(path)).where(F.trim("value") != ""), now=now, max_bytes=max_bytes)
+    """One object a line; .gz and .deflate are decompressed. Blank lines are skipped.
+
+    A packed file is read by one task, so its lines are dealt out before they are parsed; they have their places by then.
+    """
+    files = spark.read.text(path)
+    lines = numbered(files).where(F.trim("value") != "")
+    if any(f.lower().endswith(PACKED) for f in files.inputFiles()):
+        lines = lines.repartition("file", "line_no")
+    return parse_lines(lines, now=now, max_bytes=max_bytes)
 
 
 def read_json(spark: SparkSession, path: str, *, now: datetime, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:

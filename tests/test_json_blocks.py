@@ -163,3 +163,16 @@ def test_files_are_cut_once(spark, tmp_path):
     assert sorted(r.value for r in rows if r.name == "bad3.json") == ['no json', '{"a":\n1}', '{"b": "}"}']
     assert sorted((r.value.strip(), r.error) for r in rows if r.name == "array.json") == [('{"a": 1}', None), ('{"b": 2}', None), ("{oops}", "invalid JSON array")]
     assert sorted(r.value for r in rows if r.name == "good.json") == ['{"a":\n1}', '{"b": 2}']
+
+
+def test_packed_lines_are_dealt_out(spark, tmp_path):
+    """A packed file is read by one task; its lines are parsed by others, with the ids that their places give."""
+    with gzip.open(tmp_path / "a.gz", "wt") as f:
+        f.write("\n".join(json.dumps({"msg": f"m{k % 7}", "n": k}) for k in range(400)) + "\n\nno json\n")
+    logs, rejects = readers.read_ndjson(spark, str(tmp_path), now=datetime(2024, 3, 1, tzinfo=UTC))
+    assert "RepartitionByExpression [file" in logs._jdf.queryExecution().optimizedPlan().toString()
+    rows = logs.select("id", S.attr_text(S.attr("n")).cast("int").alias("n"), "message").collect()
+    assert sorted((r.n, r.message) for r in rows) == [(k, f"m{k % 7}") for k in range(400)] and len({r.id for r in rows}) == 400
+    assert [(r.value, r.reason) for r in rejects.collect()] == [("no json", "not a JSON object")]
+    again = readers.read_ndjson(spark, str(tmp_path), now=datetime(2024, 3, 1, tzinfo=UTC))[0]
+    assert {r.id for r in again.select("id").collect()} == {r.id for r in rows}
