@@ -81,26 +81,39 @@ class _InOrder(StatefulProcessor):
         self.state = handle.getValueState("key", "rows string, held string")
 
     def load(self) -> tuple[list, Any]:
-        if not self.state.exists():
-            return [], None
-        rows, held = self.state.get()
-        return json.loads(rows), json.loads(held)
-
-    def save(self, rows: list, held: Any, until: float) -> None:
-        if not rows and held is None:
+        found = self.state.get()
+        return (json.loads(found[0]), json.loads(found[1])) if found is not None else ([], None)
+
+    def due(self, rows: list, held: Any) -> int | None:
+        """The time of a state's only timer, which follows from the state, so that timers needn't be listed."""
+        if rows:
+            return min(r[0] for r in rows) // 1000 + 1
+        if held is None:
+            return None
+        fold = self.make()
+        fold.held = held
+        return int(fold.until() * 1000) + 1
+
+    def save(self, rows: list, held: Any, before: int | None) -> None:
+        """before: the timer that is set, if one is."""
+        due = self.due(rows, held)
+        if due is None:
             self.state.clear()
-            return
-        self.state.update((json.dumps(rows), json.dumps(held)))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(min(r[0] for r in rows) // 1000 + 1 if rows else int(until * 1000) + 1)
+        else:
+            self.state.update((json.dumps(rows), json.dumps(held)))
+        if due != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if due is not None:
+                self.handle.registerTimer(due)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
         waiting, held = self.load()
+        before = self.due(waiting, held)
         for pdf in rows:
             for t, tie, events, size, row in zip(pdf["micros"], pdf["ties"], pdf["events"], pdf["bytes"], pdf["row"], strict=True):
                 waiting.append([int(t), [[v is not None, v if v is not None else 0] for v in json.loads(tie).values()], int(events), int(size), row])
-        self.save(waiting, held, 0.0)
+        self.save(waiting, held, before)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
@@ -114,7 +127,7 @@ class _InOrder(StatefulProcessor):
             held = fold.held
         until = fold.until() if held is not None else 0.0
         waiting = [r for r in waiting if r[0] >= now]
-        self.save(waiting, None if held is not None and until * 1e6 < now else held, until)
+        self.save(waiting, None if held is not None and until * 1e6 < now else held, None)  # the timer that expired is gone
         if out:
             yield pd.DataFrame({"row": [r for r, _ in out], self.column: [x for _, x in out]})
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from datetime import timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +68,62 @@ def test_days_of_a_key_are_dealt_out(spark, requests):
         used = per.setdefault(r.ts.date(), [0])
         assert (r.refused == "events") == (used[0] + r.events > 20)
         used[0] += r.events if r.refused is None else 0
+
+
+def test_one_timer_a_key_that_is_never_listed():
+    """The timer of a key follows from its state: rows and expiries cost one read and one write of it, and leave one timer at most."""
+
+    class Handle:  # has no listTimers
+        def __init__(self):
+            self.timers, self.value, self.calls = [], None, 0
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+        def clear(self):
+            self.calls += 1
+            self.value = None
+
+        def registerTimer(self, at):  # noqa: N802
+            self.calls += 1
+            self.timers.append(at)
+
+        def deleteTimer(self, at):  # noqa: N802
+            self.calls += 1
+            self.timers.remove(at)
+
+    class Watermark:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.ms
+
+    handle, limits = Handle(), SA.Limits(1 / 100, 2, None, 3)
+    made = SA._InOrder(lambda: SA.Limits(1 / 100, 2, None, 3), "refused")
+    made.init(handle)
+    times, got = [0, 10, 20, 500, 900, 901, 1000, 90_000], []
+    for batch in ([500, 20], [10, 0, 900], [901], [90_000, 1000]):
+        pdf = pd.DataFrame({"micros": [t * 1_000_000 for t in batch], "ties": ['{"c0":0}'] * len(batch), "events": 1, "bytes": 0, "row": [str(t) for t in batch]})
+        before = handle.calls
+        list(made.handleInputRows(("a",), iter([pdf]), None))
+        assert handle.calls - before <= 4 and len(handle.timers) == 1
+        if batch == [901]:
+            at = handle.timers.pop()
+            assert at == 1
+            got += [x for out in made.handleExpiredTimer(("a",), Watermark(600_000), None) for x in zip(out["row"], out["refused"], strict=True)]
+            assert handle.timers == [900_001]
+    while handle.timers:
+        at = handle.timers.pop()
+        got += [x for out in made.handleExpiredTimer(("a",), Watermark(max(at, 100_000_000)), None) for x in zip(out["row"], out["refused"], strict=True)]
+        assert len(handle.timers) <= 1
+    assert got == [(str(t), limits.take(float(t), 1, 0)) for t in times]
+    assert handle.value is None and not handle.timers
