@@ -39,12 +39,13 @@ def with_typed(df: DataFrame, keys: Iterable[str]) -> DataFrame:
 def write_logs(df: DataFrame, path: str, batch_id: str, *, text: bool = False, typed: Iterable[str] | int = ()) -> None:
     """One batch, by day; the same batch written again replaces itself. text: with text_norm, which searches then use.
 
+    Rows are sorted by day first, as the writer needs them: it puts a sort by day in the place of any other.
     typed: keys of attributes that get columns of their own, with Bloom filters; a number takes that many of the most frequent.
     """
     df = df.withColumn("text_norm", text_norm()) if text else df
     keys = frequent_keys(df, typed) if isinstance(typed, int) else list(typed)
     options = {f"parquet.bloom.filter.enabled#{TYPED}{k}": "true" for k in keys}
-    with_typed(df, keys).withColumn("dt", F.to_date("ts")).sortWithinPartitions("service", "ts").write.options(**options).mode("overwrite").partitionBy("dt").parquet(f"{path}/ingest_batch={batch_id}")
+    with_typed(df, keys).withColumn("dt", F.to_date("ts")).sortWithinPartitions("dt", "service", "ts").write.options(**options).mode("overwrite").partitionBy("dt").parquet(f"{path}/ingest_batch={batch_id}")
 
 
 # A store is a folder of batches (ingest_batch=<id>/dt=<day>) and of compacted rows (base=<generation>/dt=<day>). A version, a
@@ -151,6 +152,15 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return _current(spark, path, version, _batches(spark, path, version))
 
 
+FEW_IDS = 100_000  # ids of batches above which they aren't sent to all tasks, whatever the size of their files lets Spark expect
+
+
+def _ids(new: DataFrame) -> DataFrame:
+    """(_id) of batches, to join with; their rows are counted from the files' footers."""
+    ids = new.select(F.col("id").alias("_id")).distinct()
+    return ids if new.count() <= FEW_IDS else ids.hint("merge")
+
+
 def _current(spark: SparkSession, path: str, version: Version, batches: dict) -> DataFrame:
     base, new = _read_base(spark, path, version), _read_batches(spark, path, batches)
     if new is None:
@@ -159,7 +169,7 @@ def _current(spark: SparkSession, path: str, version: Version, batches: dict) ->
         return latest_by_id(new, "ingest_batch")
     # a batch that was written again takes the place of what the base has of it
     base = base.where(~F.concat("ingest_batch", F.lit("")).isin(sorted(batches)))  # not a filter that files could skip anything by
-    ids = new.select(F.col("id").alias("_id")).distinct()
+    ids = _ids(new)
     alone = base.join(ids, F.col("id") == F.col("_id"), "left_anti")
     met = base.join(ids, F.col("id") == F.col("_id"), "left_semi")
     return alone.unionByName(latest_by_id(met.unionByName(new, allowMissingColumns=True), "ingest_batch"), allowMissingColumns=True)
@@ -185,7 +195,7 @@ def compact(spark: SparkSession, path: str, file_mb: int = 256) -> None:
     changed = new.select("dt")
     if base is not None:  # days that an id, or the row of a batch written again, leaves
         gone = base.where(F.col("ingest_batch").isin(sorted(batches))).select("dt")
-        changed = changed.unionByName(base.join(new.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_semi").select("dt")).unionByName(gone)
+        changed = changed.unionByName(base.join(_ids(new), F.col("id") == F.col("_id"), "left_semi").select("dt")).unionByName(gone)
     days = {str(r.dt) for r in changed.distinct().collect()}  # a row per day
     sizes: Counter = Counter()
     for folder in (*(f"{path}/ingest_batch={b}" for b in batches), *(f"{path}/{f}" for f in sorted(set(version.days.values())))):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import shutil
 from datetime import timedelta
 
@@ -187,3 +188,32 @@ def test_filters_reach_files(spark, make_logs, tmp_path):
     K.compact(spark, path)
     both = K.read_logs(spark, path)
     assert P.search(both, [("attr.status", "=", "200")]).count() == 800 and P.search(both, [("attr.user", "in", ["u5"])]).count() == 2
+
+
+def test_a_batch_is_sorted_once(spark, make_logs, tmp_path):
+    """One sort, by day, service and time, of which the writer needs no other; files are in order."""
+    path = str(tmp_path / "logs")
+    logs = batch(make_logs, "x", [f"a{k}" for k in range(40)]).withColumns({"service": F.concat(F.lit("s"), (F.xxhash64("id") % 3).cast("string")), "ts": F.col("ts") + F.expr("make_dt_interval(0, pmod(xxhash64(id), 72))")})
+    K.write_logs(logs.coalesce(1), path, "1")
+    done = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plan = next(p for k in range(done.size() - 1, -1, -1) if "InsertIntoHadoopFsRelationCommand" in (p := done.apply(k).physicalPlanDescription()) and f"{path}/ingest_batch=1" in p)
+    assert len(re.findall(r"^\(\d+\) Sort", plan, re.M)) == 1
+    for day in {r.dt for r in K.read_logs(spark, path).select("dt").collect()}:
+        held = [(r.service, r.ts) for r in spark.read.parquet(f"{path}/ingest_batch=1/dt={day}").collect()]
+        assert held == sorted(held)
+
+
+@pytest.mark.parametrize("few", [3, 1000])
+def test_ids_of_large_batches_stay_apart(spark, make_logs, tmp_path, monkeypatch, few):
+    """Ids of batches are sent to all tasks only if they are few, and rows are the same either way."""
+    monkeypatch.setattr(K, "FEW_IDS", few)
+    path = str(tmp_path / "logs")
+    K.write_logs(batch(make_logs, "old", [f"a{k}" for k in range(20)]), path, "1")
+    K.compact(spark, path)
+    K.write_logs(batch(make_logs, "new", [f"a{k}" for k in range(5, 15)], seconds=9), path, "2")
+    plan = K.read_logs(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert ("SortMergeJoin" in plan, "BroadcastHashJoin" in plan) == ((True, False) if few == 3 else (False, True))
+    want = sorted((f"a{k}", f"{'new' if 5 <= k < 15 else 'old'} a{k}") for k in range(20))
+    assert sorted(rows(spark, path)) == want
+    K.compact(spark, path)
+    assert sorted(rows(spark, path)) == want
